@@ -93,3 +93,46 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if not moved:
             return labels
         del old
+
+
+def text_map(docs: DataFrame, text_col: str, keep: list[str], make, returns: str) -> DataFrame:
+    """Rows of docs as a struct `row` of the columns `keep`, and beside it the columns `returns` that a function of the texts gives.
+
+    make() is called once in each task and gives a function from a string array (a bounded slice of
+    rows, see textvec.slices) to the arrays of the result columns. Order and number of rows are kept.
+    """
+    import pyarrow as pa
+
+    from .textvec import slices
+
+    if not keep:
+        rows = F.struct(F.lit(1).alias("none"))
+    else:
+        rows = F.struct(*[F.col(f"`{c}`") for c in keep])
+    frame = docs.select(F.col(text_col).cast("string").alias("text"), rows.alias("row"))
+    row_type = frame.schema["row"].dataType.simpleString() if all(c.isidentifier() for c in keep) else None
+    if row_type is None:
+        row_type = "struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in frame.schema["row"].dataType.fields) + ">"
+    names = [part.strip().split(" ")[0] for part in _top_level(returns)]
+
+    def run(batches):
+        work = None
+        for batch in batches:
+            text, row = batch.column(0), batch.column(1)
+            for lo, hi in slices(text):
+                work = work or make()
+                yield pa.RecordBatch.from_arrays([row.slice(lo, hi - lo), *work(text.slice(lo, hi - lo))], names=["row", *names])
+
+    return frame.mapInArrow(run, f"row {row_type}, {returns}")
+
+
+def _top_level(schema: str) -> list[str]:
+    """Parts of a schema string between its outer commas."""
+    out, depth = [""], 0
+    for c in schema:
+        depth += (c in "<(") - (c in ">)")
+        if c == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return out

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .decontaminate import benchmark_matches
 from .ngram_join import ngram_components
 
 
@@ -15,7 +17,14 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"), size=4, percent=85)
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
+    ids = F.array_sort(F.transform("item_ids", lambda x: x.cast("string")))
+    return found.select("row.doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 QUERIES = {
+    "op6_decontaminate": op6_decontaminate,
     "op1_ngram_join": op1_ngram_join,
 }
 
@@ -35,6 +44,24 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.other) AS compone
 FROM sets s JOIN reach r ON r.doc_id = s.doc_id GROUP BY s.doc_id, len(s.s)
 """
 
+ALNUM_WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
+OP6_SQL = rf"""
+WITH d AS (SELECT doc_id, {ALNUM_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {ALNUM_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+k AS (SELECT item_id, w, least(len(w), 10) AS k FROM b WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS g FROM k),
+ks AS (SELECT DISTINCT k FROM k),
+pos AS (SELECT doc_id, ks.k, w, unnest(range(1, len(w) - ks.k + 2)) AS i FROM d, ks WHERE len(w) >= ks.k),
+hit AS (SELECT p.doc_id, p.i, p.k, win.item_id FROM (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS g FROM pos) p JOIN win ON win.k = p.k AND win.g = p.g),
+n AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS j FROM (SELECT DISTINCT doc_id, i, k FROM hit)) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(items.n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(items.ids, '')) AS items_sha256, coalesce(n.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
 ORACLE_SQL = {
+    "op6_decontaminate": OP6_SQL,
     "op1_ngram_join": OP1_SQL,
 }
