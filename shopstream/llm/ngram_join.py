@@ -220,6 +220,16 @@ def _list_pairs(percent: int):
     return run
 
 
+#: Bits of a set's parity map.
+PARITY = 2048
+
+
+def parity_of(tokens: np.ndarray) -> np.ndarray:
+    """Parities of the numbers of tokens that fall on each of PARITY bits, packed in longs. Two sets that differ in d tokens differ in d bits at most."""
+    odd = np.bincount((tokens & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _tokens(size: int, log2: int, wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = np.frombuffer(wanted.value, np.uint8)
@@ -228,14 +238,15 @@ def _tokens(size: int, log2: int, wanted):
             if keep.any():
                 batch = batch.filter(pa.array(keep))
                 ids = batch.column(0).to_numpy(zero_copy_only=False)
-                out, sets, held, made = [], [], 0, 0
+                out, sets, parity, held, made = [], [], [], 0, 0
                 for i, tokens in sets_of(batch.column(1), size):
                     out.append(tokens.view(np.int64))
                     sets.append(set_id(digest_of(tokens)))
+                    parity.append(parity_of(tokens))
                     held += len(tokens)
                     if held > 200_000 or i == len(ids) - 1:
-                        yield pa.RecordBatch.from_pydict({"rep": pa.array(ids[made : i + 1]), "set_id": pa.array(sets, pa.int64()), "tokens": pa.array(out, pa.list_(pa.int64()))})
-                        out, sets, held, made = [], [], 0, i + 1
+                        yield pa.RecordBatch.from_pydict({"rep": pa.array(ids[made : i + 1]), "set_id": pa.array(sets, pa.int64()), "parity": pa.array(parity, pa.list_(pa.int64())), "tokens": pa.array(out, pa.list_(pa.int64()))})
+                        out, sets, parity, held, made = [], [], [], 0, i + 1
 
     return run
 
@@ -279,20 +290,20 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     combined = stored(combined.join(combined.groupBy("sig").agg(F.count("*").alias("m"), F.min(ranked).alias("hub")).where("m > 1"), "sig"), "lists")
     star = _pairs(combined.selectExpr("struct(set_id, n, v) as x", "hub as y"), percent)
     pairs = stored(pairs.union(star).distinct(), "pairs")
+    dropped(index)
     wanted = stored(pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).union(combined.select("set_id")).distinct().join(reps, "set_id").select("set_id", "rep"), "wanted")
 
     log2 = 24
     cells = spark.sparkContext.broadcast(id_cells(wanted, "rep", log2).tobytes())  # 2 MB
-    tokens = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("cell")).where("doc_id is not null").mapInArrow(_tokens(size, log2, cells), "rep long, set_id long, tokens array<long>")
-    tokens = stored(tokens.join(wanted, ["rep", "set_id"]), "tokens")
-    dropped(index)
+    tokens = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("cell")).where("doc_id is not null").mapInArrow(_tokens(size, log2, cells), "rep long, set_id long, parity array<long>, tokens array<long>")
+    tokens = stored(tokens, "tokens")  # a few more rows than wanted: the joins by identifier and set drop them
 
-    links = stored(_linked(pairs, tokens, percent), "links")
+    links = stored(_linked(pairs, wanted, tokens, percent), "links")
     labels = connected(links)
-    crossing = _crossing(combined, tokens, labels, percent)
+    crossing = _crossing(combined, wanted, labels, percent)
     crossing = stored(crossing.join(pairs, ["a", "b"], "left_anti"), "crossing")
     if crossing.limit(1).count():
-        links = links.union(_linked(crossing, tokens, percent))
+        links = links.union(_linked(crossing, wanted, tokens, percent))
         labels = connected(links)
     members = sets.join(reps.select("digest", "rep"), "digest", "left").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     return members.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("label", "rep", "doc_id").alias("component_id"))
@@ -303,18 +314,34 @@ def _pairs(rows: DataFrame, percent: int) -> DataFrame:
     return rows.where("x.set_id <> y.set_id and " + _fits(percent, "x", "y")).selectExpr("least(x.set_id, y.set_id) as a", "greatest(x.set_id, y.set_id) as b").distinct()
 
 
-def _linked(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
-    """(a, b): representatives of the pairs of set ids whose whole sets reach the threshold."""
-    sides = [tokens.select(F.col("set_id").alias(k), F.col("rep").alias(f"rep_{k}"), F.col("tokens").alias(f"tokens_{k}")) for k in "ab"]
-    both = pairs.join(sides[0], "a").join(sides[1], "b")
+def _linked(pairs: DataFrame, wanted: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """(a, b): representatives of the pairs of set ids whose whole sets reach the threshold.
+
+    First the parity maps: they bound the overlap from above, so most pairs that fail go before any
+    whole set is moved. What is left is compared on the whole sets.
+    """
+
+    def with_sides(rows: DataFrame, frame: DataFrame, on: list[str], more: list[str]) -> DataFrame:
+        for k in "ab":
+            side = frame.select(*[F.col(c).alias(k if c == "set_id" else f"{c}_{k}") for c in ["set_id", *on, *more]])
+            rows = rows.join(side, [k, *[f"{c}_{k}" for c in on]])
+        return rows
+
+    rows = with_sides(pairs.select("a", "b"), wanted, [], ["rep"])
+    sizes = tokens.select("rep", "set_id", "parity", F.size("tokens").alias("n"))
+    rows = with_sides(rows, sizes, ["rep"], ["parity", "n"])
+    apart = F.aggregate(F.zip_with("parity_a", "parity_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    need = F.ceil((percent * (F.col("n_a") + F.col("n_b"))) / F.lit(100.0 + percent))
+    rows = stored(rows.where(F.col("n_a") + F.col("n_b") - apart >= 2 * need).select("a", "rep_a", "b", "rep_b").distinct(), "likely")
+    rows = with_sides(rows, tokens, ["rep"], ["tokens"])
     shared = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    both = both.select("rep_a", "rep_b", shared.alias("shared"), (F.size("tokens_a") + F.size("tokens_b")).alias("sizes"))
-    return both.where(f"100 * shared >= {percent} * (sizes - shared)").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    rows = rows.select("rep_a", "rep_b", shared.alias("shared"), (F.size("tokens_a") + F.size("tokens_b")).alias("sizes"))
+    return rows.where(f"100 * shared >= {percent} * (sizes - shared)").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
 
 
-def _crossing(lists: DataFrame, tokens: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _crossing(lists: DataFrame, wanted: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs of the combination lists whose sets are still in different components: entries outside a list's most usual component, each against the list."""
-    reps = tokens.select("set_id", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("set_id", F.coalesce("label", "rep").alias("label"))
+    reps = wanted.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("set_id", F.coalesce("label", "rep").alias("label"))
     now = lists.select("sig", "set_id", "n", "v").join(reps, "set_id")
     per = now.groupBy("sig", "label").agg(F.count("*").alias("m"))
     usual = per.groupBy("sig").agg(F.max(F.struct("m", "label")).alias("top"), F.count("*").alias("k")).where("k > 1").select("sig", F.col("top.label").alias("usual"))
