@@ -10,6 +10,7 @@ from .decontaminate import benchmark_matches
 from .language_id import fit_language_model, identify
 from .ngram_join import ngram_components
 from .quality_classifier import fit_subword_model, quality_scores
+from .toxicity import fit_toxicity_model, toxicity_scores
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +21,12 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"), size=4, percent=85)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_toxicity_model(docs, table(spark, sf_dir, "labels"), "toxic")
+    return toxicity_scores(docs, model, ["doc_id"]).select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = identify(docs, fit_language_model(docs), ["doc_id"])
@@ -39,6 +46,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_toxicity": op3_toxicity,
     "op4_language_id": op4_language_id,
     "op10_quality_classifier": op10_quality_classifier,
     "op6_decontaminate": op6_decontaminate,
