@@ -9,6 +9,7 @@ from .common import held_out
 from .decontaminate import benchmark_matches
 from .language_id import fit_language_model, identify
 from .ngram_join import ngram_components
+from .packing import packed
 from .quality_classifier import fit_subword_model, quality_scores
 from .toxicity import fit_toxicity_model, toxicity_scores
 
@@ -39,6 +40,20 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
+    return packing_digest(packed(table(spark, sf_dir, "documents"), tokenizer_path or word_tokenizer()))
+
+
+def word_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def packing_digest(pieces: DataFrame) -> DataFrame:
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit_subword_model(docs, table(spark, sf_dir, "labels"), "quality")
@@ -46,6 +61,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op8_packing": op8_packing,
     "op3_toxicity": op3_toxicity,
     "op4_language_id": op4_language_id,
     "op10_quality_classifier": op10_quality_classifier,
