@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from .common import held_out
 from .decontaminate import benchmark_matches
 from .language_id import fit_language_model, identify
+from .license_scan import scan_licenses
 from .ngram_join import ngram_components
 from .packing import packed
 from .quality_classifier import fit_subword_model, quality_scores
+from .warc import read_archives, write_archives
 from .toxicity import fit_toxicity_model, toxicity_scores
 
 
@@ -22,6 +24,21 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"), size=4, percent=85)
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(table(spark, sf_dir, "documents"), ["doc_id"])
+    joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    return found.select(
+        "row.doc_id",
+        "n_words",
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min("base.word").alias("first_word"),
+        F.array_max("base.word").alias("last_word"),
+        joined(F.col("base.label")).alias("base_labels"),
+        joined(F.concat("base.label", "detections.label")).alias("labels"),
+        F.greatest(F.coalesce(F.array_max("detections.confidence"), F.lit(0.0)), F.when(F.size("base") > 0, 0.4).otherwise(0.0)).alias("score"),
+    )
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit_toxicity_model(docs, table(spark, sf_dir, "labels"), "toxic")
@@ -54,6 +71,11 @@ def packing_digest(pieces: DataFrame) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = read_archives(write_archives(table(spark, sf_dir, "pages")))
+    return read.where("last").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit_subword_model(docs, table(spark, sf_dir, "labels"), "quality")
@@ -61,6 +83,8 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_license_scan": op2_license_scan,
+    "op9_warc": op9_warc,
     "op8_packing": op8_packing,
     "op3_toxicity": op3_toxicity,
     "op4_language_id": op4_language_id,
@@ -102,7 +126,19 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n.n_hit, 0)
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+OP9_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT h, n, min(page_id) AS first FROM p GROUP BY h, n),
+v AS (SELECT p.*, f.first, list_transform(range(0, 8), lambda g: CAST(concat('0x', substr(p.h, CAST(g * 5 + 1 AS BIGINT), 5)) AS BIGINT)) AS g FROM p JOIN f USING (h, n)),
+d AS (SELECT *, array_to_string(list_transform(g, lambda x: concat(
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((x >> 15) & 31) + 1, 1), substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((x >> 10) & 31) + 1, 1),
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((x >> 5) & 31) + 1, 1), substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (x & 31) + 1, 1))), '') AS digest FROM v)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to FROM d
+"""
+
 ORACLE_SQL = {
+    "op9_warc": OP9_SQL,
     "op6_decontaminate": OP6_SQL,
     "op1_ngram_join": OP1_SQL,
 }
