@@ -13,6 +13,7 @@ from .ngram_join import ngram_components
 from .packing import packed
 from .quality_classifier import fit_subword_model, quality_scores
 from .warc import read_archives, write_archives
+from .quality_rules import quality_rules
 from .toxicity import fit_toxicity_model, toxicity_scores
 
 
@@ -57,6 +58,11 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules(table(spark, sf_dir, "documents"), ["doc_id"])
+    return found.select("row.doc_id", "stats.n_words", "stats.word_chars", "stats.n_symbols", "stats.n_dup_lines", "stats.n_repeat_words", "base_failed", "kept", "distance")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
     return packing_digest(packed(table(spark, sf_dir, "documents"), tokenizer_path or word_tokenizer()))
 
@@ -83,6 +89,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op7_quality_rules": op7_quality_rules,
     "op2_license_scan": op2_license_scan,
     "op9_warc": op9_warc,
     "op8_packing": op8_packing,
