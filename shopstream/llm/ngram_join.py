@@ -349,3 +349,16 @@ def _crossing(lists: DataFrame, wanted: DataFrame, labels: DataFrame, percent: i
     left = now.where("label <> usual").select("sig", F.struct("set_id", "n", "v", "label").alias("x"))
     right = now.select("sig", F.struct("set_id", "n", "v", "label").alias("y"))
     return _pairs(left.join(right, "sig").where("x.label <> y.label"), percent)
+
+
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, with docs' columns, that represent their component: the one with its smallest identifier.
+
+    Documents without words are linked with nothing and stay. Rows that repeat an identifier and a text
+    leave one row; rows with a null identifier stay unless all of them are linked to rows with one.
+    """
+    groups = ngram_components(docs, id_col, text_col, size, percent)
+    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
+    rows = docs.withColumn("__key", F.col(id_col).cast("long"))
+    kept = rows.join(first, F.col("__key").eqNullSafe(F.col("__id")), "left_semi")
+    return kept.withColumn("__text", F.xxhash64(text_col)).dropDuplicates(["__key", "__text"]).select(*[F.col(f"`{c}`") for c in docs.columns])

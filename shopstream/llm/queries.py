@@ -11,6 +11,7 @@ from .language_id import fit_language_model, identify
 from .license_scan import scan_licenses
 from .ngram_join import ngram_components
 from .packing import packed
+from .pii import KINDS, count_of, listed, personal_data
 from .quality_classifier import fit_subword_model, quality_scores
 from .warc import read_archives, write_archives
 from .quality_rules import quality_rules
@@ -52,6 +53,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data(table(spark, sf_dir, "documents"), ["doc_id"])
+    counts = [count_of("base", k).alias(f"n_{name}") for k, name in enumerate(KINDS[:4])]
+    return found.select("row.doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
     ids = F.array_sort(F.transform("item_ids", lambda x: x.cast("string")))
@@ -89,6 +96,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_pii": op5_pii,
     "op7_quality_rules": op7_quality_rules,
     "op2_license_scan": op2_license_scan,
     "op9_warc": op9_warc,
