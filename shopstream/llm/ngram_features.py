@@ -68,16 +68,19 @@ def learning_sample(docs: DataFrame, labels: DataFrame | None, label: str, rows_
     null text or label are left out.
     """
     if labels is None:
-        rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(label).alias("label"))
+        labelled = docs.select(F.col(id_col).alias("doc_id"), F.col(label).alias("label"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     else:
-        rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(labels.select(F.col(id_col).alias("doc_id"), F.col(label).alias("label")), "doc_id")
-    rows = rows.where(F.col("text").isNotNull() & F.col("label").isNotNull() & ~held_out("doc_id"))
-    counted = (rows if labels is None else labels.select(F.col(id_col).alias("doc_id"), F.col(label).alias("label")).where(F.col("label").isNotNull() & ~held_out("doc_id"))).groupBy("label").count()
-    counts = counted.orderBy(F.desc("count"), "label").limit(1024).collect()
+        labelled = labels.select(F.col(id_col).alias("doc_id"), F.col(label).alias("label"))
+    labelled = labelled.where(F.col("label").isNotNull() & ~held_out("doc_id"))
+    counts = labelled.groupBy("label").count().orderBy(F.desc("count"), "label").limit(1024).collect()
     if not counts:
-        return rows.select("text", "label").limit(0)
+        return docs.select(F.col(text_col).alias("text"), F.lit(None).cast(labelled.schema["label"].dataType).alias("label")).limit(0)
     rate = F.create_map(*[x for r in counts for x in (F.lit(r["label"]), F.lit(min(1.0, rows_per_label / r["count"])))])
-    return rows.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(1_000_003)) < F.element_at(rate, F.col("label")) * 1_000_003).select("text", "label")
+    chosen = labelled.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(1_000_003)) < F.element_at(rate, F.col("label")) * 1_000_003)
+    if labels is not None:  # at most about rows_per_label identifiers for each label: small enough to send to the texts
+        texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+        chosen = texts.join(F.broadcast(chosen), "doc_id")
+    return chosen.select("text", "label")
 
 
 def sample_matrix(sample: DataFrame, log2: int, orders: tuple[int, ...], with_words: bool = False, lower: bool = True) -> tuple[np.ndarray, list]:
