@@ -51,7 +51,7 @@ _POWERS = {"n": 0, "up": powers(BASE, 0), "down": powers(BASE_INVERSE, 0)}
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if n > max(_POWERS["n"], SLICE_BYTES * 2):  # one huge text: not kept
+    if n > max(_POWERS["n"], SLICE_BYTES * 4):  # one huge text: not kept
         return powers(BASE, n), powers(BASE_INVERSE, n)
     if n > _POWERS["n"]:
         _POWERS.update(n=n, up=powers(BASE, n), down=powers(BASE_INVERSE, n))
