@@ -56,11 +56,11 @@ def purchase_touches(spark, sf_dir):
 
 @query(f"""{WITH}, {DAILY_QUERY}, {TOUCHES}, n AS (SELECT purchase_id, COUNT(*) AS n FROM touches GROUP BY 1),
 s AS (SELECT site_id, query, day, SUM(revenue / n) AS share FROM touches JOIN n USING (purchase_id) GROUP BY 1, 2, 3)
-SELECT q.site_id, q.day, q.normalised_query, q.searches, ROUND(COALESCE(s.share, q.revenue), 4) AS revenue FROM daily_query q LEFT JOIN s ON s.site_id = q.site_id AND s.query = q.normalised_query AND s.day = q.day""", day=True)
+SELECT q.site_id, q.day, q.normalised_query, q.searches, ROUND(COALESCE(s.share, q.revenue), 8) AS revenue FROM daily_query q LEFT JOIN s ON s.site_id = q.site_id AND s.query = q.normalised_query AND s.day = q.day""", day=True)
 def attribute_revenue(spark, sf_dir):
     events = shopper_events(spark, sf_dir)
     out = rollup.attribute_revenue(rollup.rollup_query_day(events), rollup.purchase_touches(events))
-    return rounded(out.select("site_id", "day", "normalised_query", "searches", "revenue"))
+    return rounded(out.select("site_id", "day", "normalised_query", "searches", "revenue"), 8)
 
 
 @query(f"{WITH}, {PRODUCT_DAY} SELECT * REPLACE (ROUND(revenue, 4) AS revenue) FROM product_day", day=True)
