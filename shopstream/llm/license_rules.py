@@ -72,7 +72,7 @@ EXACT = [
 FAMILY = [
     (50, 0.9, r"(?:licensed|released|distributed|available|provided|published) under (?:the )?(?:terms of )?(?:the )?{n}(?: licen[cs]e)?"),
     (45, 0.9, r"spdx license identifier {n}"),
-    (40, 0.8, r"(?:the )?{n} licen[cs]e"),
+    (40, 0.8, r"{n} licen[cs]e"),
 ]
 #: Sentences that stand for themselves: label, priority, confidence, keyword, pattern.
 SENTENCES = [
