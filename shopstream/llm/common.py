@@ -103,7 +103,7 @@ def text_map(docs: DataFrame, text_col: str, keep: list[str], make, returns: str
     """
     import pyarrow as pa
 
-    from .textvec import slices
+    from .textvec import release, slices
 
     if not keep:
         rows = F.struct(F.lit(1).alias("none"))
@@ -122,6 +122,7 @@ def text_map(docs: DataFrame, text_col: str, keep: list[str], make, returns: str
             for lo, hi in slices(text):
                 work = work or make()
                 yield pa.RecordBatch.from_arrays([row.slice(lo, hi - lo), *work(text.slice(lo, hi - lo))], names=["row", *names])
+            release()
 
     return frame.mapInArrow(run, f"row {row_type}, {returns}")
 

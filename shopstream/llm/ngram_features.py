@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out
-from .textvec import NON_SPACE, buffers, mix, slices, words
+from .textvec import NON_SPACE, buffers, mix, release, slices, words
 
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], np.uint32)
 #: Rows of a dense block of histograms at most.
@@ -96,6 +96,7 @@ def sample_matrix(sample: DataFrame, log2: int, orders: tuple[int, ...], with_wo
                     at.append(found.astype(np.int32))
                     values.append(row[found])
                 yield pa.RecordBatch.from_arrays([labels.slice(first, len(block)), pa.array(at, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], names=["label", "at", "n"])
+            release()
 
     kind = sample.schema["label"].dataType.simpleString()
     rows = sample.mapInArrow(run, f"label {kind}, at array<int>, n array<float>").toArrow().combine_chunks()

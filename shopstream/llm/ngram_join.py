@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected, docs_of, dropped, id_cells, in_cells, stored
-from .textvec import NON_SPACE, mix, shingles, slices, words
+from .textvec import NON_SPACE, mix, release, shingles, slices, words
 
 PARTS = 256
 #: A token is frequent from this many documents on, or from FILL times the mean load of a cell.
@@ -79,6 +79,7 @@ def _count(size: int, bits: int):
             _add(cells, recent)
             seen += len(sizes)
             yield _counted(batch.column(0), sizes, digests, None, None)
+            release()
         if seen:
             width = (1 << bits) // PARTS
             for part in range(PARTS):
@@ -175,6 +176,8 @@ def _index(size: int, bits: int, frequent, percent: int):
                     out, held = ([], [], [], [], []), 0
             if held:
                 yield rows(*out)
+            out = None
+            release()
 
     return run
 
@@ -247,6 +250,7 @@ def _tokens(size: int, log2: int, wanted):
                     if held > 200_000 or i == len(ids) - 1:
                         yield pa.RecordBatch.from_pydict({"rep": pa.array(ids[made : i + 1]), "set_id": pa.array(sets, pa.int64()), "parity": pa.array(parity, pa.list_(pa.int64())), "tokens": pa.array(out, pa.list_(pa.int64()))})
                         out, sets, parity, held, made = [], [], [], 0, i + 1
+            release()
 
     return run
 

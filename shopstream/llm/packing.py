@@ -21,10 +21,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import docs_of
-from .textvec import NON_SPACE, Words, buffers, slices, words
+from .textvec import NON_SPACE, Words, buffers, release, slices, words
 
 #: Bytes of text that are tokenised together, and words in one call of the tokenizer.
-TOKENISED_BYTES, WORDS = 4_000_000, 4000
+TOKENISED_BYTES, WORDS = 2_000_000, 4000
 #: Different parts that a worker process remembers the ids of: the first ones it meets, which are the frequent ones.
 REMEMBERED = 600_000
 
@@ -232,6 +232,7 @@ def packed(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
                         yield rows()
                         out.clear()
                         held = 0
+            release()
         for window in packer.leftovers():
             place(window)
         if out:
