@@ -71,7 +71,7 @@ def lift_batches(queries: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 def lift_dimensions(query: Column) -> Column:
     """Measurements use up their text in order, which built-in functions can't say: an Arrow UDF, meant for distinct queries."""
-    return F.pandas_udf(lift_batches, LIFTED, F.PandasUDFType.SCALAR_ITER)(query)
+    return F.pandas_udf(lift_batches, returnType=LIFTED)(query)
 
 
 def analyse_queries(log: DataFrame, column: str = "query") -> DataFrame:

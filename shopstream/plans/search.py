@@ -91,7 +91,7 @@ def vocabulary(spark, sf_dir):
 
 
 def prepared(spark, sf_dir):
-    index, queries = retrieve.postings(docs(spark, sf_dir), fields()), requests(spark, sf_dir)
+    index, queries = retrieve.postings(docs(spark, sf_dir), fields()).persist(), requests(spark, sf_dir)
     return index, queries, retrieve.expansions(terms_of(queries), vocabulary_of(index))
 
 
@@ -142,7 +142,7 @@ def business_score(spark, sf_dir):
 
 def ranked(spark, sf_dir):
     index, queries, expanded = prepared(spark, sf_dir)
-    matches = retrieve.match_terms(queries, index, expanded)
+    matches = retrieve.match_terms(queries, index, expanded).persist()  # signals, scores and the window all read it
     scored = retrieve.retrieval_score(matches).join(scored_docs(spark, sf_dir).select("sku", "parent_id", "business"), "sku")
     window = retrieve.window_parents(scored)
     return rank.rank_cascade(window.join(rank.text_signals(matches, n_terms(queries)), ["query_id", "sku"]))
