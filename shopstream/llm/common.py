@@ -73,6 +73,13 @@ def id_cells(ids: DataFrame, column: str, log2: int) -> np.ndarray:
     return out.view(np.uint8)
 
 
+def salted_join(rows: DataFrame, groups: DataFrame, key: str, how: str = "inner", by: str | None = None, salts: int = 16) -> DataFrame:
+    """rows joined with a table of one row for each key, where a key may have a third of all rows: the rows of a key are dealt over `salts` partitions, and the key's row goes to each of them. They are dealt by the column `by`, or by their place in a stored() table, so that a task that runs again deals them alike."""
+    dealt = rows.withColumn("__salt", F.pmod(F.monotonically_increasing_id() if by is None else F.xxhash64(by), F.lit(salts)))
+    copies = groups.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return dealt.join(copies, [key, "__salt"], how).drop("__salt")
+
+
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, label): for each end of an edge the smallest id that it reaches.
 

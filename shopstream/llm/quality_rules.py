@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import salted_join, stored
 
 #: White space of words, as a Java character class and as a string.
 SPACE = r"[\x20\x09-\x0D]"
@@ -105,16 +105,16 @@ def with_factor(groups: DataFrame) -> DataFrame:
 def estimates(rows: DataFrame, steps: int = STEPS, share: float = SHARE) -> DataFrame:
     """(g, n, m<i>, l<i><j>): for each group of rows (g, v0..v3) with LEAST_ROWS rows or more, location and Cholesky factor of its minimum covariance determinant estimate, scaled so that the median squared distance is that of a normal distribution."""
     medians = rows.groupBy("g").agg(F.count("*").alias("n"), *[F.percentile_approx(v, 0.5, 100_000).alias(f"m{i}") for i, v in enumerate(VECTOR)]).where(f"n >= {LEAST_ROWS}")
-    spread = rows.join(medians, "g").groupBy("g").agg(*[F.percentile_approx(F.abs(F.col(v) - F.col(f"m{i}")), 0.5, 100_000).alias(f"d{i}") for i, v in enumerate(VECTOR)])
+    spread = salted_join(rows, medians, "g").groupBy("g").agg(*[F.percentile_approx(F.abs(F.col(v) - F.col(f"m{i}")), 0.5, 100_000).alias(f"d{i}") for i, v in enumerate(VECTOR)])
     first = medians.join(spread, "g")
     for i in range(4):
         for j in range(i + 1):
             first = first.withColumn(f"c{i}{j}", F.pow(F.greatest(1.4826 * F.col(f"d{i}"), F.lit(FLOOR[i])), 2) if i == j else F.lit(0.0))
     now = stored(with_factor(first), "mcd")
     for _ in range(steps):
-        near = stored(rows.join(now, "g").select("g", "n", *VECTOR, squared_distance().alias("d2"), *[f"m{i}" for i in range(4)]), "mcd")
+        near = stored(salted_join(rows, now, "g").select("g", "n", *VECTOR, squared_distance().alias("d2"), *[f"m{i}" for i in range(4)]), "mcd")
         limit = near.groupBy("g").agg(F.percentile_approx("d2", share, 100_000).alias("limit"))
-        inner = near.join(limit, "g").where("d2 <= limit")
+        inner = salted_join(near, limit, "g").where("d2 <= limit")
         centred = [F.col(v) - F.col(f"m{i}") for i, v in enumerate(VECTOR)]  # around the estimate before: no loss of digits
         sums = inner.groupBy("g").agg(F.first("n").alias("n"), *[F.first(f"m{i}").alias(f"o{i}") for i in range(4)], *[F.avg(x).alias(f"a{i}") for i, x in enumerate(centred)], *[F.avg(centred[i] * centred[j]).alias(f"p{i}{j}") for i in range(4) for j in range(i + 1)])
         for i in range(4):
@@ -123,7 +123,7 @@ def estimates(rows: DataFrame, steps: int = STEPS, share: float = SHARE) -> Data
                 c = F.col(f"p{i}{j}") - F.col(f"a{i}") * F.col(f"a{j}")
                 sums = sums.withColumn(f"c{i}{j}", F.greatest(c, F.lit(FLOOR[i] ** 2)) if i == j else c)
         now = stored(with_factor(sums), "mcd")
-    scale = rows.join(now, "g").groupBy("g").agg(F.sqrt(F.greatest(F.percentile_approx(squared_distance(), 0.5, 100_000) / CHI2_MEDIAN, F.lit(1.0))).alias("scale"))
+    scale = salted_join(rows, now, "g").groupBy("g").agg(F.sqrt(F.greatest(F.percentile_approx(squared_distance(), 0.5, 100_000) / CHI2_MEDIAN, F.lit(1.0))).alias("scale"))
     now = now.join(scale, "g")
     return now.select("g", "n", *[f"m{i}" for i in range(4)], *[(F.col(f"l{i}{j}") * F.col("scale")).alias(f"l{i}{j}") for i in range(4) for j in range(i + 1)])
 
@@ -142,5 +142,5 @@ def quality_rules(docs: DataFrame, keep: list[str], text_col: str = "text", lang
     failed = (F.col("stats.n_words") < 20) | (100 * F.col("stats.n_repeat_words") > 30 * F.col("stats.n_words"))
     rows = stored(rows.select("row", "g", "stats", failed.alias("base_failed"), *vector_of()), "statistics")
     estimate = estimates(rows.where("not base_failed").select("g", *VECTOR))
-    found = rows.join(estimate.drop("n"), "g", "left").withColumn("distance", squared_distance())
+    found = salted_join(rows, estimate.drop("n"), "g", "left").withColumn("distance", squared_distance())
     return found.select("row", "stats", "base_failed", "distance", (~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))).alias("kept"))
