@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected, docs_of, dropped, id_cells, in_cells, stored
+from .common import connected, docs_of, dropped, id_cells, in_cells, salted_join, stored
 from .textvec import NON_SPACE, mix, release, shingles, slices, words
 
 PARTS = 256
@@ -291,7 +291,9 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     pairs = single.repartition("sig").sortWithinPartitions("sig").mapInArrow(_list_pairs(percent), "a long, b long").distinct()
     combined = index.where("combined").select("sig", "set_id", "n", "v").distinct()
     ranked = F.struct((F.col("v") / F.col("n")).alias("share"), "set_id", "n", "v")
-    combined = stored(combined.join(combined.groupBy("sig").agg(F.count("*").alias("m"), F.min(ranked).alias("hub")).where("m > 1"), "sig"), "lists")
+    combined = stored(combined, "combined")
+    hubs = combined.groupBy("sig").agg(F.count("*").alias("m"), F.min(ranked).alias("hub")).where("m > 1")
+    combined = stored(salted_join(combined, hubs, "sig", by="set_id"), "lists")
     star = _pairs(combined.selectExpr("struct(set_id, n, v) as x", "hub as y"), percent)
     pairs = stored(pairs.union(star).distinct(), "pairs")
     dropped(index)
@@ -349,7 +351,7 @@ def _crossing(lists: DataFrame, wanted: DataFrame, labels: DataFrame, percent: i
     now = lists.select("sig", "set_id", "n", "v").join(reps, "set_id")
     per = now.groupBy("sig", "label").agg(F.count("*").alias("m"))
     usual = per.groupBy("sig").agg(F.max(F.struct("m", "label")).alias("top"), F.count("*").alias("k")).where("k > 1").select("sig", F.col("top.label").alias("usual"))
-    now = now.join(usual, "sig")
+    now = salted_join(now, usual, "sig", by="set_id")
     left = now.where("label <> usual").select("sig", F.struct("set_id", "n", "v", "label").alias("x"))
     right = now.select("sig", F.struct("set_id", "n", "v", "label").alias("y"))
     return _pairs(left.join(right, "sig").where("x.label <> y.label"), percent)
