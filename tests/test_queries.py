@@ -5,13 +5,13 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry_module
-from shopstream.plans import analytics, merchandising, search
+from shopstream.plans import analytics, discovery, merchandising, search
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SQL = analytics.ORACLE | search.ORACLE | merchandising.ORACLE
+SQL = analytics.ORACLE | search.ORACLE | merchandising.ORACLE | discovery.ORACLE
 QUICK = [
     "rollup_query_day", "attribute_revenue", "rollup_product_day", "overview", "trending", "term_insights", "product_ctr", "assign_arms", "experiment_results", "bought_together", "audit_diff",
-    "build_postings", "fuzzy_terms", "match_terms", "business_score", "facet_counts", "sort_facet_values", "apply_price_deltas", "map_feed", "fill_blanks", "compile_selector", "apply_labels", "expand_synonyms", "analyse_queries",
+    "build_postings", "fuzzy_terms", "match_terms", "business_score", "facet_counts", "sort_facet_values", "apply_price_deltas", "map_feed", "fill_blanks", "compile_selector", "apply_labels", "expand_synonyms", "analyse_queries", "lift_entities", "autocomplete", "rescue",
 ]
 
 
