@@ -26,8 +26,8 @@ from .textvec import NON_SPACE, words
 
 #: Rows learned from for each label, at most about so many, of at most LEARN_BYTES each.
 ROWS_PER_LABEL, LEARN_BYTES = 1000, 50_000
-#: Words in a window, and bytes of a stem.
-WINDOW, STEM = 6, 4
+#: Words in a window, words from one window's start to the next one's, and bytes of a stem.
+WINDOW, STRIDE, STEM = 6, 2, 4
 SHARED_BYTES, TOXIC_BYTES = 8000, 1200
 LOW, HIGH = -6, 12
 #: Rate of toxic windows in a toxic text.
@@ -58,9 +58,9 @@ def windows(column: pa.Array) -> tuple[bytes, np.ndarray, np.ndarray]:
     w = words(lead, NON_SPACE)
     data = w.data.copy()
     data[~NON_SPACE[data]] = 0x20
-    n = -(-w.counts // WINDOW)
+    n = np.where(w.counts > 0, np.maximum(-(-(w.counts - WINDOW) // STRIDE), 0) + 1, 0)
     row = np.repeat(np.arange(w.rows), n)
-    first = np.repeat(w.first[:-1], n) + WINDOW * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+    first = np.repeat(w.first[:-1], n) + STRIDE * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
     last = np.minimum(first + WINDOW, np.repeat(w.first[1:], n)) - 1
     start = w.start[first] - 1
     return data.tobytes(), np.stack([start, w.end[last] - start], 1).astype(np.uint64), row
