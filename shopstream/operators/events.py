@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions.text import normalise
+
 TYPES = ["search", "zero_result", "click", "product_view", "add_to_cart", "purchase", "facet_apply"]
 
 
@@ -40,3 +42,10 @@ def add_impressions(existing: DataFrame, served: DataFrame) -> DataFrame:
     """(site_id, day, sku, impressions): counts of served SKUs added to those there are."""
     more = served.groupBy("site_id", "day", "sku").agg(F.count("*").alias("impressions"))
     return existing.select("site_id", "day", "sku", "impressions").unionByName(more).groupBy("site_id", "day", "sku").agg(F.sum("impressions").alias("impressions"))
+
+
+def append_events(events: DataFrame, path: str) -> None:
+    """Appends the valid events with their normalised query, by site and day. events: the columns of with_reject_reason, query and occurred_at."""
+    accepted, _ = validate_events(events)
+    rows = accepted.withColumn("normalised_query", normalise(F.col("query"))).withColumn("day", F.to_date("occurred_at"))
+    rows.write.mode("append").partitionBy("site_id", "day").parquet(path)

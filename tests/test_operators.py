@@ -84,3 +84,11 @@ def test_json_diff_and_undo(spark):
     assert [tuple(c) for c in out[1].changes] == [("a", "1", "2")] and not out[3].revertible
     undone = history.inverse_changes(rows, rows.select("audit_id")).orderBy("reverts").collect()
     assert [(r.reverts, r.outcome, r.after) for r in undone] == [(1, "restored", '{"a":"1","b":null,"updatedAt":"x"}'), (2, "removed", None)]
+
+
+def test_events_are_appended_by_day_without_the_refused(spark, tmp_path):
+    rows = spark.createDataFrame([("s", "click", "u", "x", 1, "Red  Bolt", dt.datetime(2024, 1, 2)), ("s", "click", "u", "x", 0, "q", dt.datetime(2024, 1, 2))], "site_id string, type string, shopper_id string, session_id string, position int, query string, occurred_at timestamp")
+    for _ in range(2):
+        events.append_events(rows, str(tmp_path / "e"))
+    out = spark.read.parquet(str(tmp_path / "e")).collect()
+    assert [(r.normalised_query, str(r.day)) for r in out] == [("red bolt", "2024-01-02")] * 2
