@@ -27,7 +27,7 @@ from .textvec import NON_SPACE, words
 #: Rows learned from for each label, at most about so many, of at most LEARN_BYTES each.
 ROWS_PER_LABEL, LEARN_BYTES = 1000, 50_000
 #: Words in a window, words from one window's start to the next one's, and bytes of a stem.
-WINDOW, STRIDE, STEM = 6, 2, 4
+WINDOW, STRIDE, STEM = 6, 3, 4
 SHARED_BYTES, TOXIC_BYTES = 8000, 1200
 LOW, HIGH = -6, 12
 #: Rate of toxic windows in a toxic text.
