@@ -1,11 +1,12 @@
 """Operator 5, personal data with information-theoretic sanitisation (native: DataFrame functions only).
 
 Entities that have a form (email, ip, card, phone) are found by patterns. A text's protected entities
-make the words near them risky: a term that occurs near an entity in several different contexts, and
-hardly elsewhere in the corpus, reveals it. With probabilities over all documents, a term t discloses an
+make the words near them risky: a term that occurs near an entity and hardly elsewhere in the corpus
+reveals it. With probabilities over all documents, a term t discloses an
 entity c if its pointwise mutual information with c makes up at least `disclosure` of the information
-content of c:  log p(c,t) / (p(c) p(t))  >=  disclosure * -log p(c).  Such terms are spans of their own;
-sanitising generalises entities to their kind and removes disclosing terms.
+content of c:  log p(c,t) / (p(c) p(t))  >=  disclosure * -log p(c).  c is both the entity's value and its
+kind: a value with few contexts is judged mostly by its kind. Such terms are spans of their own; sanitising
+generalises entities to their kind and removes disclosing terms.
 
 Patterns have no repeated groups: separators inside a run are first turned into single marker characters
 (one for one, so places stay), which keeps matching linear and the stack flat on very long texts.
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import salted_join, stored
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 #: Private-use characters: a separator within a card number, a dot within a domain, and what such characters in a text are taken as.
@@ -30,6 +31,7 @@ OCTETS = r"^(?:0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.|$)){4}$"
 #: Characters on each side of an entity whose words are its context.
 REACH = 60
 WORD = r"(?<=[^\p{L}])\p{L}{3,40}(?!\p{L})"
+#: Documents that smooth an estimate, contexts of a value from which it has half the weight; least share of the information content.
 SUPPORT, DISCLOSURE = 3, 0.6
 SPAN = "array<struct<start:int,end:int>>"
 
@@ -112,19 +114,35 @@ def find_entities(docs: DataFrame, keep: list[str], text_col: str = "text") -> D
 
 
 def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """(entity, term): terms that reveal an entity. Contexts count once however often they are copied; probabilities are over all documents."""
-    near = found.where(F.size("near") > 0).select("uid", F.explode("near").alias("n")).select("uid", "n.entity", F.col("n.words").alias("words"))
-    near = near.withColumn("context", F.xxhash64("words.value"))
-    joint = near.select("entity", "context", F.explode("words.value").alias("term")).distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
-    entities = near.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    total = docs.count()
+    """(entity, term): terms that reveal an entity, with p(c|t) smoothed by `support` documents at the rate p(c).
+
+    A term's share of the information content is estimated for the entity's value and for its kind, and
+    the two are mixed: the value has n / (n + support) of the weight if it has n different contexts.
+    Probabilities are over all documents; as evidence, contexts count once however often they are copied.
+    """
+    judged = F.transform("near", lambda x, i: F.struct(F.get("base", i)["kind"].alias("kind"), x["entity"].alias("entity"), x["words"]["value"].alias("terms")))
+    near = found.where(F.size("near") > 0).select("uid", F.explode(judged).alias("n")).select("uid", "n.*").withColumn("context", F.xxhash64("terms"))
+    pairs = near.select("uid", "kind", "entity", "context", F.explode("terms").alias("term"))
+    counted = lambda name: [F.count_distinct("uid").alias(f"n_{name}"), F.count_distinct("context").alias(f"x_{name}")]
+    holders = found.agg(F.count("*"), *[F.count(F.when(F.exists("base", lambda s: s["kind"] == k), 1)) for k in range(len(KINDS) - 1)]).first()  # noqa: B023
+    n = F.lit(float(max(holders[0], 2)))
     words = F.array_distinct(F.split(F.lower(F.col(text_col).cast("string")), r"[^\p{L}]+"))
     terms = docs.select(F.explode(words).alias("term")).where(F.length("term").between(3, 40)).groupBy("term").agg(F.count("*").alias("n_term"))
-    rows = joint.join(terms, "term").join(entities, "entity")
-    n = F.lit(float(max(total, 2)))
-    information = F.log(n / F.col("n_entity"))
-    mutual = F.log(F.col("n_both") * n / (F.col("n_entity") * F.greatest("n_term", "n_both")))
-    return rows.where((information > 0) & (mutual >= disclosure * information)).select("entity", "term")
+
+    def share(whole: Column, both: str, contexts: str) -> Column:
+        """Mutual information as a share of the information content of what `whole` documents have."""
+        p = whole / n
+        documents = F.col(contexts) * F.greatest("n_term", both) / F.col(both)  # of the term, copies taken out
+        given = (F.col(contexts) + support * p) / (documents + support)
+        return F.when(p < 1, F.log(given / p) / -F.log(p)).otherwise(0.0)
+
+    of_kind = pairs.groupBy("kind", "term").agg(*counted("kind_term")).join(terms, "term", "left").withColumn("n_term", F.coalesce("n_term", "n_kind_term"))
+    of_kind = of_kind.select(F.struct("kind", "term").alias("pair"), "n_term", share(F.get(F.array(*[F.lit(float(c)) for c in holders[1:]]), F.col("kind")), "n_kind_term", "x_kind_term").alias("kind_share"))
+    values = near.groupBy("entity").agg(*counted("entity"))
+    of_value = pairs.groupBy("entity", F.struct("kind", "term").alias("pair")).agg(*counted("both"))
+    rows = salted_join(salted_join(of_value, of_kind, "pair", by="entity"), values, "entity", by="pair")
+    weight = F.col("x_entity") / (F.col("x_entity") + support)
+    return rows.where(weight * share(F.col("n_entity"), "n_both", "x_both") + (1 - weight) * F.col("kind_share") >= disclosure).select("entity", "pair.term")
 
 
 def personal_data(docs: DataFrame, keep: list[str], text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
@@ -134,9 +152,9 @@ def personal_data(docs: DataFrame, keep: list[str], text_col: str = "text", supp
     rows or null identifiers get their own spans. An empty table gives no rows.
     """
     found = find_entities(docs, keep, text_col)
-    terms = disclosing_terms(found, docs, text_col, support, disclosure)
+    terms = disclosing_terms(found, docs, text_col, support, disclosure).select(F.struct("entity", "term").alias("pair"))
     near = found.where(F.size("near") > 0).select("uid", F.explode("near").alias("n")).select("uid", "n.entity", F.explode("n.words").alias("w"))
-    more = near.select("uid", "entity", F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.col("w.value").alias("term")).join(terms, ["entity", "term"])
+    more = salted_join(near.select("uid", F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.struct("entity", F.col("w.value").alias("term")).alias("pair")), terms, "pair", by="uid")
     more = more.groupBy("uid").agg(F.collect_set(F.struct("start", F.lit(KINDS.index("term")).alias("kind"), "end")).alias("terms"))  # words near the spans of one row
     base = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     return found.join(more, "uid", "left").select("row", base.alias("base"), F.array_sort(F.concat(base, F.coalesce("terms", F.array().cast("array<struct<start:int,kind:int,end:int>>")))).alias("spans"))
