@@ -4,8 +4,10 @@ Statistics of each text are array expressions on its row. Transformed, they form
 language and source the location and covariance of the bulk of its vectors are estimated by minimum
 covariance determinant: start from medians and median absolute deviations, then concentration steps, each
 keeping the share of rows with the smallest Mahalanobis distance and taking their mean and covariance.
-Rows that are far from the estimate are rejected. All group results are partial aggregates; a language
-and source with a third of all rows costs no more than its rows.
+The estimate of a group is shrunk towards that of its language, which is shrunk towards that of the corpus,
+the more the fewer rows it has, so each row is judged. Rows that are far from the estimate are rejected.
+All group results are partial aggregates; a language and source with a third of all rows costs no more
+than its rows.
 """
 
 from __future__ import annotations
@@ -19,10 +21,12 @@ from .common import salted_join, stored
 SPACE = r"[\x20\x09-\x0D]"
 WINDOW = 8
 VECTOR = ["v0", "v1", "v2", "v3"]
+#: Key of the group of all rows; those of groups start with a brace, those of languages with "language".
+ALL = "all"
 #: Least standard deviation of each component: differences below it are never odd.
 FLOOR = [0.35, 0.08, 0.6, 0.6]
-#: Share of rows in the concentrated half, concentration steps, least rows of a group, squared distance from which a row is rejected.
-SHARE, STEPS, LEAST_ROWS, CUTOFF = 0.75, 3, 20, 45.0
+#: Share of rows in the concentrated half, concentration steps, rows that the estimate of the level above counts as, squared distance from which a row is rejected.
+SHARE, STEPS, PRIOR_ROWS, CUTOFF = 0.75, 3, 20, 45.0
 #: Medians of the chi-square distribution with four degrees of freedom: of the whole, to make distances comparable.
 CHI2_MEDIAN = 3.3567
 
@@ -103,8 +107,8 @@ def with_factor(groups: DataFrame) -> DataFrame:
 
 
 def estimates(rows: DataFrame, steps: int = STEPS, share: float = SHARE) -> DataFrame:
-    """(g, n, m<i>, l<i><j>): for each group of rows (g, v0..v3) with LEAST_ROWS rows or more, location and Cholesky factor of its minimum covariance determinant estimate, scaled so that the median squared distance is that of a normal distribution."""
-    medians = rows.groupBy("g").agg(F.count("*").alias("n"), *[F.percentile_approx(v, 0.5, 100_000).alias(f"m{i}") for i, v in enumerate(VECTOR)]).where(f"n >= {LEAST_ROWS}")
+    """(g, n, m<i>, l<i><j>): for each group of rows (g, v0..v3), location and Cholesky factor of its minimum covariance determinant estimate, scaled so that the median squared distance is that of a normal distribution."""
+    medians = rows.groupBy("g").agg(F.count("*").alias("n"), *[F.percentile_approx(v, 0.5, 100_000).alias(f"m{i}") for i, v in enumerate(VECTOR)])
     spread = salted_join(rows, medians, "g").groupBy("g").agg(*[F.percentile_approx(F.abs(F.col(v) - F.col(f"m{i}")), 0.5, 100_000).alias(f"d{i}") for i, v in enumerate(VECTOR)])
     first = medians.join(spread, "g")
     for i in range(4):
@@ -128,19 +132,40 @@ def estimates(rows: DataFrame, steps: int = STEPS, share: float = SHARE) -> Data
     return now.select("g", "n", *[f"m{i}" for i in range(4)], *[(F.col(f"l{i}{j}") * F.col("scale")).alias(f"l{i}{j}") for i in range(4) for j in range(i + 1)])
 
 
+def shrunk(groups: DataFrame, above: DataFrame, on: str | None) -> DataFrame:
+    """Estimates of groups (with the column `on`), each mixed with the one of `above` whose g is `on` (of the only one there, without `on`), which counts as PRIOR_ROWS rows."""
+    entries = [(i, j) for i in range(len(VECTOR)) for j in range(i + 1)]
+    above = above.select(F.col("g").alias("__up"), *[F.col(c).alias(f"a_{c}") for c in above.columns if c[0] in "ml"])
+    both = groups.crossJoin(above) if on is None else groups.join(above, F.col(on) == F.col("__up"))
+    own = F.col("n") / (F.col("n") + PRIOR_ROWS)
+    mixed = lambda x, y: own * x + (1 - own) * y
+    covariance = lambda a, i, j: sum((F.col(f"{a}l{i}{k}") * F.col(f"{a}l{j}{k}") for k in range(1, j + 1)), F.col(f"{a}l{i}0") * F.col(f"{a}l{j}0"))
+    both = both.select("g", "n", *[mixed(F.col(f"m{i}"), F.col(f"a_m{i}")).alias(f"m{i}") for i in range(len(VECTOR))], *[mixed(covariance("", i, j), covariance("a_", i, j)).alias(f"c{i}{j}") for i, j in entries])
+    return stored(with_factor(stored(both, "mcd")), "mcd")
+
+
+def shrunk_estimates(rows: DataFrame) -> DataFrame:
+    """(g, m<i>, l<i><j>): for each group of rows (g, lang, v0..v3; lang is the key of the group's language), its estimate shrunk towards that of its language and of all rows."""
+    levels = F.explode(F.array("g", "lang", F.lit(ALL)))
+    found = stored(estimates(rows.select(levels.alias("g"), *VECTOR)), "mcd")
+    of_lang = shrunk(found.join(rows.select(F.col("lang").alias("g")).distinct(), "g"), found.where(F.col("g") == ALL), None)
+    return shrunk(found.join(rows.select("g", "lang").distinct(), "g"), of_lang, "lang").drop("n")
+
+
 def quality_rules(docs: DataFrame, keep: list[str], text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cutoff: float = CUTOFF) -> DataFrame:
-    """For each row of docs: struct `row` of `keep`, struct `stats` (see text_statistics), base_failed, distance (squared, null where there is no estimate) and kept.
+    """For each row of docs: struct `row` of `keep`, struct `stats` (see text_statistics), base_failed, distance (squared, null only where no row of the group passes the base rules) and kept.
 
     base_failed: fewer than 20 words, or more than 30 % of the words in repeated windows. Other rows are
     kept unless their squared distance is over the cutoff. The estimates are learned from rows that pass
-    the base rules, for each language and source (null is a value like others); groups with fewer than
-    LEAST_ROWS such rows have no estimate, and their rows are kept. Equal rows count each.
+    the base rules, for each language and source (null is a value like others); those of small groups are
+    mostly the ones of their language and of the corpus. Equal rows count each.
     """
     # a group is a key that no value can be mistaken for, null included
-    group = F.to_json(F.struct(F.col(lang_col).cast("string").alias("l"), F.col(source_col).cast("string").alias("s")))
-    rows = text_statistics(docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), group.alias("g"), F.col(text_col).alias("text")))
+    lang = F.col(lang_col).cast("string").alias("l")
+    group = F.to_json(F.struct(lang, F.col(source_col).cast("string").alias("s")))
+    rows = text_statistics(docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), group.alias("g"), F.concat(F.lit("language "), F.to_json(F.struct(lang))).alias("lang"), F.col(text_col).alias("text")))
     failed = (F.col("stats.n_words") < 20) | (100 * F.col("stats.n_repeat_words") > 30 * F.col("stats.n_words"))
-    rows = stored(rows.select("row", "g", "stats", failed.alias("base_failed"), *vector_of()), "statistics")
-    estimate = estimates(rows.where("not base_failed").select("g", *VECTOR))
-    found = salted_join(rows, estimate.drop("n"), "g", "left").withColumn("distance", squared_distance())
+    rows = stored(rows.select("row", "g", "lang", "stats", failed.alias("base_failed"), *vector_of()), "statistics")
+    estimate = shrunk_estimates(rows.where("not base_failed").select("g", "lang", *VECTOR))
+    found = salted_join(rows, estimate, "g", "left").withColumn("distance", squared_distance())
     return found.select("row", "stats", "base_failed", "distance", (~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))).alias("kept"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shopstream.llm import pii
+from shopstream.llm import pii, quality_rules
 
 
 def test_a_rare_name_beside_one_address_is_removed_and_usual_words_stay(spark):
@@ -16,3 +16,15 @@ def test_a_rare_name_beside_one_address_is_removed_and_usual_words_stay(spark):
     assert "Zebulon" not in out[50] and "Quillon" not in out[150] + out[151]
     assert all(w in out[50] for w in ("report", "today", "came", "saw", "again"))
     assert out[3] == texts[3] and out[199] == ""
+
+
+def test_rows_of_small_groups_are_judged(spark):
+    text = lambda i, n: " ".join(f"w{(i * 7 + k * k) % 97}x{k}" for k in range(n))
+    junk = " ".join(f"#$%|<>*&{k}" for k in range(60))
+    rows = [(i, text(i, 60 + i % 40), "en", "big") for i in range(120)]
+    rows += [(200, text(3, 70), "en", "tiny"), (201, junk, "en", "junk"), (202, text(5, 80), "fr", "tiny"), (203, junk, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = {r.row.doc_id: r for r in quality_rules.quality_rules(docs, ["doc_id"]).collect()}
+    assert len(out) == len(rows) and all(r.base_failed or r.distance is not None for r in out.values())
+    assert {i: out[i].kept for i in (0, 200, 201, 202, 203)} == {0: True, 200: True, 201: False, 202: True, 203: False}
+    assert not out[201].base_failed and not out[203].base_failed
