@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from shopstream.llm import pii, quality_rules
+import pyarrow as pa
+
+from shopstream.llm import pii, quality_rules, toxicity
 
 
 def test_a_rare_name_beside_one_address_is_removed_and_usual_words_stay(spark):
@@ -28,3 +30,9 @@ def test_rows_of_small_groups_are_judged(spark):
     assert len(out) == len(rows) and all(r.base_failed or r.distance is not None for r in out.values())
     assert {i: out[i].kept for i in (0, 200, 201, 202, 203)} == {0: True, 200: True, 201: False, 202: True, 203: False}
     assert not out[201].base_failed and not out[203].base_failed
+
+
+def test_inner_words_lie_in_three_windows():
+    data, spans, row = toxicity.windows(pa.array([" ".join(f"w{i:02}" for i in range(25))]))
+    held = [sum(f"w{i:02}".encode() in data[int(a) : int(a + n)] for a, n in spans) for i in range(25)]
+    assert min(held) >= 1 and min(held[4:-5]) >= 3 and set(row) == {0}
