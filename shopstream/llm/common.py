@@ -13,10 +13,12 @@ _OWN_DIR: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session, or, where that is unset (tests), one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session, or, where that is unset in local mode (tests), one of our own. A cluster without that setting is an error: its executors see no folder of the driver's."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _OWN_DIR:
         _OWN_DIR.append(tempfile.mkdtemp(prefix="spark-"))
     return f"file://{_OWN_DIR[0]}"
@@ -73,8 +75,9 @@ def id_cells(ids: DataFrame, column: str, log2: int) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def salted_join(rows: DataFrame, groups: DataFrame, key: str, how: str = "inner", by: str | None = None, salts: int = 16) -> DataFrame:
-    """rows joined with a table of one row for each key, where a key may have a third of all rows: the rows of a key are dealt over `salts` partitions, and the key's row goes to each of them. They are dealt by the column `by`, or by their place in a stored() table, so that a task that runs again deals them alike."""
+def salted_join(rows: DataFrame, groups: DataFrame, key: str, how: str = "inner", by: str | None = None, salts: int | None = None) -> DataFrame:
+    """rows joined with a table of one row for each key, where a key may have a third of all rows: the rows of a key are dealt over `salts` partitions, and the key's row goes to each of them. They are dealt by the column `by`, or by their place in a stored() table, so that a task that runs again deals them alike. Without `salts` these are 16, more on a cluster of over 64 cores, 64 at most."""
+    salts = salts or min(64, max(16, rows.sparkSession.sparkContext.defaultParallelism // 4))
     dealt = rows.withColumn("__salt", F.pmod(F.monotonically_increasing_id() if by is None else F.xxhash64(by), F.lit(salts)))
     copies = groups.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     return dealt.join(copies, [key, "__salt"], how).drop("__salt")
@@ -88,18 +91,19 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x <> y")
     both = stored(both.union(both.select("y", "x")).distinct(), "edges")
-    labels = stored(both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("id"), F.least("x", "m").alias("label")), "labels")
+    labels = held = stored(both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("id"), F.least("x", "m").alias("label")), "labels")
     while True:
         near = both.join(labels.select(F.col("id").alias("y"), "label"), "y").groupBy("x").agg(F.min("label").alias("near"))
         step = labels.join(near.withColumnRenamed("x", "id"), "id", "left").select("id", "label", F.least("label", "near").alias("next"))
         jump = labels.select(F.col("id").alias("next"), F.col("label").alias("beyond"))
         step = step.join(jump, "next", "left").select("id", "label", F.least("next", "beyond").alias("next"))
         step = stored(step, "labels")
+        dropped(held)
         moved = step.where("next < label").limit(1).count()
-        labels, old = step.select("id", F.col("next").alias("label")), labels
+        labels, held = step.select("id", F.col("next").alias("label")), step
         if not moved:
+            dropped(both)
             return labels
-        del old
 
 
 def text_map(docs: DataFrame, text_col: str, keep: list[str], make, returns: str) -> DataFrame:

@@ -5,27 +5,33 @@ of the tokens: rare ones first, then frequent ones, by hash within each. Two set
 tokens differ in at most n - o tokens each, so their prefixes must meet:
 
 * Rare tokens are indexed one by one, the first n - o + 1 of each set.
-* A set with too few rare tokens extends its prefix into the frequent tokens. These are dealt into B
-  classes by hash, and are indexed as combinations of two tokens of one class. A class with p tokens in
-  the prefix then counts p - 1 towards the prefix: if no combination is shared, all but one of the p are
-  missing in the other set. With B near the permitted difference there are about as many combinations
-  as tokens.
-
-An index entry carries its set's size and its rank `v` (what the prefix counted before it), so that a
-pair is a candidate only if v <= n - o on both sides for the overlap o that its two sizes call for.
-Candidates are verified on the whole sets, so results are exact.
+* A set with too few rare tokens extends its prefix into all its frequent tokens. These are dealt into B
+  classes by hash, and each class is indexed as one combination, of all the set's tokens in it. If two
+  linked sets share no rare token, they differ in at most n * (100 - percent) / percent frequent ones less
+  the rare ones; with more classes than that, one class at least is the same in both. Where some classes
+  stay empty, the set is indexed with twice as many as well, until enough are filled. A combination of
+  frequent passages thus has to be shared token by token in a whole class, about five of them.
+
+An index entry carries its set's size and its rank `v` (what the prefix counted before it; of a
+combination, the rare tokens), so that a pair is a candidate only if v <= n - o on both sides for the
+overlap o that its two sizes call for. B depends on a band of sizes; a set is indexed for its own band and
+for the next one, so sets that can be linked have one in common. Candidates are verified on the whole
+sets, so results are exact.
 
 Which tokens are rare is read from a map of 2**bits cells counted over all documents: its size is fixed,
-and a wrong guess costs time, not results. Rare tokens have few documents, so all pairs of their lists
-are taken. Lists of combinations may be long (a group of near copies): they are first linked to one hub
-each, the set with the smallest rank; components are joined up, and only pairs that are still in
-different components are then compared. Equal sets are joined by digest beforehand and indexed once.
+and where it is too small for a corpus, tokens that share a cell count as frequent: that costs time, not
+results. A rare token has fewer than MOST documents, so all pairs of its list are taken. Lists of
+combinations may be long (a group of near copies): they are first linked to one hub each, the set with
+the smallest rank; components are joined up, and only pairs that are still in different components are
+then compared, dealt over more tasks the longer the list. Equal sets are joined by digest beforehand and
+indexed once.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,9 +43,11 @@ from .common import connected, docs_of, dropped, id_cells, in_cells, salted_join
 from .textvec import NON_SPACE, mix, release, shingles, slices, words
 
 PARTS = 256
-#: A token is frequent from this many documents on, or from FILL times the mean load of a cell.
-FREQUENT, FILL = 16, 4
+#: A token is frequent from FILL times the mean load of a cell on, which is taken as FREQUENT at least and as MOST at most.
+FREQUENT, FILL, MOST = 16, 4, 64
 MAX_BITS = 26
+#: A list of so many entries is worked on in one partition more, in LIST_PARTS at most.
+LIST_ROWS, LIST_PARTS = 2000, 512
 
 
 def sets_of(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -124,29 +132,44 @@ def allowed(n: np.ndarray | int, percent: int):
     return n - -(-percent * n // 100)
 
 
+def band_of(n: int, percent: int, starts: dict[int, list[int]] = {}) -> int:  # noqa: B006
+    """Band of a size: each ends with the largest size that can be linked to its first, so linked sets are in the same or in neighbouring bands."""
+    own = starts.setdefault(percent, [1])
+    while own[-1] <= n:
+        own.append(own[-1] * 100 // percent + 1)
+    return bisect_right(own, n) - 1
+
+
+def classes_of(band: int, percent: int) -> int:
+    """Classes for the sets that meet in a band: one more than the tokens in which two linked ones may differ, with a tenth for classes that stay empty."""
+    n = (100 / percent) ** (band + 1)
+    return int(1.1 * n * (100 - percent) / percent) + 1
+
+
 def entries(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, int]:
     """Signatures and ranks of a set; the first so many are single rare tokens, the rest combinations."""
     n = len(tokens)
     most = int(allowed(n, percent))
     rare = tokens[~frequent][: most + 1]
     sig, rank = [rare], [np.arange(len(rare))]
-    if len(rare) <= most:
+    apart = n * (100 - percent) // percent  # tokens in which a set that is linked to this one may differ; none: only equal sets are
+    differ = apart - len(rare)
+    if len(rare) <= most and apart > 0 and differ >= 0:
         common = tokens[frequent]
-        for band in sorted({n.bit_length(), (n - most).bit_length()}):
-            classes = max(1, (100 - percent) * (1 << (band - 1)) // 100)
-            kind = (mix(common) % np.uint64(classes)).astype(np.int64)
-            seen: dict[int, list[int]] = {}
-            counted = len(rare)
-            for i, k in enumerate(kind.tolist()):
-                if counted > most:
+        mixed, own = mix(common), mix(common + np.uint64(0x9FB21C651E98DF25))
+        for band in (band_of(n, percent), band_of(n, percent) + 1):
+            classes = classes_of(band, percent)
+            while True:
+                kind = mixed % np.uint64(classes)
+                order = np.argsort(kind, kind="stable")
+                kind = kind[order]
+                first = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1]]))
+                total = np.add.reduceat(own[order], first)
+                sig.append(mix(total + mix(kind[first] + np.uint64((band << 48) + (classes << 24)))))
+                rank.append(np.full(len(first), len(rare)))
+                if len(first) > differ or len(first) == len(common):
                     break
-                if before := seen.get(k):
-                    sig.append(mix(common[before] * np.uint64(0x9FB21C651E98DF25) + common[i] + np.uint64(band)))
-                    rank.append(np.full(len(before), counted))
-                    counted += 1
-                    before.append(i)
-                else:
-                    seen[k] = [i]
+                classes *= 2
     return np.concatenate(sig), np.concatenate(rank), len(rare)
 
 
@@ -278,7 +301,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     reps = stored(sets.where("n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("rep")).where("rep is not null").select("digest", "rep", F.expr("cast(conv(substr(hex(digest), 1, 16), 16, -10) as long)").alias("set_id")), "reps")
 
     load = (sets.agg(F.sum("n")).first()[0] or 0) / (1 << bits)
-    limit = int(max(FREQUENT, FILL * load))
+    limit = int(np.clip(FILL * load, FREQUENT, MOST))
     parts = counted.where("part is not null").select("part", "cells").repartition(min(PARTS, 64), "part").mapInArrow(_merge(limit), "part int, bits binary").collect()  # PARTS rows, 2**bits bits in all
     marks = np.zeros((1 << bits) // 8, np.uint8)
     width = len(marks) // PARTS
@@ -346,15 +369,17 @@ def _linked(pairs: DataFrame, wanted: DataFrame, tokens: DataFrame, percent: int
 
 
 def _crossing(lists: DataFrame, wanted: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of the combination lists whose sets are still in different components: entries outside a list's most usual component, each against the list."""
+    """Candidate pairs of the combination lists whose sets are still in different components: entries outside a list's most usual component, each against the list. A list is dealt over more partitions the longer it is."""
     reps = wanted.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("set_id", F.coalesce("label", "rep").alias("label"))
     now = lists.select("sig", "set_id", "n", "v").join(reps, "set_id")
     per = now.groupBy("sig", "label").agg(F.count("*").alias("m"))
-    usual = per.groupBy("sig").agg(F.max(F.struct("m", "label")).alias("top"), F.count("*").alias("k")).where("k > 1").select("sig", F.col("top.label").alias("usual"))
-    now = salted_join(now, usual, "sig", by="set_id")
-    left = now.where("label <> usual").select("sig", F.struct("set_id", "n", "v", "label").alias("x"))
-    right = now.select("sig", F.struct("set_id", "n", "v", "label").alias("y"))
-    return _pairs(left.join(right, "sig").where("x.label <> y.label"), percent)
+    usual = per.groupBy("sig").agg(F.max(F.struct("m", "label")).alias("top"), F.count("*").alias("k"), F.sum("m").alias("all")).where("k > 1")
+    usual = usual.select("sig", F.col("top.label").alias("usual"), F.expr(f"cast(least(1 + all div {LIST_ROWS}, {LIST_PARTS}) as int)").alias("salts"))
+    now = stored(salted_join(now, usual, "sig", by="set_id"), "crossing")
+    entry = F.struct("set_id", "n", "v", "label")
+    left = now.where("label <> usual").select("sig", F.pmod(F.xxhash64("set_id"), F.col("salts")).cast("int").alias("salt"), entry.alias("x"))
+    right = now.select("sig", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), entry.alias("y"))
+    return _pairs(left.join(right, ["sig", "salt"]).where("x.label <> y.label"), percent)
 
 
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:

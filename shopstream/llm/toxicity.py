@@ -1,17 +1,18 @@
 """Operator 3, toxicity by compression distance.
 
-Two zstandard dictionaries are trained, on ordinary and on toxic text. Both hold the same frequent words
-of ordinary text; the toxic one goes on with the words of word stems that toxic documents use in clearly
-more different contexts, the ordinary one with more ordinary words, to the same length. Every window of
-a text (a run of a few words) is compressed with either. The difference of the two lengths has a
-distribution in toxic and in ordinary windows, which gives each window a likelihood ratio; their sum over
-the text, for windows toxic at a small rate, is calibrated to a probability on the learning rows.
+zstandard trains dictionaries on ordinary and on toxic passages. Either of the two that are used is a part
+trained on ordinary windows, which both share, and an own part of equal size: trained on other ordinary
+windows, or on the passages of toxic texts whose words have a beginning (stem) that toxic texts use in
+clearly more different contexts. Every window of a text (a run of a few words) is compressed with either.
+Differences of the two lengths are told for learning texts by dictionaries trained without them; their
+distributions in toxic and in ordinary texts give each difference a likelihood ratio, which rises with it.
+The sum over a text's windows, for windows toxic at a small rate, is calibrated to a probability.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_map
+from .common import held_out, text_map
 from .ngram_features import learning_sample
 from .textvec import NON_SPACE, words
 
@@ -28,7 +29,9 @@ from .textvec import NON_SPACE, words
 ROWS_PER_LABEL, LEARN_BYTES = 1000, 50_000
 #: Words in a window, words from one window's start to the next one's, and bytes of a stem.
 WINDOW, STRIDE, STEM = 6, 2, 4
-SHARED_BYTES, TOXIC_BYTES = 8000, 1200
+#: Sizes that zstandard is asked for, of the shared part and of each own part; sizes of a dictionary's segments that are tried in turn.
+SHARED_BYTES, OWN_BYTES, SEGMENTS = 8192, 1400, (16, 12, 24, 32, 48)
+FOLDS = 2
 LOW, HIGH = -6, 12
 #: Rate of toxic windows in a toxic text.
 RATE = 0.02
@@ -96,46 +99,87 @@ def contexts(texts: list[str]) -> tuple[dict[bytes, set], int]:
     return out, sum(map(len, out.values()))
 
 
-def toxic_words(toxic: list[str], ordinary: list[str], least: float = 4.5) -> tuple[list[bytes], set[bytes]]:
-    """Words of the stems that toxic texts use in more contexts than chance allows (`least` standard deviations, three times their share), weakest first, and the stems."""
+def toxic_stems(toxic: list[str], ordinary: list[str], least: float = 4.5) -> set[bytes]:
+    """Stems that toxic texts use in more contexts than chance allows: by `least` standard deviations, and three times their share."""
     (in_toxic, n_toxic), (in_ordinary, n_ordinary) = contexts(toxic), contexts(ordinary)
     share = n_toxic / max(1, n_toxic + n_ordinary)
-    found = []
+    out = set()
     for stem, pairs in in_toxic.items():
         n = len(pairs) + len(in_ordinary.get(stem, ()))
         sigma = (len(pairs) - n * share) / math.sqrt(n * share * (1 - share) + 1)
         if sigma >= least and len(pairs) * (1 - share) * n_ordinary >= 3 * len(in_ordinary.get(stem, ())) * share * n_toxic:
-            found.append((sigma, stem))
-    out = []
-    for _, stem in sorted(found):
-        out += [w for w, _ in sorted(Counter(w for _, w in in_toxic[stem]).most_common(40), key=lambda x: (x[1], x[0]))]
-    return out, {stem for _, stem in found}
+            out.add(stem)
+    return out
+
+
+def trained(size: int, passages: list[bytes]) -> bytes:
+    """A dictionary that zstandard trains on passages; the longest one where none gets near the size, the passages themselves where they are too few to train on."""
+    best = b""
+    for k in SEGMENTS:
+        try:
+            found = zstandard.train_dictionary(size, passages, k=k, d=6, level=3).as_bytes()
+        except zstandard.ZstdError:
+            continue
+        best = max(best, found, key=len)
+        if len(best) >= 0.9 * size:
+            break
+    return best or b"".join(passages)[-size:]
+
+
+def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
+    """The ordinary and the toxic dictionary, of equal size, trained on the passages of texts."""
+    data, spans, _ = windows(pa.array(ordinary, pa.string()))
+    plain = [data[int(a) : int(a + n)] for a, n in spans[::3]]  # each third window starts after the one before it ends
+    stems = toxic_stems(toxic, ordinary)
+    marked = (b"".join(b" " + w.strip(b".,;:!?") for w in t.encode().lower().split() if w[:STEM] in stems) for t in toxic)
+    shared = trained(SHARED_BYTES, plain[::2])
+    own = trained(OWN_BYTES, [p + b" " for p in marked if p])
+    other = trained(max(len(own), 256), plain[1::2])[-len(own) :] if own else b""
+    return shared + other.rjust(len(own)), shared + own
+
+
+def increasing(ratio: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The closest values to ratio that never fall, by pooling adjacent ones that do."""
+    blocks: list[list[float]] = []
+    for r, w in zip(ratio, weight, strict=True):
+        blocks.append([r, w, 1])
+        while len(blocks) > 1 and blocks[-2][0] > blocks[-1][0]:
+            r1, w1, n1 = blocks.pop()
+            r0, w0, n0 = blocks[-1]
+            blocks[-1] = [(r0 * w0 + r1 * w1) / (w0 + w1), w0 + w1, n0 + n1]
+    return np.repeat([b[0] for b in blocks], [int(b[2]) for b in blocks])
+
+
+def window_ratio(in_toxic: np.ndarray, in_ordinary: np.ndarray) -> np.ndarray:
+    """Likelihood ratio of toxic to ordinary windows for each difference. Windows of toxic texts are ordinary but for the share by which their smallest ratio falls short of 1."""
+    a, b = (np.bincount(d - LOW, minlength=HIGH - LOW + 1) + 0.3 for d in (in_toxic, in_ordinary))
+    ratio = increasing((a / a.sum()) / (b / b.sum()), a / a.sum() + b / b.sum())
+    share = max(1 - float(ratio.min()), 0.01)
+    return np.clip((ratio - (1 - share)) / share, 1e-3, 1e5)
 
 
 def fit_toxicity_model(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", rows_per_label: int = ROWS_PER_LABEL) -> ToxicityModel | None:
-    """Learns from labelled rows that are not held out; None without both labels."""
+    """Learns from labelled rows that are not held out, whatever part of the model; None without both labels. Equal texts of a label are learned from once."""
     rows = learning_sample(docs.where(F.octet_length(text_col) <= LEARN_BYTES), labels, label, rows_per_label, id_col, text_col).toArrow()
-    pairs = sorted(zip((int(v) for v in rows.column(1).to_pylist()), rows.column(0).to_pylist(), strict=True))
-    toxic, ordinary = [t for y, t in pairs if y == 1], [t for y, t in pairs if y == 0]
-    if not toxic or not ordinary:
+    pairs = sorted({(int(v), t) for v, t in zip(rows.column(1).to_pylist(), rows.column(0).to_pylist(), strict=True)})
+    texts, y = [t for _, t in pairs], np.array([v for v, _ in pairs], np.int64)
+    if not (y == 1).any() or not (y == 0).any():
         return None
-    listed, stems = toxic_words(toxic, ordinary)
-    frequent = [w for w, _ in sorted(Counter(w for t in ordinary for w in t.encode().lower().split()).items(), key=lambda x: (-x[1], x[0]))[:4000]]
-    filler = b" ".join([b"", *frequent[::-1], b""])
-    own = b" ".join([b"", *listed, b""])[-TOXIC_BYTES:]
-    model = ToxicityModel(filler[-SHARED_BYTES - len(own) :], filler[-SHARED_BYTES:] + own, np.ones(HIGH - LOW + 1), 1.0, -2.0)
-    with_both = compressor(model.ordinary), compressor(model.toxic)
-    texts = pa.array([t for _, t in pairs], pa.string())
-    y = np.array([v for v, _ in pairs])
-    data, spans, row = windows(texts)
-    difference = differences(data, spans, *with_both)
-    marked = np.array([any(w[:STEM] in stems for w in data[int(a) : int(a + n)].split()) for a, n in spans], bool)
-    in_toxic = np.bincount(difference[marked & (y[row] == 1)] - LOW, minlength=HIGH - LOW + 1) + 0.1
-    in_ordinary = np.bincount(difference[y[row] == 0] - LOW, minlength=HIGH - LOW + 1) + 0.1
-    model.ratio = np.clip((in_toxic / in_toxic.sum()) / (in_ordinary / in_ordinary.sum()), 1e-3, 1e5)
-    x = evidence(difference, row, len(y), model.ratio)
-    # logistic calibration in one variable, at the rate of toxic rows among the labelled ones
-    counts = {int(r[0]): r[1] for r in labels.where(F.col(label).isNotNull()).groupBy(F.col(label)).count().collect() if r[0] is not None and int(r[0]) in (0, 1)}
+    fold = np.arange(len(y)) % FOLDS
+    # every text is told by dictionaries that were trained without it
+    difference, row = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k in range(FOLDS):
+        own = np.flatnonzero(fold == k)
+        ordinary, toxic = dictionaries(*([texts[i] for i in np.flatnonzero((fold != k) & (y == v))] for v in (1, 0)))
+        data, spans, at = windows(pa.array([texts[i] for i in own], pa.string()))
+        difference.append(differences(data, spans, compressor(ordinary), compressor(toxic)))
+        row.append(own[at])
+    d, row = np.concatenate(difference), np.concatenate(row)
+    model = ToxicityModel(*dictionaries(*([t for t, w in zip(texts, y, strict=True) if w == v] for v in (1, 0))), window_ratio(d[y[row] == 1], d[y[row] == 0]), 1.0, -2.0)
+    x = evidence(d, row, len(y), model.ratio)
+    # logistic calibration in one variable, at the rate of toxic rows among the labelled ones that are not held out
+    known = labels.where(F.col(label).isNotNull() & ~held_out(id_col))
+    counts = {int(r[0]): r[1] for r in known.groupBy(F.col(label)).count().collect() if r[0] is not None and int(r[0]) in (0, 1)}
     weight = np.where(y == 1, counts.get(1, 1) / (y == 1).sum(), counts.get(0, 1) / (y == 0).sum())
     weight = weight / weight.sum()
     slope, offset = 1.0, 0.0
