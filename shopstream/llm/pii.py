@@ -2,11 +2,12 @@
 
 Entities that have a form (email, ip, card, phone) are found by patterns. A text's protected entities
 make the words near them risky: a term that occurs near an entity and hardly elsewhere in the corpus
-reveals it. With probabilities over all documents, a term t discloses an
-entity c if its pointwise mutual information with c makes up at least `disclosure` of the information
-content of c:  log p(c,t) / (p(c) p(t))  >=  disclosure * -log p(c).  c is both the entity's value and its
-kind: a value with few contexts is judged mostly by its kind. Such terms are spans of their own; sanitising
-generalises entities to their kind and removes disclosing terms.
+reveals it. All probabilities are shares of the different texts of the corpus: p(c) of those with entity c,
+p(t) of those with term t, p(c,t) of those with t near c. Term t discloses c if their pointwise mutual
+information makes up at least `disclosure` of the information content of c:
+log p(c,t) / (p(c) p(t))  >=  disclosure * -log p(c).  c is both the entity's value and its kind: a value
+in few texts is judged mostly by its kind. Wherever such a term stands in a text with the entity, near it
+or not, it is a span of its own; sanitising generalises entities to their kind and removes disclosing terms.
 
 Patterns have no repeated groups: separators inside a run are first turned into single marker characters
 (one for one, so places stay), which keeps matching linear and the stack flat on very long texts.
@@ -31,31 +32,48 @@ OCTETS = r"^(?:0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.|$)){4}$"
 #: Characters on each side of an entity whose words are its context.
 REACH = 60
 WORD = r"(?<=[^\p{L}])\p{L}{3,40}(?!\p{L})"
-#: Documents that smooth an estimate, contexts of a value from which it has half the weight; least share of the information content.
+#: Texts that smooth an estimate, texts of a value from which it has half the weight; least share of the information content.
 SUPPORT, DISCLOSURE = 3, 0.6
 SPAN = "array<struct<start:int,end:int>>"
 
 
+FOUND = "array<struct<start:int,end:int,value:string>>"
+
+
+def let(value: Column, use) -> Column:
+    """use(value), with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0), lambda s, x: s + x)
+
+
 def places(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, value>> of all matches, in characters from 0: what stands between the matches gives their places."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+    """array<struct<start, end, value>> of all matches, in characters from 0.
 
-    def step(s: Column, i: Column) -> Column:
-        begin = s["at"] + F.length(F.get(between_, i))
-        value = F.get(found_, i)
-        end = begin + F.length(value)
-        return F.struct(end.alias("at"), F.concat(s["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), value.alias("value")))).alias("out"))
+    What stands between the matches gives their places: a match ends after the lengths of all before it.
+    These are summed in blocks of about as many matches as there are blocks, which keeps the work and the
+    memory far below the square of the number of matches.
+    """
 
     def walk(pair: Column) -> Column:
-        nonlocal found_, between_
-        found_, between_ = pair["found"], pair["between"]
-        n = F.size(found_)
-        return F.when(n == 0, F.array().cast("array<struct<start:int,end:int,value:string>>")).otherwise(F.aggregate(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), start, step)["out"])
+        lengths = F.transform(pair["found"], lambda v, i: F.length(F.get(pair["between"], i)) + F.length(v))
+        size = F.ceil(F.sqrt(F.size(pair["found"]))).cast("int")
+        return let(F.struct(lengths.alias("lengths"), size.alias("size")), lambda work: blocks(pair["found"], work["lengths"], work["size"]))
+
+    def blocks(found: Column, lengths: Column, size: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.size(found) - 1, size)
+        sums = F.transform(starts, lambda at: total(F.slice(lengths, at + 1, size)))
+        return let(sums, lambda of: let(F.transform(of, lambda _, k: total(F.slice(of, F.lit(1), k))), lambda before: F.transform(found, lambda v, i: place(v, i, lengths, size, before))))
 
-    found_ = between_ = None
-    return F.transform(F.array(F.struct(found.alias("found"), between.alias("between"))), walk)[0]
+    def place(value: Column, i: Column, lengths: Column, size: Column, before: Column) -> Column:
+        block = F.floor(i / size).cast("int")
+        end = F.get(before, block) + total(F.slice(lengths, block * size + 1, i - block * size + 1))
+        return let(end, lambda e: F.struct((e - F.length(value)).alias("start"), e.alias("end"), value.alias("value")))
+
+    pair = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("between"))
+    return let(pair, lambda p: F.when(F.size(p["found"]) == 0, F.array().cast(FOUND)).otherwise(walk(p)))
 
 
 def luhn(digits: Column) -> Column:
@@ -75,7 +93,7 @@ def digits_of(value: Column) -> Column:
 
 def base_spans(text: Column) -> Column:
     """array<struct<start, kind (place in KINDS), end, value>> of the patterned kinds in a text that is not null, by start, then kind."""
-    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    empty = F.array().cast(FOUND)
     plain = F.translate(text, JOIN + DOT, OTHER + OTHER)
     email = F.when(F.instr(text, "@") > 0, places(F.regexp_replace(plain, rf"(?<=[{LABEL}])\.(?=[{LABEL}])", DOT), EMAIL)).otherwise(empty)
     ip = F.when(text.rlike(r"[0-9]\.[0-9]"), F.filter(places(text, IP), lambda m: m["value"].rlike(OCTETS))).otherwise(empty)
@@ -104,58 +122,63 @@ def context_words(text: Column, span: Column) -> Column:
 
 
 def find_entities(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
-    """(row, uid, base, near): base spans of each row of docs, and for each of them its entity and context words. Stored, so that uid stays."""
+    """(row, uid, same, base, near, words): base spans of each row of docs, for each of them its entity and context words, and all words of texts with a base span; `same` is equal for equal texts. Stored, so that uid stays."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), text.alias("text"))
     rows = rows.withColumn("base", base_spans(F.col("text")))
     near = F.transform("base", lambda s: F.struct(F.xxhash64(s["kind"], s["value"]).alias("entity"), context_words(F.col("text"), s).alias("words")))
-    rows = rows.withColumn("near", F.when(F.size("base") > 0, near))
-    return stored(rows.select("row", F.monotonically_increasing_id().alias("uid"), "base", "near"), "entities")
+    words = F.transform(places(F.concat(F.lit(" "), "text"), WORD), lambda w: F.struct((w["start"] - 1).alias("start"), (w["end"] - 1).alias("end"), F.lower(w["value"]).alias("value")))
+    some = F.size("base") > 0
+    rows = rows.withColumn("near", F.when(some, near)).withColumn("words", F.when(some, words))
+    return stored(rows.select("row", F.monotonically_increasing_id().alias("uid"), F.xxhash64("text").alias("same"), "base", "near", "words"), "entities")
 
 
 def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """(entity, term): terms that reveal an entity, with p(c|t) smoothed by `support` documents at the rate p(c).
+    """(entity, term): terms that reveal an entity, with p(c|t) smoothed by `support` texts at the rate p(c).
 
     A term's share of the information content is estimated for the entity's value and for its kind, and
-    the two are mixed: the value has n / (n + support) of the weight if it has n different contexts.
-    Probabilities are over all documents; as evidence, contexts count once however often they are copied.
+    the two are mixed: the value has n / (n + support) of the weight if n texts have it. Everything counts
+    different texts, so that a copied text is no evidence of its own.
     """
-    judged = F.transform("near", lambda x, i: F.struct(F.get("base", i)["kind"].alias("kind"), x["entity"].alias("entity"), x["words"]["value"].alias("terms")))
-    near = found.where(F.size("near") > 0).select("uid", F.explode(judged).alias("n")).select("uid", "n.*").withColumn("context", F.xxhash64("terms"))
-    pairs = near.select("uid", "kind", "entity", "context", F.explode("terms").alias("term"))
-    counted = lambda name: [F.count_distinct("uid").alias(f"n_{name}"), F.count_distinct("context").alias(f"x_{name}")]
-    holders = found.agg(F.count("*"), *[F.count(F.when(F.exists("base", lambda s: s["kind"] == k), 1)) for k in range(len(KINDS) - 1)]).first()  # noqa: B023
-    n = F.lit(float(max(holders[0], 2)))
+    judged = F.transform("near", lambda x, i: F.struct(F.get("base", i)["kind"].alias("kind"), x["entity"].alias("entity"), F.array_distinct(x["words"]["value"]).alias("terms")))
+    near = found.where(F.size("near") > 0).select("same", F.explode(judged).alias("n")).select("same", "n.*")
+    pairs = near.select("same", "kind", "entity", F.explode("terms").alias("term"))
+    texts = lambda name: F.count_distinct("same").alias(name)
+    n = F.lit(float(max(found.agg(F.count_distinct("same")).first()[0], 2)))
     words = F.array_distinct(F.split(F.lower(F.col(text_col).cast("string")), r"[^\p{L}]+"))
-    terms = docs.select(F.explode(words).alias("term")).where(F.length("term").between(3, 40)).groupBy("term").agg(F.count("*").alias("n_term"))
+    terms = docs.select(F.xxhash64(F.col(text_col).cast("string")).alias("same"), F.explode(words).alias("term")).where(F.length("term").between(3, 40)).groupBy("term").agg(texts("n_term"))
 
-    def share(whole: Column, both: str, contexts: str) -> Column:
-        """Mutual information as a share of the information content of what `whole` documents have."""
+    def share(whole: Column, both: str) -> Column:
+        """Mutual information as a share of the information content of what `whole` texts have."""
         p = whole / n
-        documents = F.col(contexts) * F.greatest("n_term", both) / F.col(both)  # of the term, copies taken out
-        given = (F.col(contexts) + support * p) / (documents + support)
+        given = (F.col(both) + support * p) / (F.greatest("n_term", both) + support)
         return F.when(p < 1, F.log(given / p) / -F.log(p)).otherwise(0.0)
 
-    of_kind = pairs.groupBy("kind", "term").agg(*counted("kind_term")).join(terms, "term", "left").withColumn("n_term", F.coalesce("n_term", "n_kind_term"))
-    of_kind = of_kind.select(F.struct("kind", "term").alias("pair"), "n_term", share(F.get(F.array(*[F.lit(float(c)) for c in holders[1:]]), F.col("kind")), "n_kind_term", "x_kind_term").alias("kind_share"))
-    values = near.groupBy("entity").agg(*counted("entity"))
-    of_value = pairs.groupBy("entity", F.struct("kind", "term").alias("pair")).agg(*counted("both"))
+    kinds = stored(near.groupBy("kind").agg(texts("n_kind")), "kinds")  # four rows
+    of_kind = pairs.groupBy("kind", "term").agg(texts("n_kind_term")).join(terms, "term", "left").withColumn("n_term", F.coalesce("n_term", "n_kind_term")).join(kinds, "kind")
+    of_kind = of_kind.select(F.struct("kind", "term").alias("pair"), "n_term", share(F.col("n_kind"), "n_kind_term").alias("kind_share"))
+    values = near.groupBy("entity").agg(texts("n_entity"))
+    of_value = pairs.groupBy("entity", F.struct("kind", "term").alias("pair")).agg(texts("n_both"))
     rows = salted_join(salted_join(of_value, of_kind, "pair", by="entity"), values, "entity", by="pair")
-    weight = F.col("x_entity") / (F.col("x_entity") + support)
-    return rows.where(weight * share(F.col("n_entity"), "n_both", "x_both") + (1 - weight) * F.col("kind_share") >= disclosure).select("entity", "pair.term")
+    weight = F.col("n_entity") / (F.col("n_entity") + support)
+    return rows.where(weight * share(F.col("n_entity"), "n_both") + (1 - weight) * F.col("kind_share") >= disclosure).select("entity", "pair.term")
 
 
 def personal_data(docs: DataFrame, keep: list[str], text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """For each row of docs: struct `row` of `keep`, base and spans, both array<struct<start, kind, end>> by start, then kind (a place in KINDS). spans: the base ones and the terms that disclose an entity near them.
+    """For each row of docs: struct `row` of `keep`, base and spans, both array<struct<start, kind, end>> by start, then kind (a place in KINDS). spans: the base ones and all places of the terms that disclose an entity of the text.
 
     Null texts are taken as empty and have no spans. Rows are told apart by a stored number, so repeated
-    rows or null identifiers get their own spans. An empty table gives no rows.
+    rows or null identifiers get their own spans. An empty table gives no rows. A share right on
+    `disclosure` discloses.
     """
     found = find_entities(docs, keep, text_col)
-    terms = disclosing_terms(found, docs, text_col, support, disclosure).select(F.struct("entity", "term").alias("pair"))
-    near = found.where(F.size("near") > 0).select("uid", F.explode("near").alias("n")).select("uid", "n.entity", F.explode("n.words").alias("w"))
-    more = salted_join(near.select("uid", F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.struct("entity", F.col("w.value").alias("term")).alias("pair")), terms, "pair", by="uid")
-    more = more.groupBy("uid").agg(F.collect_set(F.struct("start", F.lit(KINDS.index("term")).alias("kind"), "end")).alias("terms"))  # words near the spans of one row
+    terms = stored(disclosing_terms(found, docs, text_col, support, disclosure), "terms")
+    some = found.where(F.size("near") > 0)
+    words = some.select("uid", F.explode("words").alias("w")).select("uid", F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.col("w.value").alias("term"))
+    entities = some.select("uid", F.explode(F.array_distinct("near.entity")).alias("entity"))
+    # by term first: a term discloses few entities, while a text may have many of both
+    held = salted_join(words.select("uid", "term").distinct(), terms, "term", by="uid").join(entities, ["uid", "entity"], "left_semi").select("uid", "term").distinct()
+    more = words.join(held, ["uid", "term"]).groupBy("uid").agg(F.collect_set(F.struct("start", F.lit(KINDS.index("term")).alias("kind"), "end")).alias("terms"))  # words of one row
     base = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     return found.join(more, "uid", "left").select("row", base.alias("base"), F.array_sort(F.concat(base, F.coalesce("terms", F.array().cast("array<struct<start:int,kind:int,end:int>>")))).alias("spans"))
 
@@ -171,17 +194,22 @@ def listed(spans: str) -> Column:
 
 
 def sanitised_text(text: Column, spans: Column) -> Column:
-    """The text with every entity generalised to <kind> and every disclosing term removed. Where spans overlap the one that starts first is taken."""
+    """The text with every entity generalised to <kind> and every disclosing term removed. Spans that overlap are replaced together, by the name of the one that starts first."""
     names = F.array(*[F.lit(f"<{k}>") for k in KINDS[:-1]], F.lit(""))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def step(s: Column, m: Column) -> Column:
-        cut = F.substring(text, s["at"] + 1, m["start"] - s["at"])
-        return F.when(m["start"] < s["at"], s).otherwise(F.struct(m["end"].alias("at"), F.concat(s["out"], F.array(cut, F.get(names, m["kind"]))).alias("out")))
+    def walk(ends: Column, size: Column) -> Column:
+        """The text piece by piece: before each span what lies behind all spans before it. The farthest of their ends is looked up in blocks."""
+        highest = F.transform(F.sequence(F.lit(0), F.size(ends) - 1, size), lambda at: F.array_max(F.slice(ends, at + 1, size)))
+        return let(highest, lambda of: let(F.transform(of, lambda _, k: F.array_max(F.slice(of, F.lit(1), k))), lambda before: F.concat(F.array_join(F.transform(spans, lambda m, i: piece(m, i, ends, size, before)), ""), tail(F.array_max(ends)))))
+
+    def piece(m: Column, i: Column, ends: Column, size: Column, before: Column) -> Column:
+        block = F.floor(i / size).cast("int")
+        behind = F.greatest(F.get(before, block), F.array_max(F.slice(ends, block * size + 1, i - block * size)), F.lit(0))
+        return let(behind, lambda b: F.when(m["start"] < b, F.lit("")).otherwise(F.concat(F.substring(text, b + 1, m["start"] - b), F.get(names, m["kind"]))))
 
-    done = F.aggregate(spans, start, step)
-    finish = lambda d: F.concat(F.array_join(d["out"], ""), F.substring(text, d["at"] + 1, F.length(text) - d["at"]))
-    return F.when(F.size(spans) == 0, text).otherwise(F.transform(F.array(done), finish)[0])
+    tail = lambda at: F.substring(text, at + 1, F.greatest(F.length(text) - at, F.lit(0)))
+    done = let(F.struct(F.transform(spans, lambda m: m["end"]).alias("ends"), F.ceil(F.sqrt(F.size(spans))).cast("int").alias("size")), lambda w: walk(w["ends"], w["size"]))
+    return F.when(F.size(spans) == 0, text).otherwise(done)
 
 
 def sanitised(docs: DataFrame, text_col: str = "text") -> DataFrame:

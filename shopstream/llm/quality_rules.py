@@ -2,12 +2,14 @@
 
 Statistics of each text are array expressions on its row. Transformed, they form a vector; for each
 language and source the location and covariance of the bulk of its vectors are estimated by minimum
-covariance determinant: start from medians and median absolute deviations, then concentration steps, each
-keeping the share of rows with the smallest Mahalanobis distance and taking their mean and covariance.
+covariance determinant. There are three starts: medians with median absolute deviations, mean with
+covariance, and the covariance of the directions from the median. Concentration steps keep the share of
+rows with the smallest Mahalanobis distance and take their mean and covariance; after two of them each
+group goes on with the start of the smallest determinant, until no group's determinant falls any more.
 The estimate of a group is shrunk towards that of its language, which is shrunk towards that of the corpus,
-the more the fewer rows it has, so each row is judged. Rows that are far from the estimate are rejected.
-All group results are partial aggregates; a language and source with a third of all rows costs no more
-than its rows.
+the more the fewer rows it has, so each row is judged. Rows are rejected if their distance is over a
+quantile of the chi-square distribution. All group results are partial aggregates; a language and source
+with a third of all rows costs no more than its rows.
 """
 
 from __future__ import annotations
@@ -23,12 +25,12 @@ WINDOW = 8
 VECTOR = ["v0", "v1", "v2", "v3"]
 #: Key of the group of all rows; those of groups start with a brace, those of languages with "language".
 ALL = "all"
-#: Least standard deviation of each component: differences below it are never odd.
+#: Least standard deviation of each component: differences below it are never odd (fixed values, in units of the log scales).
 FLOOR = [0.35, 0.08, 0.6, 0.6]
-#: Share of rows in the concentrated half, concentration steps, rows that the estimate of the level above counts as, squared distance from which a row is rejected.
-SHARE, STEPS, PRIOR_ROWS, CUTOFF = 0.75, 3, 20, 45.0
-#: Medians of the chi-square distribution with four degrees of freedom: of the whole, to make distances comparable.
-CHI2_MEDIAN = 3.3567
+#: Share of rows in the concentrated part, most concentration steps, fall of the log determinant below which a group has converged, rows that the estimate of the level above counts as.
+SHARE, STEPS, CONVERGED, PRIOR_ROWS = 0.75, 20, 1e-3, 20
+#: Quantiles of the chi-square distribution with four degrees of freedom: 0.999999, over which a squared distance is rejected, and the median, to make distances comparable.
+CUTOFF, CHI2_MEDIAN = 33.3768, 3.3567
 
 
 def let(value: Column, use) -> Column:
@@ -94,53 +96,76 @@ def squared_distance(prefix: str = "") -> Column:
     return sum((x * x for x in z[1:]), z[0] * z[0])
 
 
-def with_factor(groups: DataFrame) -> DataFrame:
-    """Adds the Cholesky factor l<i><j> of the covariance c<i><j>, whose diagonal is at least the squared floor."""
-    for i in range(len(VECTOR)):
-        for j in range(i + 1):
-            rest = F.col(f"c{i}{j}")
-            for k in range(j):
-                rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            entry = F.sqrt(F.greatest(rest, F.lit(FLOOR[i] ** 2 / 4))) if i == j else rest / F.col(f"l{j}{j}")
-            groups = groups.withColumn(f"l{i}{j}", entry)
-    return groups.select("g", "n", *[f"m{i}" for i in range(4)], *[f"l{i}{j}" for i in range(4) for j in range(i + 1)])
+ENTRIES = [(i, j) for i in range(len(VECTOR)) for j in range(i + 1)]
+MEANS, FACTOR = [f"m{i}" for i in range(len(VECTOR))], [f"l{i}{j}" for i, j in ENTRIES]
+
+
+def with_factor(groups: DataFrame, keep: tuple[str, ...] = ("g", "n")) -> DataFrame:
+    """`keep`, means, the Cholesky factor l<i><j> of the covariance c<i><j>, whose diagonal is at least the squared floor, and log_det."""
+    for i, j in ENTRIES:
+        rest = F.col(f"c{i}{j}")
+        for k in range(j):
+            rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
+        entry = F.sqrt(F.greatest(rest, F.lit(FLOOR[i] ** 2 / 4))) if i == j else rest / F.col(f"l{j}{j}")
+        groups = groups.withColumn(f"l{i}{j}", entry)
+    log_det = sum((2 * F.log(f"l{i}{i}") for i in range(1, len(VECTOR))), 2 * F.log("l00"))
+    return groups.select(*keep, *MEANS, *FACTOR, log_det.alias("log_det"))
+
+
+def floored(c: Column, i: int, j: int) -> Column:
+    return F.greatest(c, F.lit(FLOOR[i] ** 2)) if i == j else c
+
+
+def starts(rows: DataFrame) -> DataFrame:
+    """(g, s, n, means, factor, log_det): the three starts s of each group."""
+    medians = rows.groupBy("g").agg(F.count("*").alias("n"), *[F.percentile_approx(v, 0.5, 100_000).alias(f"o{i}") for i, v in enumerate(VECTOR)])
+    spread = salted_join(rows, medians, "g").groupBy("g").agg(*[F.percentile_approx(F.abs(F.col(v) - F.col(f"o{i}")), 0.5, 100_000).alias(f"d{i}") for i, v in enumerate(VECTOR)])
+    centre = medians.join(spread, "g").select("g", "n", *[f"o{i}" for i in range(4)], *[F.greatest(1.4826 * F.col(f"d{i}"), F.lit(FLOOR[i])).alias(f"d{i}") for i in range(4)])
+    centre = stored(centre, "mcd")
+    x = [F.col(v) - F.col(f"o{i}") for i, v in enumerate(VECTOR)]
+    length = F.greatest(sum((F.pow(x[i] / F.col(f"d{i}"), 2) for i in range(1, 4)), F.pow(x[0] / F.col("d0"), 2)), F.lit(1e-6))
+    sums = salted_join(rows, centre, "g").groupBy("g").agg(*[F.avg(x[i]).alias(f"a{i}") for i in range(4)], *[F.avg(x[i] * x[j]).alias(f"p{i}{j}") for i, j in ENTRIES], *[F.avg(4 * x[i] * x[j] / length).alias(f"q{i}{j}") for i, j in ENTRIES])
+    both = centre.join(sums, "g")
+    medians_only = both.select("g", F.lit(0).alias("s"), "n", *[F.col(f"o{i}").alias(f"m{i}") for i in range(4)], *[(F.pow(f"d{i}", 2) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in ENTRIES])
+    classical = both.select("g", F.lit(1), "n", *[F.col(f"o{i}") + F.col(f"a{i}") for i in range(4)], *[floored(F.col(f"p{i}{j}") - F.col(f"a{i}") * F.col(f"a{j}"), i, j) for i, j in ENTRIES])
+    directions = both.select("g", F.lit(2), "n", *[f"o{i}" for i in range(4)], *[floored(F.col(f"q{i}{j}"), i, j) for i, j in ENTRIES])
+    return stored(with_factor(stored(medians_only.union(classical).union(directions), "mcd"), ("g", "s", "n")), "mcd")
+
+
+def concentrated(rows: DataFrame, now: DataFrame, share: float) -> DataFrame:
+    """One concentration step for each group and start of `now`."""
+    limit = salted_join(rows, now, "g").groupBy("g", "s").agg(F.percentile_approx(squared_distance(), share, 100_000).alias("limit"))
+    inner = salted_join(rows, now.join(limit, ["g", "s"]), "g").where(squared_distance() <= F.col("limit"))
+    x = [F.col(v) - F.col(f"m{i}") for i, v in enumerate(VECTOR)]  # around the estimate before: no loss of digits
+    sums = inner.groupBy("g", "s").agg(F.first("n").alias("n"), *[F.first(f"m{i}").alias(f"o{i}") for i in range(4)], *[F.avg(x[i]).alias(f"a{i}") for i in range(4)], *[F.avg(x[i] * x[j]).alias(f"p{i}{j}") for i, j in ENTRIES])
+    found = sums.select("g", "s", "n", *[(F.col(f"o{i}") + F.col(f"a{i}")).alias(f"m{i}") for i in range(4)], *[floored(F.col(f"p{i}{j}") - F.col(f"a{i}") * F.col(f"a{j}"), i, j).alias(f"c{i}{j}") for i, j in ENTRIES])
+    return stored(with_factor(stored(found, "mcd"), ("g", "s", "n")), "mcd")
 
 
 def estimates(rows: DataFrame, steps: int = STEPS, share: float = SHARE) -> DataFrame:
-    """(g, n, m<i>, l<i><j>): for each group of rows (g, v0..v3), location and Cholesky factor of its minimum covariance determinant estimate, scaled so that the median squared distance is that of a normal distribution."""
-    medians = rows.groupBy("g").agg(F.count("*").alias("n"), *[F.percentile_approx(v, 0.5, 100_000).alias(f"m{i}") for i, v in enumerate(VECTOR)])
-    spread = salted_join(rows, medians, "g").groupBy("g").agg(*[F.percentile_approx(F.abs(F.col(v) - F.col(f"m{i}")), 0.5, 100_000).alias(f"d{i}") for i, v in enumerate(VECTOR)])
-    first = medians.join(spread, "g")
-    for i in range(4):
-        for j in range(i + 1):
-            first = first.withColumn(f"c{i}{j}", F.pow(F.greatest(1.4826 * F.col(f"d{i}"), F.lit(FLOOR[i])), 2) if i == j else F.lit(0.0))
-    now = stored(with_factor(first), "mcd")
-    for _ in range(steps):
-        near = stored(salted_join(rows, now, "g").select("g", "n", *VECTOR, squared_distance().alias("d2"), *[f"m{i}" for i in range(4)]), "mcd")
-        limit = near.groupBy("g").agg(F.percentile_approx("d2", share, 100_000).alias("limit"))
-        inner = salted_join(near, limit, "g").where("d2 <= limit")
-        centred = [F.col(v) - F.col(f"m{i}") for i, v in enumerate(VECTOR)]  # around the estimate before: no loss of digits
-        sums = inner.groupBy("g").agg(F.first("n").alias("n"), *[F.first(f"m{i}").alias(f"o{i}") for i in range(4)], *[F.avg(x).alias(f"a{i}") for i, x in enumerate(centred)], *[F.avg(centred[i] * centred[j]).alias(f"p{i}{j}") for i in range(4) for j in range(i + 1)])
-        for i in range(4):
-            sums = sums.withColumn(f"m{i}", F.col(f"o{i}") + F.col(f"a{i}"))
-            for j in range(i + 1):
-                c = F.col(f"p{i}{j}") - F.col(f"a{i}") * F.col(f"a{j}")
-                sums = sums.withColumn(f"c{i}{j}", F.greatest(c, F.lit(FLOOR[i] ** 2)) if i == j else c)
-        now = stored(with_factor(sums), "mcd")
+    """(g, n, m<i>, l<i><j>): for each group of rows (g, v0..v3), location and Cholesky factor of its minimum covariance determinant estimate, scaled so that the median squared distance is at least that of a normal distribution."""
+    now = starts(rows)
+    for _ in range(2):
+        now = concentrated(rows, now, share)
+    best = now.groupBy("g").agg(F.min(F.struct("log_det", "s")).alias("best")).select("g", F.col("best.s").alias("s"))
+    now = stored(now.join(best, ["g", "s"]), "mcd")
+    for _ in range(steps - 2):
+        before, now = now, concentrated(rows, now, share)
+        fall = before.select("g", F.col("log_det").alias("before")).join(now, "g").agg(F.max(F.col("before") - F.col("log_det"))).first()[0]
+        if fall is None or fall < CONVERGED:
+            break
     scale = salted_join(rows, now, "g").groupBy("g").agg(F.sqrt(F.greatest(F.percentile_approx(squared_distance(), 0.5, 100_000) / CHI2_MEDIAN, F.lit(1.0))).alias("scale"))
-    now = now.join(scale, "g")
-    return now.select("g", "n", *[f"m{i}" for i in range(4)], *[(F.col(f"l{i}{j}") * F.col("scale")).alias(f"l{i}{j}") for i in range(4) for j in range(i + 1)])
+    return now.join(scale, "g").select("g", "n", *MEANS, *[(F.col(c) * F.col("scale")).alias(c) for c in FACTOR])
 
 
 def shrunk(groups: DataFrame, above: DataFrame, on: str | None) -> DataFrame:
     """Estimates of groups (with the column `on`), each mixed with the one of `above` whose g is `on` (of the only one there, without `on`), which counts as PRIOR_ROWS rows."""
-    entries = [(i, j) for i in range(len(VECTOR)) for j in range(i + 1)]
-    above = above.select(F.col("g").alias("__up"), *[F.col(c).alias(f"a_{c}") for c in above.columns if c[0] in "ml"])
+    above = above.select(F.col("g").alias("__up"), *[F.col(c).alias(f"a_{c}") for c in [*MEANS, *FACTOR]])
     both = groups.crossJoin(above) if on is None else groups.join(above, F.col(on) == F.col("__up"))
     own = F.col("n") / (F.col("n") + PRIOR_ROWS)
     mixed = lambda x, y: own * x + (1 - own) * y
     covariance = lambda a, i, j: sum((F.col(f"{a}l{i}{k}") * F.col(f"{a}l{j}{k}") for k in range(1, j + 1)), F.col(f"{a}l{i}0") * F.col(f"{a}l{j}0"))
-    both = both.select("g", "n", *[mixed(F.col(f"m{i}"), F.col(f"a_m{i}")).alias(f"m{i}") for i in range(len(VECTOR))], *[mixed(covariance("", i, j), covariance("a_", i, j)).alias(f"c{i}{j}") for i, j in entries])
+    both = both.select("g", "n", *[mixed(F.col(f"m{i}"), F.col(f"a_m{i}")).alias(f"m{i}") for i in range(len(VECTOR))], *[mixed(covariance("", i, j), covariance("a_", i, j)).alias(f"c{i}{j}") for i, j in ENTRIES])
     return stored(with_factor(stored(both, "mcd")), "mcd")
 
 
@@ -149,14 +174,14 @@ def shrunk_estimates(rows: DataFrame) -> DataFrame:
     levels = F.explode(F.array("g", "lang", F.lit(ALL)))
     found = stored(estimates(rows.select(levels.alias("g"), *VECTOR)), "mcd")
     of_lang = shrunk(found.join(rows.select(F.col("lang").alias("g")).distinct(), "g"), found.where(F.col("g") == ALL), None)
-    return shrunk(found.join(rows.select("g", "lang").distinct(), "g"), of_lang, "lang").drop("n")
+    return shrunk(found.join(rows.select("g", "lang").distinct(), "g"), of_lang, "lang").drop("n", "log_det")
 
 
 def quality_rules(docs: DataFrame, keep: list[str], text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cutoff: float = CUTOFF) -> DataFrame:
     """For each row of docs: struct `row` of `keep`, struct `stats` (see text_statistics), base_failed, distance (squared, null only where no row of the group passes the base rules) and kept.
 
     base_failed: fewer than 20 words, or more than 30 % of the words in repeated windows. Other rows are
-    kept unless their squared distance is over the cutoff. The estimates are learned from rows that pass
+    kept unless their squared distance is over the cutoff (a row right on it is kept). The estimates are learned from rows that pass
     the base rules, for each language and source (null is a value like others); those of small groups are
     mostly the ones of their language and of the corpus. Equal rows count each.
     """

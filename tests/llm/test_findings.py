@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 
 from shopstream.llm import pii, quality_rules, toxicity
@@ -36,3 +38,49 @@ def test_inner_words_lie_in_three_windows():
     data, spans, row = toxicity.windows(pa.array([" ".join(f"w{i:02}" for i in range(25))]))
     held = [sum(f"w{i:02}".encode() in data[int(a) : int(a + n)] for a, n in spans) for i in range(25)]
     assert min(held) >= 1 and min(held[4:-5]) >= 3 and set(row) == {0}
+
+
+def test_a_disclosing_term_goes_wherever_it_stands_in_the_text(spark):
+    texts = [f"the report of today came in late and we saw number{i} again" for i in range(200)]
+    far = "and we saw the report of today again " * 5
+    texts[50] = f"the report of today came from Zebulon at zz@corp.example {far} Zebulon was late"
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r.text for r in pii.sanitised(docs).collect()}
+    assert "Zebulon" not in out[50] and out[50].count("we saw the report of today again") == 5 and out[50].endswith("was late")
+
+
+def test_overlapping_spans_are_replaced_together(spark):
+    docs = spark.createDataFrame([(1, "x +1 (212) 555-1234-bob@x.org y"), (2, "call 4111111111111111@foo.com now"), (3, None)], "doc_id long, text string")
+    out = {r.doc_id: r.text for r in pii.sanitised(docs).collect()}
+    assert out[1] == "x <phone> y" and "foo" not in out[2] and "4111" not in out[2] and out[3] is None
+
+
+def test_places_of_many_matches(spark):
+    text = "ab 12 é 3 " * 700
+    got = spark.createDataFrame([(text,)], "text string").select(pii.places(pii.F.col("text"), "[0-9]+").alias("p")).first().p
+    assert [(p.start, p.end, p.value) for p in got] == [(m.start(), m.end(), m[0]) for m in re.finditer("[0-9]+", text)]
+
+
+def test_held_out_labels_change_no_toxicity_score(spark):
+    from pyspark.sql import functions as F
+
+    from shopstream.llm.common import held_out
+
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    flipped = labels.withColumn("toxic", F.when(held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    a, b = (toxicity.fit_toxicity_model(docs, x) for x in (labels, flipped))
+    assert (a.ordinary, a.toxic, a.slope, a.offset) == (b.ordinary, b.toxic, b.slope, b.offset) and (a.ratio == b.ratio).all()
+    assert len(a.toxic) == len(a.ordinary)
+
+
+def test_toxic_texts_are_told_from_others(spark):
+    """Recall and false alarms on held-out rows; a constant answer fails one of them."""
+    from shopstream.llm import queries
+
+    sf = "/root/testdata/sf0.1"
+    out = queries.op3_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").select("toxic", "predicted", "score").toPandas()
+    rank = out.score.rank()
+    n1, n0 = (out.toxic == 1).sum(), (out.toxic == 0).sum()
+    assert (rank[out.toxic == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * n0) >= 0.88
+    assert out.predicted[out.toxic == 1].mean() >= 0.3 and out.predicted[out.toxic == 0].mean() <= 0.05
