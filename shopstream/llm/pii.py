@@ -34,7 +34,8 @@ REACH = 60
 WORD = r"(?<=[^\p{L}])\p{L}{3,40}(?!\p{L})"
 #: Texts that smooth an estimate, texts of a value from which it has half the weight; least share of the information content.
 SUPPORT, DISCLOSURE = 3, 0.6
-SPAN = "array<struct<start:int,end:int>>"
+#: Most hashes of terms that are broadcast.
+CELLS = 1 << 18
 
 
 FOUND = "array<struct<start:int,end:int,value:string>>"
@@ -146,7 +147,11 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str = "text",
     texts = lambda name: F.count_distinct("same").alias(name)
     n = F.lit(float(max(found.agg(F.count_distinct("same")).first()[0], 2)))
     words = F.array_distinct(F.split(F.lower(F.col(text_col).cast("string")), r"[^\p{L}]+"))
-    terms = docs.select(F.xxhash64(F.col(text_col).cast("string")).alias("same"), F.explode(words).alias("term")).where(F.length("term").between(3, 40)).groupBy("term").agg(texts("n_term"))
+    # most words stand near no entity: they go by a map of CELLS hashes at most, before they are counted
+    cell = F.pmod(F.xxhash64("term"), F.lit(CELLS)).alias("cell")
+    cells = F.broadcast(pairs.select(cell).distinct())
+    words = docs.select(F.xxhash64(F.col(text_col).cast("string")).alias("same"), F.explode(words).alias("term")).where(F.length("term").between(3, 40))
+    terms = words.select("same", "term", cell).join(cells, "cell", "left_semi").groupBy("term").agg(texts("n_term"))
 
     def share(whole: Column, both: str) -> Column:
         """Mutual information as a share of the information content of what `whole` texts have."""
