@@ -21,8 +21,8 @@ sets, so results are exact.
 Which tokens are rare is read from a map of 2**bits cells counted over all documents: its size is fixed,
 and where it is too small for a corpus, tokens that share a cell count as frequent: that costs time, not
 results. A rare token has fewer than MOST documents, so all pairs of its list are taken. Lists of
-combinations may be long (a group of near copies): they are first linked to one hub each, the set with
-the smallest rank; components are joined up, and only pairs that are still in different components are
+combinations may be long (a group of near copies): they are first linked to one hub each, one of a few
+for all the lists of a group; components are joined up, and only pairs that are still in different components are
 then compared, dealt over more tasks the longer the list. Equal sets are joined by digest beforehand and
 indexed once.
 """
@@ -48,6 +48,8 @@ FREQUENT, FILL, MOST = 16, 4, 64
 MAX_BITS = 26
 #: A list of so many entries is worked on in one partition more, in LIST_PARTS at most.
 LIST_ROWS, LIST_PARTS = 2000, 512
+#: Different hubs for the lists of a group.
+HUBS = 4
 
 
 def sets_of(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -173,30 +175,33 @@ def entries(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.
     return np.concatenate(sig), np.concatenate(rank), len(rare)
 
 
-ENTRIES = pa.schema([("sig", pa.int64()), ("set_id", pa.int64()), ("n", pa.int32()), ("v", pa.int32()), ("combined", pa.bool_())])
+#: Longs of the parity map that an entry of a combination carries.
+SMALL = [f"p{k}" for k in range(4)]
+ENTRY = ["set_id", "n", "v", *SMALL]
+ENTRIES = pa.schema([("sig", pa.int64()), ("set_id", pa.int64()), ("n", pa.int32()), ("v", pa.int32()), ("combined", pa.bool_()), *((p, pa.int64()) for p in SMALL)])
 
 
 def _index(size: int, bits: int, frequent, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = np.frombuffer(frequent.value, np.uint8)
 
-        def rows(sig, ids, n, rank, single):
+        def rows(sig, ids, n, rank, single, parity):
             lengths = [len(s) for s in sig]
             combined = np.concatenate([np.arange(k) >= s for k, s in zip(lengths, single, strict=True)])
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), lengths)), pa.array(np.repeat(np.array(n, np.int32), lengths)), pa.array(np.concatenate(rank).astype(np.int32)), pa.array(combined)], schema=ENTRIES)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), lengths)), pa.array(np.repeat(np.array(n, np.int32), lengths)), pa.array(np.concatenate(rank).astype(np.int32)), pa.array(combined), *(pa.array(np.where(combined, np.repeat(p, lengths), 0)) for p in np.array(parity).T)], schema=ENTRIES)
 
         for batch in batches:
-            out, held = ([], [], [], [], []), 0
+            out, held = ([], [], [], [], [], []), 0
             for _, tokens in sets_of(batch.column(0), size):
                 if len(tokens) == 0:
                     continue
                 sig, rank, single = entries(tokens, in_cells(marks, tokens, bits), percent)
-                for to, what in zip(out, (sig, set_id(digest_of(tokens)), len(tokens), rank, single), strict=True):
+                for to, what in zip(out, (sig, set_id(digest_of(tokens)), len(tokens), rank, single, parity_of(tokens, 64 * len(SMALL))), strict=True):
                     to.append(what)
                 held += len(sig)
                 if held > 200_000:
                     yield rows(*out)
-                    out, held = ([], [], [], [], []), 0
+                    out, held = ([], [], [], [], [], []), 0
             if held:
                 yield rows(*out)
             out = None
@@ -250,9 +255,9 @@ def _list_pairs(percent: int):
 PARITY = 2048
 
 
-def parity_of(tokens: np.ndarray) -> np.ndarray:
-    """Parities of the numbers of tokens that fall on each of PARITY bits, packed in longs. Two sets that differ in d tokens differ in d bits at most."""
-    odd = np.bincount((tokens & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+def parity_of(tokens: np.ndarray, bits: int = PARITY) -> np.ndarray:
+    """Parities of the numbers of tokens that fall on each of so many bits, packed in longs. Two sets that differ in d tokens differ in d bits at most."""
+    odd = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
@@ -279,9 +284,10 @@ def _tokens(size: int, log2: int, wanted):
 
 
 def _fits(percent: int, a: str, b: str) -> str:
-    """SQL condition on two index entries: both ranks lie in the prefixes that the two sizes call for."""
+    """SQL condition on two index entries of combinations: both ranks lie in the prefixes that the two sizes call for, and the parity maps are not farther apart than the sets of a link can be."""
     need = f"ceil({percent} * ({a}.n + {b}.n) / {100 + percent}.0)"
-    return f"{a}.v <= {a}.n - {need} and {b}.v <= {b}.n - {need} and 100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n)"
+    apart = " + ".join(f"bit_count({a}.{p} ^ {b}.{p})" for p in SMALL)
+    return f"{a}.v <= {a}.n - {need} and {b}.v <= {b}.n - {need} and 100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) and {apart} <= {a}.n + {b}.n - 2 * {need}"
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -309,15 +315,16 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         marks[row.part * width : (row.part + 1) * width] = np.frombuffer(row.bits, np.uint8)
     frequent = spark.sparkContext.broadcast(marks.tobytes())  # 2**MAX_BITS / 8 bytes = 8 MB at most
 
-    index = stored(docs.select("text").mapInArrow(_index(size, bits, frequent, percent), "sig long, set_id long, n int, v int, combined boolean"), "index")
+    index = stored(docs.select("text").mapInArrow(_index(size, bits, frequent, percent), "sig long, set_id long, n int, v int, combined boolean, " + ", ".join(f"{p} long" for p in SMALL)), "index")
     single = index.where("not combined").select("sig", "set_id", "n", "v")
     pairs = single.repartition("sig").sortWithinPartitions("sig").mapInArrow(_list_pairs(percent), "a long, b long").distinct()
-    combined = index.where("combined").select("sig", "set_id", "n", "v").distinct()
-    ranked = F.struct((F.col("v") / F.col("n")).alias("share"), "set_id", "n", "v")
+    combined = index.where("combined").select("sig", *ENTRY).dropDuplicates(["sig", "set_id"])
+    # a hub has few rare tokens, so that it fits most of its list; the lists of a group share HUBS different ones, so a set gets about so many links
+    ranked = F.struct(F.floor(10 * F.col("v") / F.col("n")).alias("share"), F.xxhash64("set_id", F.pmod("sig", F.lit(HUBS))).alias("draw"), *ENTRY)
     combined = stored(combined, "combined")
-    hubs = combined.groupBy("sig").agg(F.count("*").alias("m"), F.min(ranked).alias("hub")).where("m > 1")
+    hubs = combined.groupBy("sig").agg(F.count("*").alias("m"), F.min(ranked).alias("hub")).where("m > 1").select("sig", F.struct(*[F.col(f"hub.{c}").alias(c) for c in ENTRY]).alias("hub"))
     combined = stored(salted_join(combined, hubs, "sig", by="set_id"), "lists")
-    star = _pairs(combined.selectExpr("struct(set_id, n, v) as x", "hub as y"), percent)
+    star = _pairs(combined.select(F.struct(*ENTRY).alias("x"), F.col("hub").alias("y")), percent)
     pairs = stored(pairs.union(star).distinct(), "pairs")
     dropped(index)
     wanted = stored(pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).union(combined.select("set_id")).distinct().join(reps, "set_id").select("set_id", "rep"), "wanted")
@@ -371,12 +378,12 @@ def _linked(pairs: DataFrame, wanted: DataFrame, tokens: DataFrame, percent: int
 def _crossing(lists: DataFrame, wanted: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs of the combination lists whose sets are still in different components: entries outside a list's most usual component, each against the list. A list is dealt over more partitions the longer it is."""
     reps = wanted.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("set_id", F.coalesce("label", "rep").alias("label"))
-    now = lists.select("sig", "set_id", "n", "v").join(reps, "set_id")
+    now = lists.select("sig", *ENTRY).join(reps, "set_id")
     per = now.groupBy("sig", "label").agg(F.count("*").alias("m"))
     usual = per.groupBy("sig").agg(F.max(F.struct("m", "label")).alias("top"), F.count("*").alias("k"), F.sum("m").alias("all")).where("k > 1")
     usual = usual.select("sig", F.col("top.label").alias("usual"), F.expr(f"cast(least(1 + all div {LIST_ROWS}, {LIST_PARTS}) as int)").alias("salts"))
     now = stored(salted_join(now, usual, "sig", by="set_id"), "crossing")
-    entry = F.struct("set_id", "n", "v", "label")
+    entry = F.struct(*ENTRY, "label")
     left = now.where("label <> usual").select("sig", F.pmod(F.xxhash64("set_id"), F.col("salts")).cast("int").alias("salt"), entry.alias("x"))
     right = now.select("sig", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), entry.alias("y"))
     return _pairs(left.join(right, ["sig", "salt"]).where("x.label <> y.label"), percent)
