@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,8 +14,6 @@ from pyspark.sql.window import Window as W
 from ..functions.measure import UNITS
 from ..functions.text import edit_distance, looks_like_sku, normalise, singularise, tokenise, typo_budget, without_stopwords
 
-NUMBER = r"\d+\s*-\s*\d+\s*/\s*\d+|\d+\s+\d+\s*/\s*\d+|\d+\s*/\s*\d+|\d+(?:\.\d+)?"
-UNIT = "|".join(re.escape(u) for u in sorted(UNITS, key=len, reverse=True))
 # The axis that a letter or a word names; None: the words go, but name no axis.
 AXIS_LETTERS = {"w": "width_in", "h": "height_in", "d": "height_in", "l": "length_in"}
 AXIS_WORDS = {
@@ -22,45 +21,137 @@ AXIS_WORDS = {
     "deep": "height_in", "depth": "height_in", "thick": None, "thickness": None, "across": None, "diameter": None,
 }
 POSITIONS = ["width_in", "height_in", "length_in"]
-AXIS = "|".join(sorted(AXIS_WORDS, key=len, reverse=True))
-PART = rf"({NUMBER})\s*({UNIT})?(?:\s*([whdl])\b)?"
-CROSS = re.compile(rf"\b{PART}\s*[x×]\s*{PART}(?:\s*[x×]\s*{PART})?", re.I)
-SINGLE = re.compile(rf"(?:\b({AXIS})\s*:?\s+)?\b({NUMBER})\s*({UNIT})(?![a-z])(?:\s+(?:in\s+)?({AXIS})\b)?", re.I)
-MARKERS = r"(?i)\b(what|which|how|where|that|for|cover|between|need|looking|something|instead|goes?|fit|hide|seam)\b"
+CROSSES = ("x", "×")
+#: Units in which a bare measurement is a length.
+LONG_UNITS = ("ft", "foot", "feet", "'", "m")
+# Words of questions and relations.
+MARKERS = ["what", "which", "how", "where", "that", "for", "cover", "between", "need", "looking", "something", "instead", "go", "goes", "fit", "hide", "seam"]
 LIFTED = "struct<rest:string,dimensions:array<struct<field:string,inches:double>>>"
 
 
-def _inches(number: str, unit: str | None) -> float | None:
-    whole = 0.0
-    if m := re.fullmatch(r"(\d+)\s*[-\s]\s*(\d+\s*/\s*\d+)", number.strip()):
-        whole, number = float(m[1]), m[2]
-    top, _, bottom = number.partition("/")
-    if bottom and not float(bottom):
-        return None
-    value = whole + float(top) / (float(bottom) if bottom else 1.0)
-    return int(value * UNITS.get((unit or "in").lower(), 1) * 16 + 0.5) / 16
+@dataclass
+class Token:
+    text: str
+    start: int
+    end: int
+
+    @property
+    def number(self) -> bool:
+        return self.text[0].isdigit()
+
+
+def scan(text: str) -> list[Token]:
+    """Numbers, runs of letters, and single marks. A cross that is written on to a unit or an axis letter ("4ftx6ft") is a token of its own."""
+    out: list[Token] = []
+    for m in re.finditer(r"\d+(?:\.\d+)?|[^\W\d_]+|\S", text):
+        token = Token(m[0].lower(), *m.span())
+        head = token.text[:-1]
+        if len(token.text) > 1 and token.text[-1] in CROSSES and (head in UNITS or head in AXIS_LETTERS) and text[token.end : token.end + 1].isdigit():
+            out += [Token(head, token.start, token.end - 1), Token(token.text[-1], token.end - 1, token.end)]
+        else:
+            out.append(token)
+    return out
+
+
+class Reader:
+    """Reads measurements from the tokens of a query."""
+
+    def __init__(self, text: str):
+        self.text, self.tokens = text, scan(text)
+
+    def is_(self, i: int, *texts: str) -> bool:
+        return i < len(self.tokens) and self.tokens[i].text in texts
+
+    def whole(self, i: int) -> bool:
+        return i < len(self.tokens) and self.tokens[i].text.isdigit()
+
+    def fraction(self, i: int) -> bool:
+        return self.whole(i) and self.is_(i + 1, "/") and self.whole(i + 2)
+
+    def quantity(self, i: int) -> tuple[float | None, int] | None:
+        """Value (None: a part of nothing) of the number that begins at token i, and the token after it."""
+        if i >= len(self.tokens) or not self.tokens[i].number:
+            return None
+        added, at = 0.0, i
+        if self.whole(i) and not self.fraction(i):
+            after = i + 2 if self.is_(i + 1, "-") else i + 1
+            if self.fraction(after):
+                added, at = float(self.tokens[i].text), after
+        if self.fraction(at):
+            top, bottom = float(self.tokens[at].text), float(self.tokens[at + 2].text)
+            return (added + top / bottom if bottom else None), at + 3
+        return float(self.tokens[at].text), at + 1
+
+    def begins_word(self, i: int) -> bool:
+        return self.tokens[i].start == 0 or not self.text[self.tokens[i].start - 1].isalnum()
+
+    def side(self, i: int) -> tuple[float | None, str | None, int] | None:
+        """One side of a size: inches, axis letter, next token."""
+        read = self.quantity(i)
+        if read is None:
+            return None
+        value, i = read
+        unit = self.tokens[i].text if self.is_(i, *UNITS) else "in"
+        i += self.is_(i, *UNITS)
+        letter = self.tokens[i].text if self.is_(i, *AXIS_LETTERS) else None
+        return inches(value, unit), letter, i + (letter is not None)
+
+    def size(self, i: int) -> tuple[list[tuple[str, float]], int] | None:
+        """Two or three sides with crosses between them; sides without a letter are width, height and length in turn."""
+        found: list[tuple[str, float]] = []
+        read, sides = (self.side(i) if self.begins_word(i) else None), 0
+        while read:
+            value, letter, i = read
+            sides += 1
+            if value is not None:
+                found.append((AXIS_LETTERS[letter] if letter else POSITIONS[len(found)], value))
+            read = self.side(i + 1) if sides < len(POSITIONS) and self.is_(i, *CROSSES) else None
+        return (found, i) if len(found) > 1 else None
+
+    def single(self, i: int) -> tuple[str, float, int] | None:
+        """A number with a unit, with the word for its axis before it or behind it."""
+        named = None
+        if self.is_(i, *AXIS_WORDS):
+            named = self.tokens[i].text
+            i += 1 + self.is_(i + 1, ":")
+        read = self.quantity(i) if i < len(self.tokens) and self.begins_word(i) else None
+        if read is None or read[0] is None or not self.is_(read[1], *UNITS):
+            return None
+        value, i = read
+        unit = self.tokens[i].text
+        behind = i + 2 if self.is_(i + 1, "in") and self.is_(i + 2, *AXIS_WORDS) else i + 1
+        if self.is_(behind, *AXIS_WORDS):
+            named, i = self.tokens[behind].text, behind
+        axis = AXIS_WORDS.get(named) if named else None
+        return axis or ("length_in" if unit in LONG_UNITS else "any_dimension_in"), inches(value, unit), i + 1
+
+
+def inches(value: float | None, unit: str) -> float | None:
+    """In sixteenths of an inch, halves upwards."""
+    return None if value is None else int(value * UNITS[unit] * 16 + 0.5) / 16
 
 
 def lift(query: str) -> tuple[str, list[tuple[str, float]]]:
     """What is left of a query, and its measurements as (axis, inches): sizes such as 4x6 first, then single ones with a unit."""
-    found: list[tuple[str, float]] = []
-    rest = query
-    for m in CROSS.finditer(query):
-        sizes = []
-        for number, unit, letter in (m.groups()[k : k + 3] for k in (0, 3, 6)):
-            if number and (inches := _inches(number, unit)) is not None:
-                sizes.append((AXIS_LETTERS[letter.lower()] if letter else POSITIONS[len(sizes)], inches))
-        if len(sizes) > 1:
-            found += sizes
-            rest = rest.replace(m[0], " ", 1)
-    for m in list(SINGLE.finditer(rest)):
-        before, number, unit, after = m.groups()
-        if (inches := _inches(number, unit)) is None:
+    reader = Reader(query)
+    sizes: list[tuple[str, float]] = []
+    singles: list[tuple[str, float]] = []
+    left, at, i = [], 0, 0
+    while i < len(reader.tokens):
+        begin = reader.tokens[i].start
+        if size := reader.size(i):
+            sizes += size[0]
+            i = size[1]
+        elif single := reader.single(i):
+            singles.append(single[:2])
+            i = single[2]
+        else:  # a fraction of nothing is passed over whole
+            read = reader.quantity(i)
+            i = read[1] if read and read[0] is None else i + 1
             continue
-        named = AXIS_WORDS.get((after or before or "").lower())
-        found.append((named or ("length_in" if unit.lower() in ("ft", "foot", "feet", "'", "m") else "any_dimension_in"), inches))
-        rest = rest.replace(m[0], " ", 1)
-    return " ".join(rest.split()), found
+        left.append(query[at:begin])
+        at = reader.tokens[i - 1].end
+    return " ".join(" ".join([*left, query[at:]]).split()), sizes + singles
 
 
 def lift_batches(queries: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -89,7 +180,7 @@ def analyse_queries(log: DataFrame, column: str = "query") -> DataFrame:
     n = F.size("tokens")
     kind = (
         F.when(F.col("text") == "", "empty").when(F.col("is_sku"), "sku").when(F.size("lifted.dimensions") > 0, "dimensional")
-        .when((n >= 6) | ((n >= 4) & F.col("text").rlike(MARKERS)), "natural_language").otherwise("keyword")
+        .when((n >= 6) | ((n >= 4) & F.arrays_overlap("tokens", F.array(*[F.lit(w) for w in MARKERS]))), "natural_language").otherwise("keyword")
     )
     return q.select("query", kind.alias("type"), terms.alias("terms"), F.col("lifted.dimensions").alias("dimensions"), F.when(F.col("is_sku"), F.upper(F.get("tokens", 0))).alias("sku"))
 

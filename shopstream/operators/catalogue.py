@@ -26,10 +26,10 @@ def variant_docs(variants: DataFrame) -> DataFrame:
 
 
 def apply_price_deltas(docs: DataFrame, updates: DataFrame) -> DataFrame:
-    """docs with the prices, sale prices and inventories of updates (site_id, sku, and each null to keep). Effective price, stock and discount follow; unknown SKUs are ignored. Of several updates for a SKU the last by `at` counts."""
+    """docs with the prices, sale prices and inventories of updates (site_id, sku, and each null to keep). Effective price and stock follow, the discount stays as it was indexed; unknown SKUs are ignored. Of several updates for a SKU the last by `at` counts."""
     last = updates.groupBy("site_id", "sku").agg(*[F.max_by(c, "at").alias(f"__{c}") for c in ("price", "sale_price", "inventory")])
     rows = docs.join(last, ["site_id", "sku"], "left").withColumns({c: F.coalesce(f"__{c}", c) for c in ("price", "sale_price", "inventory")})
-    rows = rows.withColumns({"effective_price": effective_price(F.col("price"), F.col("sale_price")), "in_stock": F.col("inventory") > 0, "discount_pct": discount_pct(F.col("price"), F.col("sale_price"))})
+    rows = rows.withColumns({"effective_price": effective_price(F.col("price"), F.col("sale_price")), "in_stock": F.col("inventory") > 0})
     return rows.select(docs.columns)
 
 
@@ -50,9 +50,9 @@ def publish_snapshot(docs: DataFrame, folder: str, version: str, view: str) -> N
 
 
 def get_by_parent_ids(docs: DataFrame, wanted: DataFrame, ordinal: str = "ordinal") -> DataFrame:
-    """One document for each wanted parent, the first by ordinal, in the caller's order. wanted: (site_id, parent_id, place); parents without documents are left out."""
+    """One document for each wanted parent, the first by ordinal, in the caller's order. wanted: (site_id, parent_id, place and what tells the requests apart); parents without documents are left out."""
     first = docs.join(wanted.select("site_id", "parent_id"), ["site_id", "parent_id"], "left_semi").groupBy("site_id", "parent_id").agg(F.min_by("sku", ordinal).alias("sku"))
-    return wanted.join(first, ["site_id", "parent_id"]).select("site_id", "place", "parent_id", "sku")
+    return wanted.join(first, ["site_id", "parent_id"]).select(*wanted.columns, "sku")
 
 
 def sample_products(docs: DataFrame, n: int) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Keys that change with every write, and kinds whose change needs the catalogue labelled anew.
+# Keys that change with every write, kinds that can be put back, and kinds whose change needs the catalogue labelled anew.
 NOISE = ["id", "createdAt", "updatedAt", "siteId"]
+UNDOABLE = ["collection", "attribute", "badge", "synonym", "redirect"]
 RELABELLED = ["collection", "attribute", "badge"]
 
 
@@ -19,8 +20,8 @@ def json_diff(before: Column, after: Column, noise: list[str] = NOISE) -> Column
 
 
 def audit_diff(audit: DataFrame) -> DataFrame:
-    """Audit rows with their changes, and whether they can be undone and why not."""
-    reason = F.when(F.col("action") == "revert", "already a revert").when(F.col("before").isNull() & F.col("after").isNull(), "nothing recorded").when(~F.col("action").isin("create", "update", "delete"), "not a change")
+    """Audit rows with their changes, and whether they can be undone and why not. An undoing is a change like others and can be undone itself."""
+    reason = F.when(~F.coalesce(F.col("entity").isin(UNDOABLE), F.lit(False)), "not of a kind that can be put back").when(F.col("entity_id").isNull(), "of no entity").when(F.col("before").isNull() & F.col("after").isNull(), "without a state")
     return audit.withColumn("changes", json_diff(F.col("before"), F.col("after"))).withColumn("refused", reason).withColumn("revertible", reason.isNull())
 
 

@@ -8,12 +8,12 @@ from pyspark.sql.window import Window as W
 
 
 def bought_together(events: DataFrame, as_of: Column, days: int = 90, least: int = 2, limit: int = 8) -> DataFrame:
-    """(site_id, anchor, sku, sessions, rank): products carted or bought in the same sessions as the anchor. The window holds for the anchor's side only. Each session counts a product once before the join, so pairs grow with a session's different products."""
-    acted = events.where(F.col("type").isin("purchase", "add_to_cart") & F.col("sku").isNotNull()).groupBy("site_id", "session_id", "sku").agg(F.max("occurred_at").alias("last"))
-    anchors = acted.where(F.col("last") >= as_of - F.expr(f"interval {days} days")).select("site_id", "session_id", F.col("sku").alias("anchor"))
-    pairs = anchors.join(acted.select("site_id", "session_id", "sku"), ["site_id", "session_id"]).where("anchor <> sku")
-    pairs = pairs.groupBy("site_id", "anchor", "sku").agg(F.count("*").alias("sessions")).where(F.col("sessions") >= least)
-    rank = F.row_number().over(W.partitionBy("site_id", "anchor").orderBy(F.desc("sessions"), F.asc("sku")))
+    """(site_id, anchor, parent_id, sessions, rank): products carted or bought in the same sessions as the anchor, whatever their variants. events: with parent_id. The window holds for the anchor's side only. Each session counts a product once before the join, so pairs grow with a session's different products."""
+    acted = events.where(F.col("type").isin("purchase", "add_to_cart") & F.col("parent_id").isNotNull()).groupBy("site_id", "session_id", "parent_id").agg(F.max("occurred_at").alias("last"))
+    anchors = acted.where(F.col("last") >= as_of - F.expr(f"interval {days} days")).select("site_id", "session_id", F.col("parent_id").alias("anchor"))
+    pairs = anchors.join(acted.select("site_id", "session_id", "parent_id"), ["site_id", "session_id"]).where("anchor <> parent_id")
+    pairs = pairs.groupBy("site_id", "anchor", "parent_id").agg(F.count("*").alias("sessions")).where(F.col("sessions") >= least)
+    rank = F.row_number().over(W.partitionBy("site_id", "anchor").orderBy(F.desc("sessions"), F.asc("parent_id")))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= limit)
 
 
@@ -26,9 +26,10 @@ def recently_viewed(events: DataFrame, parents: DataFrame, as_of: Column, days:
 
 
 def trending_products(events: DataFrame, as_of: Column, days: int = 7, limit: int = 8) -> DataFrame:
-    rows = events.where((F.col("type") == "click") & F.col("sku").isNotNull() & (F.col("occurred_at") >= as_of - F.expr(f"interval {days} days")))
-    rows = rows.groupBy("site_id", "sku").agg(F.count("*").alias("clicks"))
-    rank = F.row_number().over(W.partitionBy("site_id").orderBy(F.desc("clicks"), F.asc("sku")))
+    """(site_id, parent_id, clicks, rank): the most clicked products of each site. events: with parent_id."""
+    rows = events.where((F.col("type") == "click") & F.col("parent_id").isNotNull() & (F.col("occurred_at") >= as_of - F.expr(f"interval {days} days")))
+    rows = rows.groupBy("site_id", "parent_id").agg(F.count("*").alias("clicks"))
+    rank = F.row_number().over(W.partitionBy("site_id").orderBy(F.desc("clicks"), F.asc("parent_id")))
     return rows.withColumn("rank", rank).where(F.col("rank") <= limit)
 
 

@@ -2,28 +2,45 @@
 
 from __future__ import annotations
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.text import normalise, singularise
 
-#: Rule tables are merchandisers' work; more rows than this are not sent to every executor.
+#: Rule tables are merchandisers' work; about so many rows at a time are sent to every executor.
 MOST_RULES = 20_000
 
 
-def checked(rules: DataFrame) -> DataFrame:
-    """The rule side of a theta join, broadcast after a check of its size."""
-    n = rules.limit(MOST_RULES + 1).count()
-    return F.broadcast(rules) if n <= MOST_RULES else rules
+def matched(queries: DataFrame, rules: DataFrame, hit: Column) -> DataFrame:
+    """queries joined with the rules for which `hit` holds, the rules (with rule_id) broadcast in blocks of a checked size."""
+    blocks = 1 + rules.count() // MOST_RULES
+    of = lambda k: rules if blocks == 1 else rules.where(F.pmod(F.xxhash64("rule_id"), F.lit(blocks)) == k)
+    found = queries.join(F.broadcast(of(0)), hit)
+    for k in range(1, blocks):
+        found = found.union(queries.join(F.broadcast(of(k)), hit))
+    return found
+
+
+def with_sound_patterns(rules: DataFrame) -> DataFrame:
+    """rules without the regex ones whose pattern does not compile: they match nothing, and would fail the job."""
+    compiler = rules.sparkSession._jvm.java.util.regex.Pattern
+    broken = []
+    for row in rules.where("kind = 'regex'").select("pattern").distinct().toLocalIterator():
+        try:
+            compiler.compile(row.pattern or "")
+        except IllegalArgumentException:
+            broken.append(row.pattern)
+    return rules.where(~((F.col("kind") == "regex") & F.col("pattern").isin(broken))) if broken else rules
 
 
 def match_redirects(queries: DataFrame, rules: DataFrame) -> DataFrame:
-    """(query, rule_id, target): the first enabled rule of each query by priority (descending), then id. rules: (rule_id, kind, pattern, target, priority, enabled); kinds exact, starts_with, contains and regex. An empty query matches nothing."""
+    """(query, rule_id, target): the first enabled rule of each query by priority (descending), then id. rules: (rule_id, kind, pattern, target, priority, enabled); kinds exact, starts_with, contains and regex. An empty query matches nothing, and neither does a pattern that does not compile."""
     q = queries.select("query", normalise(F.col("query")).alias("q")).distinct().where("q <> ''")
-    r = checked(rules.where("enabled").withColumn("p", normalise(F.col("pattern"))))
+    r = with_sound_patterns(rules.where("enabled")).withColumn("p", normalise(F.col("pattern")))
     hit = F.when(F.col("kind") == "exact", F.col("q") == F.col("p")).when(F.col("kind") == "starts_with", F.col("q").startswith(F.col("p"))).when(F.col("kind") == "contains", F.col("q").contains(F.col("p"))).when(F.col("kind") == "regex", F.expr("q rlike concat('(?i)', pattern)")).otherwise(False)
-    found = q.join(r, hit)
+    found = matched(q, r, hit)
     rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("priority"), "rule_id"))
     return found.withColumn("n", rank).where("n = 1").select("query", "rule_id", "target")
 
@@ -31,12 +48,12 @@ def match_redirects(queries: DataFrame, rules: DataFrame) -> DataFrame:
 def match_query_rules(queries: DataFrame, rules: DataFrame) -> DataFrame:
     """(query, rule_id): the rule of each query by priority, then exact before phrase before contains, then the longer trigger. rules: (rule_id, match, trigger, priority); only live rules are to be given."""
     q = queries.select("query", normalise(F.col("query")).alias("q")).distinct()
-    r = checked(rules.withColumn("t", normalise(F.col("trigger"))))
+    r = rules.withColumn("t", normalise(F.col("trigger")))
     padded = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
     hit = F.when(F.col("match") == "exact", F.col("q") == F.col("t")).when(F.col("match") == "phrase", padded(F.col("q")).contains(padded(F.col("t")))).when(F.col("match") == "contains", F.col("q").contains(F.col("t"))).otherwise(False)
     place = F.when(F.col("match") == "exact", 0).when(F.col("match") == "phrase", 1).otherwise(2)
     rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("priority"), place, F.desc(F.length("t")), "rule_id"))
-    return q.join(r, hit).withColumn("n", rank).where("n = 1").select("query", "rule_id")
+    return matched(q, r, hit).withColumn("n", rank).where("n = 1").select("query", "rule_id")
 
 
 def expand_synonyms(queries: DataFrame, rules: DataFrame, longest: int = 3) -> DataFrame:
@@ -61,15 +78,19 @@ def expand_synonyms(queries: DataFrame, rules: DataFrame, longest: int = 3) -> D
     return rows.select("query_id", F.when(F.col("taken").isNotNull(), F.concat("terms", F.array_except(F.array_distinct(words), F.col("terms")))).otherwise(F.col("terms")).alias("terms"), F.coalesce(F.col("taken.rule_id"), F.array().cast("array<int>")).alias("rule_ids"))
 
 
-def apply_query_rule(cards: DataFrame, actions: DataFrame) -> DataFrame:
-    """(query_id, parent_id, card, pinned): cards after the actions of each query's rule. cards: (query_id, parent_id, card); actions: (query_id, parent_id, action, slot), action hide, pin (to a place from 1) or bury.
+def apply_query_rule(cards: DataFrame, actions: DataFrame, products: DataFrame) -> DataFrame:
+    """(query_id, parent_id, card, pinned): cards after the actions of each query's rule. cards: (query_id, parent_id, card); actions: (query_id, parent_id, action, slot), action hide, pin (to a place from 1) or bury; products: (parent_id) of the catalogue.
 
-    Hidden products go, pinned ones take their places (also if they were not found; a place beyond the
-    end is the end), buried ones follow the rest. Of two pins for a place the second takes the next.
+    Hidden products go, pinned ones take their places (also if they were not found, but only if they are
+    in the catalogue; a place beyond the end is the end), buried ones follow the rest. Of two pins for a
+    place the later one, by the column `ordinal` of actions or else by parent_id, stands before the other.
     """
+    order = F.col("ordinal") if "ordinal" in actions.columns else F.col("parent_id")
+    known = actions.where("action = 'pin'").join(products.select("parent_id").distinct(), "parent_id", "left_semi")
+    actions = actions.where("action <> 'pin'").unionByName(known.select(actions.columns))
     rows = cards.join(actions, ["query_id", "parent_id"], "full_outer").where("not (action <=> 'hide') and not (card is null and action <> 'pin')")
     w = W.partitionBy("query_id")
-    pins = rows.where("action = 'pin'").withColumn("k", F.row_number().over(w.orderBy("slot", "parent_id")))
+    pins = rows.where("action = 'pin'").withColumn("k", F.row_number().over(w.orderBy("slot", F.desc(order))))
     # a place taken by an earlier pin moves on: place = k + the largest of (slot - k) so far
     pins = pins.withColumn("place", F.col("k") + F.max(F.col("slot") - F.col("k")).over(w.orderBy("k").rowsBetween(W.unboundedPreceding, 0)))
     rest = rows.where("not (action <=> 'pin')").withColumn("k", F.row_number().over(w.orderBy(F.when(F.col("action") == "bury", 1).otherwise(0), "card")))

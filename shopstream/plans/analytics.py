@@ -295,11 +295,21 @@ def experiment_results(spark, sf_dir):
     return ex.experiment_results(ex.arm_stats(shopper_events(spark, sf_dir), arms(spark, sf_dir)))
 
 
-@query(f"""{WITH}, a AS (SELECT site_id, session_id, sku, MAX(occurred_at) AS last FROM shopper_events WHERE type IN ('purchase', 'add_to_cart') AND sku IS NOT NULL GROUP BY 1, 2, 3)
-SELECT x.site_id, x.sku AS anchor, y.sku, COUNT(*) AS sessions, CAST(ROW_NUMBER() OVER (PARTITION BY x.site_id, x.sku ORDER BY COUNT(*) DESC, y.sku) AS INT) AS rank FROM a x JOIN a y ON x.site_id = y.site_id AND x.session_id = y.session_id AND x.sku <> y.sku
+#: Shopper events with their product.
+PRODUCT_EVENTS = "pe AS (SELECT e.*, v.parent_id FROM shopper_events e LEFT JOIN (SELECT sku, parent_id FROM variants) v USING (sku))"
+TOGETHER = """ac AS (SELECT site_id, session_id, parent_id, MAX(occurred_at) AS last FROM pe WHERE type IN ('purchase', 'add_to_cart') AND parent_id IS NOT NULL GROUP BY 1, 2, 3)"""
+
+
+def product_events(spark, sf_dir):
+    return shopper_events(spark, sf_dir).join(parents_of(spark, sf_dir).select("sku", "parent_id"), "sku", "left")
+
+
+@query(f"""{WITH}, {VARIANTS_SQL}, {PRODUCT_EVENTS}, {TOGETHER}
+SELECT x.site_id, x.parent_id AS anchor, y.parent_id, COUNT(*) AS sessions, CAST(ROW_NUMBER() OVER (PARTITION BY x.site_id, x.parent_id ORDER BY COUNT(*) DESC, y.parent_id) AS INT) AS rank
+FROM ac x JOIN ac y ON x.site_id = y.site_id AND x.session_id = y.session_id AND x.parent_id <> y.parent_id
 WHERE x.last >= {NOW} - INTERVAL 90 DAY GROUP BY 1, 2, 3 HAVING COUNT(*) >= 2 QUALIFY rank <= 8""")
 def bought_together(spark, sf_dir):
-    return recommend.bought_together(shopper_events(spark, sf_dir), as_of())
+    return recommend.bought_together(product_events(spark, sf_dir), as_of())
 
 
 @query(f"""{WITH}, {VARIANTS_SQL} SELECT e.site_id, shopper_id, parent_id, MAX(occurred_at) AS last_seen, CAST(ROW_NUMBER() OVER (PARTITION BY e.site_id, shopper_id ORDER BY MAX(occurred_at) DESC, parent_id) AS INT) AS rank
@@ -308,10 +318,10 @@ def recently_viewed(spark, sf_dir):
     return recommend.recently_viewed(shopper_events(spark, sf_dir), parents_of(spark, sf_dir), as_of())
 
 
-@query(f"""{WITH} SELECT site_id, sku, COUNT(*) AS clicks, CAST(ROW_NUMBER() OVER (PARTITION BY site_id ORDER BY COUNT(*) DESC, sku) AS INT) AS rank FROM shopper_events
-WHERE type = 'click' AND sku IS NOT NULL AND occurred_at >= {NOW} - INTERVAL 7 DAY GROUP BY 1, 2 QUALIFY rank <= 8""")
+@query(f"""{WITH}, {VARIANTS_SQL}, {PRODUCT_EVENTS} SELECT site_id, parent_id, COUNT(*) AS clicks, CAST(ROW_NUMBER() OVER (PARTITION BY site_id ORDER BY COUNT(*) DESC, parent_id) AS INT) AS rank FROM pe
+WHERE type = 'click' AND parent_id IS NOT NULL AND occurred_at >= {NOW} - INTERVAL 7 DAY GROUP BY 1, 2 QUALIFY rank <= 8""")
 def trending_products(spark, sf_dir):
-    return recommend.trending_products(shopper_events(spark, sf_dir), as_of())
+    return recommend.trending_products(product_events(spark, sf_dir), as_of())
 
 
 @query(f"WITH {VARIANTS_SQL} SELECT site_id, parent_id, MAX(sales_velocity) AS velocity, CAST(ROW_NUMBER() OVER (PARTITION BY site_id ORDER BY MAX(sales_velocity) DESC, parent_id) AS INT) AS rank FROM variants GROUP BY 1, 2 QUALIFY rank <= 8")
@@ -319,16 +329,17 @@ def top_sellers(spark, sf_dir):
     return recommend.top_sellers(variants(spark, sf_dir))
 
 
-@query(f"""{WITH}, {VARIANTS_SQL}, a AS (SELECT site_id, session_id, sku FROM shopper_events WHERE type IN ('purchase', 'add_to_cart') AND sku IS NOT NULL GROUP BY 1, 2, 3),
-f AS (SELECT x.site_id, x.sku AS anchor, y.sku AS item, CAST(ROW_NUMBER() OVER (PARTITION BY x.site_id, x.sku ORDER BY COUNT(*) DESC, y.sku) AS INT) AS rank FROM a x JOIN a y ON x.site_id = y.site_id AND x.session_id = y.session_id AND x.sku <> y.sku GROUP BY 1, 2, 3 HAVING COUNT(*) >= 2 QUALIFY rank <= 8),
-s AS (SELECT site_id, sku AS item, ROW_NUMBER() OVER (PARTITION BY site_id ORDER BY sales_velocity DESC, sku) AS r FROM variants QUALIFY r <= 9),
-e AS (SELECT v.site_id, v.sku AS anchor, s.item, CAST(ROW_NUMBER() OVER (PARTITION BY v.site_id, v.sku ORDER BY r) AS INT) AS rank FROM variants v JOIN s ON s.site_id = v.site_id AND s.item <> v.sku WHERE v.sku NOT IN (SELECT anchor FROM f) QUALIFY rank <= 8)
+@query(f"""{WITH}, {VARIANTS_SQL}, {PRODUCT_EVENTS}, {TOGETHER},
+f AS (SELECT x.site_id, x.parent_id AS anchor, y.parent_id AS item, CAST(ROW_NUMBER() OVER (PARTITION BY x.site_id, x.parent_id ORDER BY COUNT(*) DESC, y.parent_id) AS INT) AS rank FROM ac x JOIN ac y ON x.site_id = y.site_id AND x.session_id = y.session_id AND x.parent_id <> y.parent_id WHERE x.last >= {NOW} - INTERVAL 90 DAY GROUP BY 1, 2, 3 HAVING COUNT(*) >= 2 QUALIFY rank <= 8),
+p AS (SELECT site_id, parent_id, MAX(sales_velocity) AS velocity FROM variants GROUP BY 1, 2),
+s AS (SELECT site_id, parent_id AS item, ROW_NUMBER() OVER (PARTITION BY site_id ORDER BY velocity DESC, parent_id) AS r FROM p QUALIFY r <= 9),
+e AS (SELECT p.site_id, p.parent_id AS anchor, s.item, CAST(ROW_NUMBER() OVER (PARTITION BY p.site_id, p.parent_id ORDER BY r) AS INT) AS rank FROM p JOIN s ON s.site_id = p.site_id AND s.item <> p.parent_id WHERE p.parent_id NOT IN (SELECT anchor FROM f) QUALIFY rank <= 8)
 SELECT *, 'strategy' AS served_by FROM f UNION ALL SELECT *, 'top_sellers' FROM e""")
 def recommend_with_fallback(spark, sf_dir):
     docs = variants(spark, sf_dir)
-    found = recommend.bought_together(shopper_events(spark, sf_dir), as_of()).withColumnRenamed("sku", "item")
-    sellers = recommend.top_sellers(docs.withColumn("parent_id", F.col("sku")), 9).withColumnRenamed("parent_id", "item")
-    return recommend.with_fallback(docs.select("site_id", F.col("sku").alias("anchor")), found, sellers)
+    found = recommend.bought_together(product_events(spark, sf_dir), as_of()).withColumnRenamed("parent_id", "item")
+    sellers = recommend.top_sellers(docs, 9).withColumnRenamed("parent_id", "item")
+    return recommend.with_fallback(docs.select("site_id", F.col("parent_id").alias("anchor")).distinct(), found, sellers)
 
 
 @query("SELECT user_id, event_id, CAST(SUM(f) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS BIGINT) AS session_no FROM (SELECT *, CASE WHEN LAG(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL OR epoch(ts)::BIGINT - epoch(LAG(ts) OVER (PARTITION BY user_id ORDER BY ts))::BIGINT > 1800 THEN 1 ELSE 0 END AS f FROM events)")
@@ -364,16 +375,16 @@ def audit_log(spark, sf_dir):
     doc = lambda *kv: F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{k}":"'), F.trim(v), F.lit('"')) for k, v in kv]), F.lit("}"))
     o = table(spark, sf_dir, "orders")
     key = F.col("o_orderkey")
-    entity = F.when(key % 3 == 0, "collection").when(key % 3 == 1, "badge").otherwise("synonym")
+    entity = F.when(key % 4 == 0, "collection").when(key % 4 == 1, "badge").when(key % 4 == 2, "experiment").otherwise("synonym")
     return o.select(key.alias("audit_id"), entity.alias("entity"), F.col("o_custkey").alias("entity_id"), F.when(key % 7 == 0, "revert").when(key % 5 == 0, "create").otherwise("update").alias("action"),
                     F.when(key % 5 != 0, doc(("status", F.lit("O")), ("priority", F.col("o_orderpriority")), ("updatedAt", F.lit("1")))).alias("before"), doc(("status", F.col("o_orderstatus")), ("priority", F.lit("5-LOW"))).alias("after"))
 
 
-AUDIT = """au AS (SELECT o_orderkey AS audit_id, CASE o_orderkey % 3 WHEN 0 THEN 'collection' WHEN 1 THEN 'badge' ELSE 'synonym' END AS entity, o_custkey AS entity_id, CASE WHEN o_orderkey % 7 = 0 THEN 'revert' WHEN o_orderkey % 5 = 0 THEN 'create' ELSE 'update' END AS action,
+AUDIT = """au AS (SELECT o_orderkey AS audit_id, CASE o_orderkey % 4 WHEN 0 THEN 'collection' WHEN 1 THEN 'badge' WHEN 2 THEN 'experiment' ELSE 'synonym' END AS entity, o_custkey AS entity_id, CASE WHEN o_orderkey % 7 = 0 THEN 'revert' WHEN o_orderkey % 5 = 0 THEN 'create' ELSE 'update' END AS action,
   CASE WHEN o_orderkey % 5 <> 0 THEN 'O' END AS s0, CASE WHEN o_orderkey % 5 <> 0 THEN trim(o_orderpriority) END AS p0, trim(o_orderstatus) AS s1, '5-LOW' AS p1 FROM orders)"""
 
 
-@query(f"""WITH {AUDIT} SELECT audit_id, action <> 'revert' AS revertible, CASE WHEN action = 'revert' THEN 'already a revert' END AS refused,
+@query(f"""WITH {AUDIT} SELECT audit_id, entity <> 'experiment' AS revertible, CASE WHEN entity = 'experiment' THEN 'not of a kind that can be put back' END AS refused,
   concat_ws(';', CASE WHEN p0 IS DISTINCT FROM p1 THEN 'priority:' || coalesce(p0, '') || '>' || p1 END, CASE WHEN s0 IS DISTINCT FROM s1 THEN 'status:' || coalesce(s0, '') || '>' || s1 END) AS changes FROM au""")
 def audit_diff(spark, sf_dir):
     rows = history.audit_diff(audit_log(spark, sf_dir))
@@ -382,10 +393,10 @@ def audit_diff(spark, sf_dir):
 
 
 @query(f"""WITH {AUDIT} SELECT audit_id AS reverts, entity, entity_id, 'revert' AS action, CASE WHEN s0 IS NULL THEN 'removed' ELSE 'restored' END AS outcome, entity IN ('collection', 'badge') AS reindex_required
-FROM au WHERE action <> 'revert' AND audit_id % 10 < 5""")
+FROM au WHERE entity <> 'experiment'""")
 def inverse_changes(spark, sf_dir):
     audit = audit_log(spark, sf_dir)
-    return history.inverse_changes(audit, audit.where("audit_id % 10 < 5").select("audit_id")).drop("before", "after")
+    return history.inverse_changes(audit, audit.select("audit_id")).drop("before", "after")
 
 
 @query("SELECT o_orderkey, FLOOR(o_totalprice * 10 + 0.5) / 10 AS tenths, ROUND(CASE WHEN z >= 0 THEN p ELSE 1 - p END, 6) AS cdf FROM (SELECT *, 1 - 0.3989422804014327 * EXP(-z * z / 2) * (t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))) AS p FROM (SELECT *, 1 / (1 + 0.2316419 * ABS(z)) AS t FROM (SELECT *, CAST(o_orderkey % 9 - 4 AS DOUBLE) / 2 AS z FROM orders)))")

@@ -166,7 +166,7 @@ def apply_query_rule(spark, sf_dir):
     cards = rank.group_by_parent(ranked(spark, sf_dir)).select("query_id", "parent_id", "card").persist()
     action = F.when(F.col("card") == 1, "hide").when(F.col("card") == 2, "bury").when(F.col("card") == 6, "pin")
     actions = cards.select("query_id", "parent_id", action.alias("action"), F.lit(1).alias("slot")).where("action is not null")
-    return rules.apply_query_rule(cards, actions)
+    return rules.apply_query_rule(cards, actions, docs(spark, sf_dir))
 
 
 AFFINITY_SQL = """af AS (SELECT session_id, word, CAST(ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY MAX(occurred_at) DESC, word) AS INT) AS place FROM (SELECT session_id, occurred_at, unnest([finish, brand]) AS word FROM shopper_events JOIN variants USING (sku) WHERE type = 'click') GROUP BY 1, 2 QUALIFY place <= 8)"""

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import catalogue, facets, rank, retrieve, signals
+from ..operators import catalogue, facets, rank, recommend, retrieve, signals
 from .analytics import CTR, PRODUCT_DAY, product_day
 from .registry import Registry
-from .views import AS_OF, EVENTS_SQL, VARIANTS_SQL, as_of, table, variants
+from .views import AS_OF, EVENTS_SQL, VARIANTS_SQL, as_of, shopper_events, table, variants
 
 REGISTRY = Registry()
 QUERIES, ORACLE, query = REGISTRY.queries, REGISTRY.oracle, REGISTRY.query
@@ -271,13 +271,14 @@ def delete_by_sku(spark, sf_dir):
     return catalogue.delete_by_sku(rows, rows.where("not in_stock").select("site_id", "sku")).select("sku")
 
 
-@query(f"WITH {DOCS_SQL}, w AS (SELECT parent_id, ROW_NUMBER() OVER (ORDER BY MAX(price) DESC, parent_id) AS place FROM docs GROUP BY 1) SELECT 'main' AS site_id, CAST(w.place AS INT) AS place, w.parent_id, 'P' || MIN(CAST(substr(sku, 2) AS BIGINT)) AS sku FROM w JOIN docs USING (parent_id) GROUP BY 1, 2, 3")
+@query(f"""WITH {EVENTS_SQL}, {DOCS_SQL}, w AS (SELECT e.site_id, shopper_id, parent_id, CAST(ROW_NUMBER() OVER (PARTITION BY e.site_id, shopper_id ORDER BY MAX(occurred_at) DESC, parent_id) AS INT) AS place
+FROM shopper_events e JOIN (SELECT sku, parent_id FROM docs) v USING (sku) WHERE type IN ('product_view', 'click') AND occurred_at >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY GROUP BY 1, 2, 3 QUALIFY place <= 8)
+SELECT w.site_id, w.shopper_id, w.parent_id, w.place, 'P' || MIN(CAST(substr(d.sku, 2) AS BIGINT)) AS sku FROM w JOIN docs d USING (parent_id) GROUP BY 1, 2, 3, 4""")
 def get_by_parent_ids(spark, sf_dir):
-    from pyspark.sql.window import Window as W
-
+    """Each shopper's page of products seen last is a request."""
     rows = docs(spark, sf_dir).withColumn("ordinal", F.substring("sku", 2, 20).cast("bigint"))
-    top = rows.groupBy("site_id", "parent_id").agg(F.max("price").alias("p")).withColumn("place", F.row_number().over(W.partitionBy("site_id").orderBy(F.desc("p"), "parent_id"))).drop("p")
-    return catalogue.get_by_parent_ids(rows, top)
+    seen = recommend.recently_viewed(shopper_events(spark, sf_dir), rows.select("sku", "parent_id"), as_of())
+    return catalogue.get_by_parent_ids(rows, seen.select("site_id", "shopper_id", "parent_id", F.col("rank").alias("place")))
 
 
 @query(f"WITH {DOCS_SQL}, p AS (SELECT parent_id, CAST(ROW_NUMBER() OVER (ORDER BY parent_id) AS INT) AS place, COUNT(*) OVER () AS total_products FROM (SELECT DISTINCT parent_id FROM docs)) SELECT sku, place, total_products FROM docs JOIN p USING (parent_id) WHERE place <= 50")

@@ -40,9 +40,9 @@ DELIMITERS = ["\t", ",", "|", ";"]
 
 
 def read_feed(spark: SparkSession, path: str) -> DataFrame:
-    """A delimited feed as texts. The delimiter is the one that the header line has most of (comma if none); ragged rows and stray quotes are tolerated, blanks around values and empty lines dropped."""
+    """A delimited feed as texts. The delimiter is the one that the header line has most of (the first of tab, comma, bar and semicolon among equals); ragged rows and stray quotes are tolerated, blanks around values and empty lines dropped."""
     header = (spark.read.text(path).limit(1).collect() or [[""]])[0][0].lstrip("﻿")
-    sep = max(DELIMITERS, key=lambda d: (header.count(d), d == ","))
+    sep = max(DELIMITERS, key=header.count)
     return spark.read.options(sep=sep, header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, unescapedQuoteHandling="STOP_AT_DELIMITER", mode="PERMISSIVE", escape='"').csv(path)
 
 

@@ -73,3 +73,12 @@ def test_lift_takes_sizes_before_single_measurements():
 def test_relax_drops_the_first_of_the_shortest(spark):
     assert one(spark, relax_terms(F.array(F.lit("oak"), F.lit("red"), F.lit("beam")))) == ["red", "beam"]
     assert one(spark, relax_terms(F.array(F.lit("oak")))) is None
+
+
+def test_lift_reads_mixed_numbers_axes_and_written_on_crosses():
+    assert lift("2-1/2 in thick board") == ("board", [("any_dimension_in", 2.5)])
+    assert lift("5 1/2 inches wide shelf") == ("shelf", [("width_in", 5.5)])
+    assert lift("width: 4 in post") == ("post", [("width_in", 4.0)])
+    assert lift("4ftx6ft panel") == ("panel", [("width_in", 48.0), ("height_in", 72.0)])
+    assert lift("2x4x8 stud") == ("stud", [("width_in", 2.0), ("height_in", 4.0), ("length_in", 8.0)])
+    assert lift("abc4 in oak") == ("abc4 in oak", [])

@@ -11,14 +11,22 @@ from shopstream.sources import feed
 def test_pins_take_their_places(spark):
     cards = spark.createDataFrame([("q", p, i) for i, p in enumerate("abcde", 1)], "query_id string, parent_id string, card int")
     actions = spark.createDataFrame([("q", "e", "pin", 1), ("q", "z", "pin", 3), ("q", "a", "bury", 0), ("q", "c", "hide", 0)], "query_id string, parent_id string, action string, slot int")
-    out = rules.apply_query_rule(cards, actions).orderBy("card").collect()
+    products = spark.createDataFrame([(p,) for p in "abcdez"], "parent_id string")
+    out = rules.apply_query_rule(cards, actions, products).orderBy("card").collect()
     assert [(r.parent_id, r.pinned) for r in out] == [("e", True), ("b", False), ("z", True), ("d", False), ("a", False)]
 
 
 def test_two_pins_for_one_place_and_one_beyond_the_end(spark):
     cards = spark.createDataFrame([("q", "a", 1)], "query_id string, parent_id string, card int")
-    actions = spark.createDataFrame([("q", "x", "pin", 1), ("q", "y", "pin", 1), ("q", "z", "pin", 9)], "query_id string, parent_id string, action string, slot int")
-    assert [r.parent_id for r in rules.apply_query_rule(cards, actions).orderBy("card").collect()] == ["x", "y", "a", "z"]
+    actions = spark.createDataFrame([("q", "x", "pin", 1), ("q", "y", "pin", 1), ("q", "z", "pin", 9), ("q", "gone", "pin", 1)], "query_id string, parent_id string, action string, slot int")
+    products = spark.createDataFrame([(p,) for p in "axyz"], "parent_id string")
+    assert [r.parent_id for r in rules.apply_query_rule(cards, actions, products).orderBy("card").collect()] == ["y", "x", "a", "z"]
+
+
+def test_a_pattern_that_does_not_compile_matches_nothing(spark):
+    log = spark.createDataFrame([("oak beam",)], "query string")
+    table = spark.createDataFrame([(1, "regex", "(oak", "/bad", 9, True), (2, "regex", "^oak", "/oak", 1, True)], "rule_id int, kind string, pattern string, target string, priority int, enabled boolean")
+    assert [r.target for r in rules.match_redirects(log, table).collect()] == ["/oak"]
 
 
 def test_synonyms_take_the_longest_phrase_once(spark):
@@ -79,11 +87,11 @@ def test_feed_is_read_with_its_own_delimiter(spark, tmp_path):
 
 
 def test_json_diff_and_undo(spark):
-    rows = spark.createDataFrame([(1, "badge", 7, "update", '{"a":"1","b":null,"updatedAt":"x"}', '{"a":"2"}'), (2, "badge", 7, "create", None, '{"a":"2"}'), (3, "badge", 7, "revert", "{}", "{}")], "audit_id int, entity string, entity_id int, action string, before string, after string")
+    rows = spark.createDataFrame([(1, "badge", 7, "update", '{"a":"1","b":null,"updatedAt":"x"}', '{"a":"2"}'), (2, "badge", 7, "create", None, '{"a":"2"}'), (3, "badge", 7, "revert", "{}", "{}"), (4, "experiment", 7, "update", "{}", "{}"), (5, "badge", None, "update", "{}", "{}"), (6, "badge", 7, "update", None, None)], "audit_id int, entity string, entity_id int, action string, before string, after string")
     out = {r.audit_id: r for r in history.audit_diff(rows).collect()}
-    assert [tuple(c) for c in out[1].changes] == [("a", "1", "2")] and not out[3].revertible
+    assert [tuple(c) for c in out[1].changes] == [("a", "1", "2")] and out[3].revertible and not out[4].revertible and not out[5].revertible and not out[6].revertible
     undone = history.inverse_changes(rows, rows.select("audit_id")).orderBy("reverts").collect()
-    assert [(r.reverts, r.outcome, r.after) for r in undone] == [(1, "restored", '{"a":"1","b":null,"updatedAt":"x"}'), (2, "removed", None)]
+    assert [(r.reverts, r.outcome, r.after) for r in undone] == [(1, "restored", '{"a":"1","b":null,"updatedAt":"x"}'), (2, "removed", None), (3, "restored", "{}")]
 
 
 def test_events_are_appended_by_day_without_the_refused(spark, tmp_path):
