@@ -60,19 +60,25 @@ def histograms(column: pa.Array, log2: int, orders: tuple[int, ...], with_words:
             yield lo + first, out
 
 
+#: Different labels that a model is fitted for at most: its size on the driver grows with them.
+MOST_LABELS = 1024
+
+
 def learning_sample(docs: DataFrame, labels: DataFrame | None, label: str, rows_per_label: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(text, label): about rows_per_label rows of each label (the bound on what is learned from), none of them held out.
 
     Rows are chosen by a hash of the identifier, at a rate for each label, so that no label is sorted or
     gathered. `labels` is joined by identifier; without it the label is a column of docs. Rows with a
-    null text or label are left out.
+    null text or label are left out. More than MOST_LABELS different labels are an error.
     """
     if labels is None:
         labelled = docs.select(F.col(id_col).alias("doc_id"), F.col(label).alias("label"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     else:
         labelled = labels.select(F.col(id_col).alias("doc_id"), F.col(label).alias("label"))
     labelled = labelled.where(F.col("label").isNotNull() & ~held_out("doc_id"))
-    counts = labelled.groupBy("label").count().orderBy(F.desc("count"), "label").limit(1024).collect()
+    counts = labelled.groupBy("label").count().orderBy("label").limit(MOST_LABELS + 1).collect()
+    if len(counts) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} different labels")
     if not counts:
         return docs.select(F.col(text_col).alias("text"), F.lit(None).cast(labelled.schema["label"].dataType).alias("label")).limit(0)
     rate = F.create_map(*[x for r in counts for x in (F.lit(r["label"]), F.lit(min(1.0, rows_per_label / r["count"])))])

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, stored
+from .common import new_path, salted_join, stored
 
 CHUNK, ARCHIVE_BYTES, BLOCK = 65_536, 64_000_000, 1 << 18
 RECORD = "<urn:x-page:{}>"
@@ -32,9 +32,9 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 def revisits(pages: DataFrame, id_col: str, url_col: str, payload_col: str, least_bytes: int) -> DataFrame:
     """(page_id, url, payload, payload_bytes, sha1, refers_to): refers_to is the smallest identifier with the same payload, null for that page itself and for payloads under least_bytes."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
-    rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("sha1", F.sha1("payload"))
-    first = rows.groupBy("sha1", "payload_bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("payload_bytes") >= least_bytes)).drop("n")
-    rows = rows.join(first, ["sha1", "payload_bytes"], "left")
+    rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("sha1", F.sha1("payload")).withColumn("same", F.struct("sha1", "payload_bytes"))
+    first = rows.groupBy("same").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("same.payload_bytes") >= least_bytes)).drop("n")
+    rows = salted_join(rows, first, "same", "left", by="page_id")  # a third of all pages may be copies of one
     return rows.select("page_id", "url", "payload", "payload_bytes", "sha1", F.when(F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")).alias("refers_to"))
 
 

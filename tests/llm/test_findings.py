@@ -84,3 +84,16 @@ def test_toxic_texts_are_told_from_others(spark):
     n1, n0 = (out.toxic == 1).sum(), (out.toxic == 0).sum()
     assert (rank[out.toxic == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * n0) >= 0.88
     assert out.predicted[out.toxic == 1].mean() >= 0.3 and out.predicted[out.toxic == 0].mean() <= 0.05
+
+def test_many_copies_of_one_page_refer_to_the_smallest(spark):
+    from pyspark.sql import functions as F
+
+    from shopstream.llm import warc
+
+    pages = spark.range(1, 401).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h/"), "id").alias("url"), F.when(F.col("id") % 3 == 0, "<p>gone</p>").when(F.col("id") % 50 == 1, None).otherwise(F.concat(F.lit("page "), "id")).alias("html"), F.lit("x").alias("payload"), F.lit("y").alias("sha1"))
+    out = {r.page_id: r for r in warc.read_archives(warc.write_archives(pages)).where("last").collect()}
+    empty = [i for i in range(1, 401) if i % 3 and i % 50 == 1]
+    assert len(out) == 400
+    for i, r in out.items():
+        first = 3 if i % 3 == 0 else empty[0] if i in empty else i
+        assert (r.record_type, r.refers_to) == (("response", None) if i == first else ("revisit", first))
