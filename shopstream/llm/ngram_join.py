@@ -321,12 +321,12 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     combined = index.where("combined").select("sig", *ENTRY).dropDuplicates(["sig", "set_id"])
     # a hub has few rare tokens, so that it fits most of its list; the lists of a group share HUBS different ones, so a set gets about so many links
     ranked = F.struct(F.floor(10 * F.col("v") / F.col("n")).alias("share"), F.xxhash64("set_id", F.pmod("sig", F.lit(HUBS))).alias("draw"), *ENTRY)
-    combined = stored(combined, "combined")
+    once = combined = stored(combined, "combined")
     hubs = combined.groupBy("sig").agg(F.count("*").alias("m"), F.min(ranked).alias("hub")).where("m > 1").select("sig", F.struct(*[F.col(f"hub.{c}").alias(c) for c in ENTRY]).alias("hub"))
     combined = stored(salted_join(combined, hubs, "sig", by="set_id"), "lists")
     star = _pairs(combined.select(F.struct(*ENTRY).alias("x"), F.col("hub").alias("y")), percent)
     pairs = stored(pairs.union(star).distinct(), "pairs")
-    dropped(index)
+    dropped(index, once)
     wanted = stored(pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).union(combined.select("set_id")).distinct().join(reps, "set_id").select("set_id", "rep"), "wanted")
 
     log2 = 24
@@ -341,6 +341,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     if crossing.limit(1).count():
         links = links.union(_linked(crossing, wanted, tokens, percent))
         labels = connected(links)
+    dropped(combined, pairs, wanted, tokens)
     members = sets.join(reps.select("digest", "rep"), "digest", "left").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     return members.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("label", "rep", "doc_id").alias("component_id"))
 
