@@ -178,14 +178,17 @@ def personal_data(docs: DataFrame, keep: list[str], text_col: str = "text", supp
     """
     found = find_entities(docs, keep, text_col)
     terms = stored(disclosing_terms(found, docs, text_col, support, disclosure), "terms")
-    some = found.where(F.size("near") > 0)
+    some = found.where(F.size("base") > 0)
     words = some.select("uid", F.explode("words").alias("w")).select("uid", F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.col("w.value").alias("term"))
     entities = some.select("uid", F.explode(F.array_distinct("near.entity")).alias("entity"))
     # by term first: a term discloses few entities, while a text may have many of both
     held = salted_join(words.select("uid", "term").distinct(), terms, "term", by="uid").join(entities, ["uid", "entity"], "left_semi").select("uid", "term").distinct()
     more = words.join(held, ["uid", "term"]).groupBy("uid").agg(F.collect_set(F.struct("start", F.lit(KINDS.index("term")).alias("kind"), "end")).alias("terms"))  # words of one row
     base = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    return found.join(more, "uid", "left").select("row", base.alias("base"), F.array_sort(F.concat(base, F.coalesce("terms", F.array().cast("array<struct<start:int,kind:int,end:int>>")))).alias("spans"))
+    empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    spans = lambda rows, terms: rows.select("row", base.alias("base"), F.array_sort(F.concat(base, terms)).alias("spans"))
+    # a text without an entity has no term: it needs no join, so its row is not shuffled
+    return spans(found.where(F.size("base") == 0), empty).union(spans(some.join(more, "uid", "left"), F.coalesce("terms", empty)))
 
 
 def count_of(spans: str, kind: int) -> Column:
