@@ -47,3 +47,8 @@ def landing_pages(directory: DataFrame, collections: DataFrame) -> DataFrame:
     """(path, title, priority, source) of category and collection pages (R15, U5). directory: (category_id, depth, path, products); collections: (slug, title)."""
     pages = directory.select(F.concat(F.lit("/c/"), "category_id").alias("path"), F.col("path").alias("title"), F.round(F.greatest(F.lit(0.3), 1 - 0.2 * (F.col("depth") - 1)), 4).alias("priority"), F.lit("category").alias("source"))
     return pages.unionByName(collections.select(F.concat(F.lit("/collections/"), "slug").alias("path"), "title", F.lit(0.8).alias("priority"), F.lit("collection").alias("source")))
+
+
+def union_cases(written: DataFrame, generated: DataFrame) -> DataFrame:
+    """Hand-written cases and generated ones; columns that only one of them has are null in the other."""
+    return written.unionByName(generated, allowMissingColumns=True)

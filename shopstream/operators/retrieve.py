@@ -147,3 +147,14 @@ def window_parents(scored: DataFrame, order: str = "retrieval", descending: bool
     out = scored.join(parents.select("query_id", "parent_id", "place"), ["query_id", "parent_id"])
     within = F.row_number().over(W.partitionBy("query_id").orderBy("place", F.desc(order) if descending else F.asc(order), "sku"))
     return out.withColumn("n", within).where(F.col("n") <= cut).drop("n")
+
+
+def exclude_skus(docs: DataFrame, excluded: DataFrame) -> DataFrame:
+    """docs without the excluded (site_id, sku); a null SKU excludes nothing."""
+    return docs.join(excluded.select("site_id", "sku"), ["site_id", "sku"], "left_anti")
+
+
+def filter_to_candidates(docs: DataFrame, parents: DataFrame, matches: DataFrame, test: Column) -> DataFrame:
+    """(query_id, parent_id, sku, place): the matching variants of each query's candidate parents that pass the filters again (J17). parents: (query_id, parent_id, place); matches: (query_id, sku, ...); test: a condition on docs."""
+    found = matches.select("query_id", "sku").distinct().join(docs.where(test).select("sku", "parent_id"), "sku")
+    return found.join(parents.select("query_id", "parent_id", "place"), ["query_id", "parent_id"]).select("query_id", "parent_id", "sku", "place")

@@ -1,4 +1,4 @@
-"""Query rules over a whole log: redirects (J6), rules (J7), synonyms (J8), pins (R10), badges (R11), personalisation."""
+"""Query rules over a whole log: redirects (J6), rules (J7), synonyms (J8), pins (R10), badges (R11), personalisation (R12, R13), pins that were not found."""
 
 from __future__ import annotations
 
@@ -122,3 +122,10 @@ def personalise(hits: DataFrame, words: Column) -> DataFrame:
     """hits (query_id, card, finish, brand and the session's affinity `words`) with `place`: more words in common first, else as before."""
     score = F.size(F.array_intersect(F.array("finish", "brand"), words))
     return hits.withColumn("score", score).withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "card")))
+
+
+def absent_pins(pins: DataFrame, hits: DataFrame, docs: DataFrame, ordinal: str = "ordinal") -> DataFrame:
+    """(query_id, parent_id, sku): pinned products that a query did not find, each by its first document (J15). pins and hits: (query_id, parent_id); docs: (parent_id, sku and the ordinal). Pins of products without documents are left out."""
+    absent = pins.select("query_id", "parent_id").distinct().join(hits.select("query_id", "parent_id"), ["query_id", "parent_id"], "left_anti")
+    first = docs.join(absent.select("parent_id"), "parent_id", "left_semi").groupBy("parent_id").agg(F.min_by("sku", ordinal).alias("sku"))
+    return absent.join(first, "parent_id").select("query_id", "parent_id", "sku")

@@ -1,4 +1,4 @@
-"""Selectors (P9): a rule tree of all, any and none over conditions, compiled to a Column; and whether a rule is live."""
+"""Selectors (P9): a rule tree of all, any and none over conditions, compiled to a Column; and whether a rule is live (P11, P13); label plans (J16, W8) and previews."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions.scoring import effective_price
 
@@ -136,3 +137,34 @@ def apply_labels(catalogue: DataFrame, rules: list[dict]) -> DataFrame:
         by_selector = F.get("hit", k) & (F.get("alone", k) | ~F.col(f"some{k}"))
         labels.append(F.when(~excluded & (included | by_selector), r["label"]))
     return single.select("site_id", "parent_id", F.col("one.sku").alias("sku"), F.explode(F.array_compact(F.array(*labels))).alias("label"))
+
+
+def label_plan(values: DataFrame, assignments: DataFrame) -> DataFrame:
+    """(site_id, label, selector, parent_id, mode, position): every label value with its hand-made members, one row each, or one row with nulls where it has none (J16). values: (site_id, label, selector); assignments: (site_id, label, parent_id, mode include or exclude, position). Of several assignments of a product to a label an exclusion wins, then the lowest position.
+
+    Members stay rows: a label may have very many.
+    """
+    once = assignments.groupBy("site_id", "label", "parent_id").agg(F.min(F.struct("mode", F.coalesce("position", F.lit(2**31 - 1)).alias("at"), "position")).alias("a"))
+    return values.join(once, ["site_id", "label"], "left").select("site_id", "label", "selector", "parent_id", "a.mode", "a.position")
+
+
+def curated_positions(docs: DataFrame, plan: DataFrame) -> DataFrame:
+    """docs with `positions`, an array of (label, position) by label: the places that collections give to the product by hand; empty where there are none (W8). plan: see label_plan."""
+    placed = plan.where("mode = 'include' and position is not null").groupBy("site_id", "parent_id").agg(F.array_sort(F.collect_set(F.struct("label", "position"))).alias("positions"))  # a product's collections
+    none = F.array().cast("array<struct<label:string,position:int>>")
+    return docs.join(placed, ["site_id", "parent_id"], "left").withColumn("positions", F.coalesce("positions", none))
+
+
+def preview_selector(catalogue: DataFrame, tree: dict, sample_limit: int | None = None, most: int = 8) -> DataFrame:
+    """(site_id, matched, total, sampled, exact, examples): how many products a selector would select at each site, and the first `most` of them by identifier (I11). Without sample_limit all products are looked at; with it the first so many of each site, and `matched` is scaled to all of them."""
+    rows = catalogue.withColumn("hit", compile_selector(tree)).select("site_id", "parent_id", "hit")
+    totals = rows.groupBy("site_id").agg(F.count("*").alias("total"))
+    if sample_limit is not None:
+        rows = rows.withColumn("n", F.row_number().over(W.partitionBy("site_id").orderBy("parent_id"))).where(F.col("n") <= sample_limit)
+    counts = rows.groupBy("site_id").agg(F.count_if("hit").alias("hits"), F.count("*").alias("sampled"))
+    first = rows.where("hit").withColumn("n", F.row_number().over(W.partitionBy("site_id").orderBy("parent_id"))).where(F.col("n") <= most)
+    first = first.groupBy("site_id").agg(F.array_sort(F.collect_list("parent_id")).alias("examples"))  # `most` rows
+    exact = F.col("sampled") >= F.col("total")
+    matched = F.when(exact, F.col("hits")).otherwise(F.floor(F.col("hits") / F.col("sampled") * F.col("total") + 0.5))
+    out = totals.join(counts, "site_id").join(first, "site_id", "left")
+    return out.select("site_id", matched.cast("long").alias("matched"), "total", "sampled", exact.alias("exact"), F.coalesce("examples", F.array().cast("array<string>")).alias("examples"))

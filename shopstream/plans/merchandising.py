@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import measure, text
-from ..operators import analyse, catalogue, facets, learn, relevance, rules, selectors
+from ..operators import analyse, catalogue, facets, learn, relevance, retrieve, rules, selectors
 from ..sources import feed
 from .registry import Registry
-from .search import CARDS_SQL, DOCS_SQL, RANKED_SQL, docs, query_totals, search
+from .search import CARDS_SQL, DOCS_SQL, HITS_SQL, RANKED_SQL, docs, prepared, query_totals, search
 from .views import EVENTS_SQL, VARIANTS_SQL, shopper_events, table, variants
 
 REGISTRY = Registry()
@@ -272,3 +272,55 @@ def measurements(spark, sf_dir):
     size = F.col("p_size").cast("string")
     inches = lambda suffix: measure.attribute_inches(F.lit("width"), F.concat(size, F.lit(suffix)))
     return table(spark, sf_dir, "part").select("p_partkey", inches('-1/2"').alias("mixed"), inches(" mm").alias("mm"), inches("ft").alias("feet"))
+
+
+#: Each query pins the product of the part after its own.
+PINS_SQL = f"{HITS_SQL}, pins AS (SELECT DISTINCT a.p_name AS query_id, b.p_name || '/' || b.p_type AS parent_id FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1)"
+
+
+@query(f"""WITH {PINS_SQL} SELECT query_id, parent_id, 'P' || MIN(CAST(substr(sku, 2) AS BIGINT)) AS sku FROM (SELECT * FROM pins EXCEPT SELECT query_id, parent_id FROM hits) JOIN (SELECT sku, parent_id FROM docs) USING (parent_id) GROUP BY 1, 2""")
+def absent_pins(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    after = p.select((F.col("p_partkey") - 1).alias("k"), F.concat_ws("/", "p_name", "p_type").alias("parent_id"))
+    pins = p.select(F.col("p_partkey").alias("k"), F.col("p_name").alias("query_id")).join(after, "k").select("query_id", "parent_id")
+    index, queries, expanded = prepared(spark, sf_dir)
+    rows = docs(spark, sf_dir).withColumn("ordinal", F.substring("sku", 2, 20).cast("bigint"))
+    return rules.absent_pins(pins, retrieve.match_terms(queries, index, expanded), rows)
+
+
+#: Leaf categories as collections: discounted products are included by hand, places for the cheap ones; sold out ones are excluded.
+PLAN_SQL = f"""{DOCS_SQL}, vals AS (SELECT DISTINCT 'collection:' || category_leaf AS label FROM docs UNION SELECT 'collection:' || category_top FROM docs),
+asg AS (SELECT 'collection:' || category_leaf AS label, parent_id, CASE WHEN in_stock THEN 'include' ELSE 'exclude' END AS mode, CASE WHEN in_stock AND price < 1200 THEN CAST(inventory AS INT) END AS position FROM docs WHERE discount_pct > 0 OR NOT in_stock),
+one AS (SELECT label, parent_id, CASE WHEN bool_or(mode = 'exclude') THEN 'exclude' ELSE 'include' END AS mode, CASE WHEN NOT bool_or(mode = 'exclude') THEN MIN(position) END AS position FROM asg GROUP BY 1, 2),
+plan AS (SELECT 'main' AS site_id, label, parent_id, mode, position FROM vals LEFT JOIN one USING (label))"""
+
+
+def plan_of(spark, sf_dir):
+    rows = docs(spark, sf_dir)
+    label = lambda c: F.concat(F.lit("collection:"), F.col(c)).alias("label")
+    values = rows.select("site_id", label("category_leaf")).union(rows.select("site_id", label("category_top"))).distinct().withColumn("selector", F.lit("{}"))
+    members = rows.where("discount_pct > 0 or not in_stock").select("site_id", label("category_leaf"), "parent_id", F.when(F.col("in_stock"), "include").otherwise("exclude").alias("mode"), F.when(F.col("in_stock") & (F.col("price") < 1200), F.col("inventory").cast("int")).alias("position"))
+    return selectors.label_plan(values, members)
+
+
+@query(f"WITH {PLAN_SQL} SELECT * FROM plan")
+def load_label_plan(spark, sf_dir):
+    return plan_of(spark, sf_dir).drop("selector")
+
+
+@query(f"WITH {PLAN_SQL} SELECT d.sku, COALESCE(string_agg(p.label || '=' || p.position, '|' ORDER BY p.label), '') AS positions FROM docs d LEFT JOIN (SELECT * FROM plan WHERE mode = 'include' AND position IS NOT NULL) p USING (parent_id) GROUP BY 1")
+def category_position_order(spark, sf_dir):
+    rows = selectors.curated_positions(docs(spark, sf_dir), plan_of(spark, sf_dir))
+    return rows.select("sku", F.array_join(F.transform("positions", lambda p: F.concat_ws("=", p["label"], p["position"].cast("string"))), "|").alias("positions"))
+
+
+@query(f"WITH {PRODUCTS_SQL}, m AS (SELECT site_id, parent_id, {TREE_SQL} AS hit FROM prod) SELECT site_id, COUNT(*) FILTER (hit) AS matched, COUNT(*) AS total, COUNT(*) AS sampled, TRUE AS exact, (SELECT string_agg(parent_id, '|' ORDER BY parent_id) FROM (SELECT parent_id FROM m WHERE hit ORDER BY parent_id LIMIT 8)) AS examples FROM m GROUP BY 1")
+def preview_selector(spark, sf_dir):
+    return selectors.preview_selector(selectors.products(variants(spark, sf_dir)), TREE).withColumn("examples", F.array_join("examples", "|"))
+
+
+@query(f"WITH {CASES_SQL} SELECT case_id, query, category_id, expected FROM cs UNION ALL SELECT DISTINCT 'written:' || finish, finish, NULL, NULL FROM docs")
+def union_cases(spark, sf_dir):
+    rows = docs(spark, sf_dir)
+    written = rows.select(F.concat_ws(":", F.lit("written"), "finish").alias("case_id"), F.col("finish").alias("query")).distinct()
+    return relevance.union_cases(written, relevance.coverage_cases(rows)).select("case_id", "query", "category_id", "expected")

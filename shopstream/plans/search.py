@@ -292,3 +292,19 @@ def sort_hits(spark, sf_dir):
 
     place = F.row_number().over(W.partitionBy("site_id").orderBy(*catalogue.sort_key("discount")))
     return docs(spark, sf_dir).withColumn("place", place).where("place <= 100").select("sku", "place")
+
+
+@query(f"WITH {EVENTS_SQL}, {DOCS_SQL} SELECT sku FROM docs WHERE sku NOT IN (SELECT sku FROM shopper_events WHERE type = 'purchase' AND sku IS NOT NULL)")
+def exclude_skus(spark, sf_dir):
+    bought = shopper_events(spark, sf_dir).where("type = 'purchase'").select("site_id", "sku").distinct()
+    return retrieve.exclude_skus(docs(spark, sf_dir), bought).select("sku")
+
+
+@query(f"""WITH {SIGNALS_SQL}, pw AS (SELECT query_id, parent_id, CAST(ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY MAX(retrieval) DESC, parent_id) AS INT) AS place FROM rs JOIN (SELECT sku, parent_id FROM docs) USING (sku) GROUP BY 1, 2 QUALIFY place <= 10)
+SELECT query_id, parent_id, sku, place FROM rs JOIN (SELECT sku, parent_id FROM docs WHERE in_stock AND effective_price < 1200) USING (sku) JOIN pw USING (query_id, parent_id)""")
+def filter_to_candidates(spark, sf_dir):
+    index, queries, expanded = prepared(spark, sf_dir)
+    rows, scored = docs(spark, sf_dir), retrieve.retrieval_score(retrieve.match_terms(queries, index, expanded))
+    parents = retrieve.window_parents(scored.join(rows.select("sku", "parent_id"), "sku"), window=10).select("query_id", "parent_id", "place").distinct()
+    test = F.col("in_stock") & retrieve.range_filter([("price", None, 1199.999)], {"price": F.col("effective_price")})
+    return retrieve.filter_to_candidates(rows, parents, scored, test)

@@ -100,3 +100,21 @@ def test_events_are_appended_by_day_without_the_refused(spark, tmp_path):
         events.append_events(rows, str(tmp_path / "e"))
     out = spark.read.parquet(str(tmp_path / "e")).collect()
     assert [(r.normalised_query, str(r.day)) for r in out] == [("red bolt", "2024-01-02")] * 2
+
+
+def test_preview_scales_a_sample_and_counts_all_without_one(spark):
+    rows = spark.createDataFrame([("s", f"p{i}", "red" if i % 2 else "blue") for i in range(9)] + [("t", "q", "blue")], "site_id string, parent_id string, title string")
+    tree = {"field": "title", "op": "equals", "value": "red"}
+    got = {r.site_id: r for r in selectors.preview_selector(rows, tree, most=2).collect()}
+    assert (got["s"].matched, got["s"].exact, got["s"].examples) == (4, True, ["p1", "p3"]) and (got["t"].matched, got["t"].examples) == (0, [])
+    part = {r.site_id: r for r in selectors.preview_selector(rows, tree, sample_limit=4).collect()}["s"]
+    assert (part.matched, part.total, part.sampled, part.exact) == (5, 9, 4, False)
+
+
+def test_an_exclusion_wins_and_labels_without_members_stay(spark):
+    values = spark.createDataFrame([("s", "a", "{}"), ("s", "b", "{}")], "site_id string, label string, selector string")
+    given = spark.createDataFrame([("s", "a", "p", "include", 3), ("s", "a", "p", "include", None), ("s", "a", "q", "include", 1), ("s", "a", "q", "exclude", None)], "site_id string, label string, parent_id string, mode string, position int")
+    plan = selectors.label_plan(values, given)
+    assert sorted((r.label, r.parent_id or "", r.mode or "", r.position) for r in plan.collect()) == [("a", "p", "include", 3), ("a", "q", "exclude", None), ("b", "", "", None)]
+    docs = spark.createDataFrame([("s", "p"), ("s", "q")], "site_id string, parent_id string")
+    assert {r.parent_id: [tuple(x) for x in r.positions] for r in selectors.curated_positions(docs, plan).collect()} == {"p": [("a", 3)], "q": []}

@@ -12,6 +12,7 @@ SQL = analytics.ORACLE | search.ORACLE | merchandising.ORACLE | discovery.ORACLE
 QUICK = [
     "rollup_query_day", "attribute_revenue", "rollup_product_day", "overview", "trending", "term_insights", "product_ctr", "assign_arms", "experiment_results", "bought_together", "audit_diff",
     "build_postings", "fuzzy_terms", "match_terms", "business_score", "facet_counts", "sort_facet_values", "apply_price_deltas", "map_feed", "fill_blanks", "compile_selector", "apply_labels", "expand_synonyms", "analyse_queries", "lift_entities", "autocomplete", "rescue",
+    "exclude_skus", "filter_to_candidates", "absent_pins", "load_label_plan", "category_position_order", "preview_selector", "union_cases",
 ]
 
 
