@@ -34,8 +34,8 @@ REACH = 60
 WORD = r"(?<=[^\p{L}])\p{L}{3,40}(?!\p{L})"
 #: Texts that smooth an estimate, texts of a value from which it has half the weight; least share of the information content.
 SUPPORT, DISCLOSURE = 3, 0.6
-#: Most hashes of terms that are broadcast.
-CELLS = 1 << 18
+#: Most words of 64 cells in a map that is broadcast.
+MAP_WORDS = 1 << 18
 
 
 FOUND = "array<struct<start:int,end:int,value:string>>"
@@ -134,6 +134,40 @@ def find_entities(docs: DataFrame, keep: list[str], text_col: str = "text") -> D
     return stored(rows.select("row", F.monotonically_increasing_id().alias("uid"), F.xxhash64("text").alias("same"), "base", "near", "words"), "entities")
 
 
+def cell_map(rows: DataFrame, column: str) -> DataFrame:
+    """(word, bits): a map of MAP_WORDS * 64 cells at most, whatever the number of rows, marking hashes of a column."""
+    cell = F.pmod(F.xxhash64(column), F.lit(MAP_WORDS * 64))
+    bit = F.expr("shiftleft(1L, cast(cell & 63 as int))")
+    return rows.select(cell.alias("cell")).groupBy(F.shiftright("cell", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+
+
+def marked(rows: DataFrame, column: str, cells: DataFrame, wanted: bool = True) -> DataFrame:
+    """Rows whose column is marked in a map (with others that share a cell), or those whose column surely is not."""
+    cell = F.pmod(F.xxhash64(column), F.lit(MAP_WORDS * 64))
+    held = rows.withColumn("cell", cell).withColumn("word", F.shiftright("cell", 6)).join(F.broadcast(cells), "word", "left")
+    hit = F.coalesce(F.expr("shiftright(bits, cast(cell & 63 as int)) & 1") == 1, F.lit(False))
+    return held.where(hit if wanted else ~hit).drop("word", "cell", "bits")
+
+
+def term_counts(found: DataFrame, docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
+    """(term, n_term): the number of different texts with each term, for the terms of `wanted` (and some that share their cells).
+
+    A text that no other row repeats is counted where it is read, so only sums for each term are moved. Texts
+    of which there may be more rows are first reduced to one each, within the tasks and then by their hash.
+    """
+    several = stored(found.groupBy("same").agg(F.count("*").alias("n")).where("n > 1").select("same"), "several")
+    cells, repeated = stored(cell_map(wanted, "term"), "cells"), stored(cell_map(several, "same"), "repeated")
+    texts = docs.select(F.col(text_col).cast("string").alias("text")).where("text is not null").withColumn("same", F.xxhash64("text"))
+    once = marked(texts, "same", repeated, wanted=False).select("text")
+    again = marked(texts, "same", repeated).dropDuplicates(["same"]).select("text")
+
+    def terms(rows: DataFrame) -> DataFrame:
+        words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
+        return marked(rows.select(F.explode(words).alias("term")).where(F.length("term").between(3, 40)), "term", cells)
+
+    return terms(once).union(terms(again)).groupBy("term").agg(F.count("*").alias("n_term"))
+
+
 def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """(entity, term): terms that reveal an entity, with p(c|t) smoothed by `support` texts at the rate p(c).
 
@@ -146,12 +180,7 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str = "text",
     pairs = near.select("same", "kind", "entity", F.explode("terms").alias("term"))
     texts = lambda name: F.count_distinct("same").alias(name)
     n = F.lit(float(max(found.agg(F.count_distinct("same")).first()[0], 2)))
-    words = F.array_distinct(F.split(F.lower(F.col(text_col).cast("string")), r"[^\p{L}]+"))
-    # most words stand near no entity: they go by a map of CELLS hashes at most, before they are counted
-    cell = F.pmod(F.xxhash64("term"), F.lit(CELLS)).alias("cell")
-    cells = F.broadcast(pairs.select(cell).distinct())
-    words = docs.select(F.xxhash64(F.col(text_col).cast("string")).alias("same"), F.explode(words).alias("term")).where(F.length("term").between(3, 40))
-    terms = words.select("same", "term", cell).join(cells, "cell", "left_semi").groupBy("term").agg(texts("n_term"))
+    terms = term_counts(found, docs, text_col, pairs)
 
     def share(whole: Column, both: str) -> Column:
         """Mutual information as a share of the information content of what `whole` texts have."""
