@@ -42,6 +42,11 @@ def delete_by_sku(docs: DataFrame, skus: DataFrame) -> DataFrame:
     return docs.join(skus, ["site_id", "sku"], "left_anti")
 
 
+def deleted_count(docs: DataFrame, skus: DataFrame) -> DataFrame:
+    """(site_id, deleted): how many documents of each site delete_by_sku takes out."""
+    return docs.join(skus, ["site_id", "sku"], "left_semi").groupBy("site_id").agg(F.count("*").alias("deleted"))
+
+
 def publish_snapshot(docs: DataFrame, folder: str, version: str, view: str) -> None:
     """Writes a full build beside the current one and then points the view to it."""
     path = f"{folder}/version={version}"

@@ -104,10 +104,17 @@ def learn_dimensions(rows: DataFrame, title: str = "title") -> DataFrame:
 
 
 def adopt_facets(configured: DataFrame, facetable: DataFrame) -> DataFrame:
-    """(facet, place): facetable attributes that are not configured, after the last. configured: (facet, place); facetable: (facet)."""
-    last = configured.agg(F.coalesce(F.max("place"), F.lit(0)).alias("last"))
-    new = facetable.distinct().join(configured, "facet", "left_anti").crossJoin(F.broadcast(last))  # one row
-    return new.select("facet", (F.col("last") + F.row_number().over(W.orderBy("facet"))).alias("place"))
+    """(site_id, facet, label, display, place, collapsed, truncate_at, sort_by): facetable attributes that a site has not configured, after its last. configured: (site_id, facet, place); facetable: (site_id, facet, seen), in the order seen."""
+    last = configured.groupBy("site_id").agg(F.max("place").alias("last"))
+    new = facetable.groupBy("site_id", "facet").agg(F.min("seen").alias("seen")).join(configured, ["site_id", "facet"], "left_anti").join(last, "site_id", "left")
+    place = F.greatest(F.coalesce("last", F.lit(0)), F.lit(0)) + F.row_number().over(W.partitionBy("site_id").orderBy("seen", "facet"))
+    label = F.initcap(F.regexp_replace("facet", "[_-]+", " "))
+    return new.select("site_id", "facet", label.alias("label"), F.lit("checkbox").alias("display"), place.alias("place"), F.lit(True).alias("collapsed"), F.lit(8).alias("truncate_at"), F.lit("count").alias("sort_by"))
+
+
+def log_ingest_run(runs: DataFrame, new: DataFrame) -> DataFrame:
+    """Runs with the new ones added; a run that is there already (site_id, run_id) is replaced, so that a repeated write counts once."""
+    return runs.join(new, ["site_id", "run_id"], "left_anti").unionByName(new)
 
 
 def ingest_status(runs: DataFrame, n: int = 10) -> DataFrame:

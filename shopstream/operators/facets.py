@@ -40,17 +40,46 @@ def query_totals(matches: DataFrame) -> DataFrame:
     return matches.groupBy("query_id").agg(F.count_distinct("parent_id").alias("products"), F.count_distinct("sku").alias("variants"))
 
 
+def facet_stats(docs: DataFrame, numeric: dict[str, Column], facets: dict[str, Column], selected: dict[str, list[str]]) -> DataFrame:
+    """(facet, least, most) of numeric fields over the documents that obey all selections; a field without a number has no row."""
+    test = reduce(lambda a, b: a & b, [F.coalesce(facets[k].cast("string").isin(v), F.lit(False)) for k, v in selected.items()], F.lit(True))
+    values = F.array(*[F.struct(F.lit(k).alias("facet"), c.cast("double").alias("value")) for k, c in numeric.items()])
+    rows = docs.where(test).select(F.explode(values).alias("f")).where("f.value is not null")
+    return rows.groupBy("f.facet").agg(F.min("f.value").alias("least"), F.max("f.value").alias("most"))
+
+
+def value_label(facet: Column, value: Column) -> Column:
+    """What a shopper reads for a stored value."""
+    return F.when(facet == "in_stock", F.when(value == "1", "In Stock").otherwise("Out of Stock")).otherwise(value)
+
+
 def sort_facet_values(counts: DataFrame, config: DataFrame, selected: DataFrame) -> DataFrame:
     """Values of each facet in the order its config asks for, cut to truncate_at but with the selected ones kept.
 
     config: (facet, sort_by, truncate_at, custom: array<string>); selected: (facet, value). sort_by count
-    is products desc, value asc; alpha is by the number a value starts with, then by name; custom is by
-    place in the list, others at the end.
+    is products desc, value asc; alpha is by the number a label starts with, then by label; custom is by
+    place in the list, others at the end as by count.
     """
     chosen = selected.distinct().withColumn("chosen", F.lit(True))
-    rows = counts.join(config, "facet").join(chosen, ["facet", "value"], "left").fillna({"chosen": False})
-    digits = F.regexp_extract("value", r"^[0-9]+(\.[0-9]+)?", 0).try_cast("double")
+    rows = counts.join(config, "facet").join(chosen, ["facet", "value"], "left").fillna({"chosen": False}).withColumn("shown", value_label(F.col("facet"), F.col("value")))
+    digits = F.regexp_extract("shown", r"^[0-9]+(\.[0-9]+)?", 0).try_cast("double")
     custom = F.coalesce(F.nullif(F.array_position("custom", F.col("value")), F.lit(0).cast("long")), F.lit(999).cast("long"))
-    key = F.when(F.col("sort_by") == "alpha", F.coalesce(digits, F.lit(float("inf")))).when(F.col("sort_by") == "custom", custom.cast("double")).otherwise(-F.col("products").cast("double"))
-    rows = rows.withColumn("place", F.row_number().over(W.partitionBy("facet").orderBy(key, "value")))
+    key = F.when(F.col("sort_by") == "alpha", F.coalesce(digits, F.lit(float("inf")))).when(F.col("sort_by") == "custom", custom.cast("double")).otherwise(F.lit(0.0))
+    then = [F.when(F.col("sort_by") == "alpha", F.col("shown")), F.desc("products"), F.asc("value")]
+    rows = rows.withColumn("place", F.row_number().over(W.partitionBy("facet").orderBy(key, *then)))
     return rows.where((F.col("truncate_at") == 0) | (F.col("place") <= F.col("truncate_at")) | F.col("chosen")).select("facet", "value", "products", "place", "chosen")
+
+
+def build_facets(counts: DataFrame, stats: DataFrame, config: DataFrame, selected: DataFrame) -> DataFrame:
+    """What a page shows (R9): (position, facet, label, display, attribute, place, value, value_label, products, chosen, least, most), one row for each value and one, without a value, for each slider.
+
+    config: that of sort_facet_values with label, display, position and attribute (boolean). Values of a
+    site's own facets are sorted and cut as configured, those of custom attributes stay in order of their
+    counts and are not cut. Sliders need statistics. A facet without values has no row.
+    """
+    slider = (F.col("display") == "slider") & ~F.col("attribute")
+    asked = config.where(~slider).withColumns({"sort_by": F.when(F.col("attribute"), "count").otherwise(F.col("sort_by")), "truncate_at": F.when(F.col("attribute"), 0).otherwise(F.col("truncate_at"))})
+    head = config.select("position", "facet", "label", "display", "attribute")
+    values = sort_facet_values(counts, asked.select("facet", "sort_by", "truncate_at", "custom"), selected).withColumn("value_label", value_label(F.col("facet"), F.col("value")))
+    values = head.join(values, "facet").select("position", "facet", "label", "display", "attribute", "place", "value", "value_label", "products", "chosen")
+    return values.unionByName(head.where(slider).join(stats, "facet"), allowMissingColumns=True)

@@ -6,25 +6,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-LABELLED = r"\b([A-Z][A-Z ]{1,19}(?:\([A-Z]{1,3}\))?):\s*([^:]{1,60}?)(?=\s+[A-Z][A-Z ]{1,19}(?:\([A-Z]{1,3}\))?:|[.;\n]|$)"
+#: A label in capitals, which may have a note in brackets, and its colon.
+LABEL = r"\b([A-Z][A-Z0-9_-]{1,19})(?:\s*\([A-Z]{1,6}\))?\s*:"
 
 
-def labelled_pairs(rows: DataFrame, texts: list[str], least: int = 5, share: float = 0.01) -> DataFrame:
-    """(row_ix, key, value): LABEL: value pairs in the texts, of labels that at least max(least, share of the rows) pairs have; for each row and key from the first text that has it."""
-    parts = []
-    for place, column in enumerate(texts):
-        keys, values = F.regexp_extract_all(column, F.lit(LABELLED), F.lit(1)), F.regexp_extract_all(column, F.lit(LABELLED), F.lit(2))
-        parts.append(_at(keys, values, place))
-    found = F.flatten(F.array(*[F.coalesce(p, F.array().cast("array<struct<place:int,key:string,value:string>>")) for p in parts]))
-    pairs = rows.select("row_ix", F.explode(found).alias("p")).select("row_ix", "p.*").where(F.col("value").rlike("[A-Za-z0-9]") & ~F.col("value").contains("__"))
-    n = rows.count()
-    believed = pairs.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= max(least, -(-int(n * share * 1_000_000) // 1_000_000))).select("key")
-    return pairs.join(believed, "key").groupBy("row_ix", "key").agg(F.min_by("value", "place").alias("value"))
+def labelled_pairs(rows: DataFrame, texts: list[str], taken: list[str] | None = None, least: int = 5, share: float = 0.01) -> DataFrame:
+    """(row_ix, key, value, source): LABEL: value pairs in the texts.
+
+    A value goes on to the next label; it has 1 to 60 characters, a letter or digit and no blank to fill in
+    (__). Labels count that at least max(least, share of the rows) pairs have and that are not `taken` by
+    columns. For each row and key the first pair of the first text that has one. A null text has none.
+    """
+    none = F.array().cast("array<struct<at:int,i:int,key:string,value:string>>")
+    pieces = [F.coalesce(_pairs(column, place), none) for place, column in enumerate(texts)]
+    pairs = rows.select("row_ix", F.explode(F.flatten(F.array(*pieces))).alias("p")).select("row_ix", "p.*")
+    pairs = pairs.where(F.length("value").between(1, 60) & F.col("value").rlike("[A-Za-z0-9]") & ~F.col("value").contains("__") & ~F.col("key").isin(taken or []))
+    need = rows.agg(F.greatest(F.lit(least), F.ceil(F.count("*") * F.lit(share))).alias("need"))
+    believed = pairs.groupBy("key").agg(F.count("*").alias("n")).crossJoin(F.broadcast(need)).where("n >= need").select("key")  # need is one row
+    first = F.min(F.struct("at", "i", "value")).alias("f")
+    return pairs.join(believed, "key").groupBy("row_ix", "key").agg(first).select("row_ix", "key", "f.value", F.get(F.array(*map(F.lit, texts)), F.col("f.at")).alias("source"))
 
 
-def _at(keys, values, place: int):
-    zipped = F.arrays_zip(keys.alias("k"), values.alias("v"))
-    return F.transform(zipped, lambda p: F.struct(F.lit(place).alias("place"), F.lower(F.trim(p["k"])).alias("key"), F.trim(p["v"]).alias("value")))
+def _pairs(column: str, place: int):
+    """array<struct<at, i, key, value>> of a text: each label and what stands behind it."""
+    rest = F.split(column, LABEL, -1)
+    value = lambda i: F.trim(F.regexp_replace(F.get(rest, i + 1), r"\s+", " "))
+    return F.transform(F.regexp_extract_all(column, F.lit(LABEL), F.lit(1)), lambda k, i: F.struct(F.lit(place).alias("at"), i.alias("i"), F.lower(k).alias("key"), value(i).alias("value")))
 
 
 def stated_values(rows: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Recommendations for all anchors at once."""
+"""Recommendations for all anchors at once."""
 
 from __future__ import annotations
 
@@ -7,6 +7,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 
+def similar_requests(anchors: DataFrame, extra: list[str], words: int = 6) -> DataFrame:
+    """(site_id, anchor, query_id, terms, category_id): a request for each anchor (C1), of the first words of its title and the values of the columns `extra` (style, material), inside its deepest category. Anchors that ask the same have the same query_id. anchors: (site_id, parent_id, title, category_ids, extra); those without a word or a category ask nothing."""
+    plain = lambda c: F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+"), lambda t: t != "")
+    title = F.slice(F.filter(F.split(F.coalesce("title", F.lit("")), r"\s+"), lambda t: t != ""), 1, words)
+    terms = F.array_distinct(F.concat(plain(F.array_join(title, " ")), *[plain(F.col(c)) for c in extra]))
+    rows = anchors.select("site_id", F.col("parent_id").alias("anchor"), terms.alias("terms"), F.try_element_at("category_ids", F.lit(-1)).alias("category_id"))
+    return rows.where((F.size("terms") > 0) & F.col("category_id").isNotNull()).withColumn("query_id", F.concat_ws("|", "site_id", F.array_join("terms", " "), "category_id"))
+
+
+def similar(requests: DataFrame, cards: DataFrame, limit: int = 8, spare: int = 4) -> DataFrame:
+    """(site_id, anchor, parent_id, rank): what each anchor's request found, without the anchor itself. cards: (query_id, parent_id, card) of the distinct requests, of which limit + spare are looked at, so rows grow with the anchors and not with their pairs."""
+    found = requests.select("site_id", "anchor", "query_id").distinct().join(cards.where(F.col("card") <= limit + spare).select("query_id", "parent_id", "card"), "query_id").where("anchor <> parent_id")
+    rank = F.row_number().over(W.partitionBy("site_id", "anchor").orderBy("card"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= limit).select("site_id", "anchor", "parent_id", "rank")
+
+
 def bought_together(events: DataFrame, as_of: Column, days: int = 90, least: int = 2, limit: int = 8) -> DataFrame:
     """(site_id, anchor, parent_id, sessions, rank): products carted or bought in the same sessions as the anchor, whatever their variants. events: with parent_id. The window holds for the anchor's side only. Each session counts a product once before the join, so pairs grow with a session's different products."""
     acted = events.where(F.col("type").isin("purchase", "add_to_cart") & F.col("parent_id").isNotNull()).groupBy("site_id", "session_id", "parent_id").agg(F.max("occurred_at").alias("last"))

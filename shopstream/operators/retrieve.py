@@ -58,15 +58,15 @@ def expansions(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return own.unionByName(fuzzy).unionByName(prefix).groupBy("term", "token").agg(best).select("term", "token", "b.distance", "b.kind")
 
 
-def query_terms(queries: DataFrame, terms: str = "terms") -> DataFrame:
-    """(query_id, term, n_terms) of queries (query_id, terms)."""
+def query_terms(queries: DataFrame, terms: str = "terms", keep: list[str] | None = None) -> DataFrame:
+    """(query_id, term, n_terms and the columns `keep`) of queries (query_id, terms)."""
     distinct = F.array_distinct(F.col(terms))
-    return queries.select("query_id", F.explode(distinct).alias("term"), F.size(distinct).alias("n_terms"))
+    return queries.select("query_id", F.explode(distinct).alias("term"), F.size(distinct).alias("n_terms"), *(keep or []))
 
 
-def match_terms(queries: DataFrame, index: DataFrame, expanded: DataFrame) -> DataFrame:
-    """(query_id, sku, term, token, field, position, distance, kind): postings that a query's terms reach, of documents in which every term is found."""
-    hits = query_terms(queries).join(expanded, "term").join(index, "token")
+def match_terms(queries: DataFrame, index: DataFrame, expanded: DataFrame, within: list[str] | None = None) -> DataFrame:
+    """(query_id, sku, term, token, field, position, distance, kind): postings that a query's terms reach, of documents in which every term is found. Columns `within`, such as site_id or a category, must be equal in query and posting."""
+    hits = query_terms(queries, keep=within).join(expanded, "term").join(index, ["token", *(within or [])])
     every = hits.groupBy("query_id", "sku").agg(F.count_distinct("term").alias("found"), F.first("n_terms").alias("n_terms")).where("found = n_terms")
     return hits.join(every.select("query_id", "sku"), ["query_id", "sku"], "left_semi")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import catalogue, facets, rank, recommend, retrieve, signals
+from ..operators import catalogue, facets, learn, rank, recommend, retrieve, signals
 from .analytics import CTR, PRODUCT_DAY, product_day
 from .registry import Registry
 from .views import AS_OF, EVENTS_SQL, VARIANTS_SQL, as_of, shopper_events, table, variants
@@ -45,7 +45,8 @@ POSTS_SQL = f"""{DOCS_SQL}, posts AS (SELECT sku, parent_id, field, unnest(toks)
   SELECT sku, parent_id, f.field AS field, list_filter(string_split_regex(lower(f.text), '[^a-z0-9]+'), lambda t: t <> '') AS toks FROM (
     SELECT sku, parent_id, unnest([{{'field': 'title', 'text': title}}, {{'field': 'sku', 'text': sku}}, {{'field': 'brand', 'text': brand}}, {{'field': 'categoryPath', 'text': category_top || ' ' || category_leaf}}, {{'field': 'attributes', 'text': finish}}]) AS f FROM docs)))"""
 GRAMS = "list_distinct(list_transform(range(1, greatest(length({0}), 2)), lambda i: substr({0}, i, 2)))"
-EXPAND_SQL = f"""{POSTS_SQL}, rq AS (SELECT DISTINCT p_name AS query_id, string_split(p_name, ' ') AS terms FROM part UNION SELECT DISTINCT 'typo ' || p_name, [split_part(p_name, ' ', 1), substr(split_part(p_name, ' ', 2), 1, 1) || substr(split_part(p_name, ' ', 2), 3)] FROM part),
+REQUESTS_SQL = """rq AS (SELECT DISTINCT p_name AS query_id, string_split(p_name, ' ') AS terms FROM part UNION SELECT DISTINCT 'typo ' || p_name, [split_part(p_name, ' ', 1), substr(split_part(p_name, ' ', 2), 1, 1) || substr(split_part(p_name, ' ', 2), 3)] FROM part)"""
+EXPAND_SQL = f"""{POSTS_SQL}, {REQUESTS_SQL},
 qt AS (SELECT query_id, unnest(list_distinct(terms)) AS term, len(list_distinct(terms)) AS n_terms FROM rq), terms AS (SELECT DISTINCT term FROM qt), vocab AS (SELECT DISTINCT token FROM posts WHERE length(token) >= 3),
 tb AS (SELECT term, CASE WHEN regexp_matches(term, '[0-9]') THEN 0 WHEN length(term) >= 8 THEN 2 WHEN length(term) >= 4 THEN 1 ELSE 0 END AS budget, {GRAMS.format('term')} AS g FROM terms),
 fuzzy AS (SELECT term, token, CAST(levenshtein(term, token) AS INT) AS distance FROM tb JOIN (SELECT token, {GRAMS.format('token')} AS h FROM vocab) ON len(list_intersect(g, h)) >= greatest(len(g) - 2 * budget, 1)
@@ -143,7 +144,11 @@ def business_score(spark, sf_dir):
 def ranked(spark, sf_dir):
     index, queries, expanded = prepared(spark, sf_dir)
     matches = retrieve.match_terms(queries, index, expanded).persist()  # signals, scores and the window all read it
-    scored = retrieve.retrieval_score(matches).join(scored_docs(spark, sf_dir).select("sku", "parent_id", "business"), "sku")
+    return ranked_matches(matches, queries, scored_docs(spark, sf_dir))
+
+
+def ranked_matches(matches, queries, scored_rows):
+    scored = retrieve.retrieval_score(matches).join(scored_rows.select("sku", "parent_id", "business"), "sku")
     window = retrieve.window_parents(scored)
     return rank.rank_cascade(window.join(rank.text_signals(matches, n_terms(queries)), ["query_id", "sku"]))
 
@@ -204,7 +209,7 @@ def facet_counts(spark, sf_dir):
 
 
 @query(f"""WITH {FACETS_SQL}, cfg AS (SELECT 'brand' AS facet, 'count' AS sort_by, 8 AS n UNION ALL SELECT 'finish', 'custom', 4 UNION ALL SELECT 'category_leaf', 'alpha', 3),
-o AS (SELECT fc.*, n, CAST(ROW_NUMBER() OVER (PARTITION BY facet ORDER BY CASE sort_by WHEN 'count' THEN -products WHEN 'custom' THEN CASE value WHEN 'small' THEN 1 WHEN 'large' THEN 2 ELSE 999 END ELSE 0 END, value) AS INT) AS place,
+o AS (SELECT fc.*, n, CAST(ROW_NUMBER() OVER (PARTITION BY facet ORDER BY CASE sort_by WHEN 'count' THEN -products WHEN 'custom' THEN CASE value WHEN 'small' THEN 1 WHEN 'large' THEN 2 ELSE 999 END ELSE 0 END, CASE WHEN sort_by = 'custom' THEN -products END, value) AS INT) AS place,
   (facet = 'finish' AND value = 'red') AS chosen FROM fc JOIN cfg USING (facet)) SELECT facet, value, products, place, chosen FROM o WHERE place <= n OR chosen""")
 def sort_facet_values(spark, sf_dir):
     config = spark.createDataFrame([("brand", "count", 8, []), ("finish", "custom", 4, ["small", "large"]), ("category_leaf", "alpha", 3, [])], "facet string, sort_by string, truncate_at int, custom array<string>")
@@ -212,6 +217,42 @@ def sort_facet_values(spark, sf_dir):
     return facets.sort_facet_values(facets.facet_counts(docs(spark, sf_dir), facet_columns(), SELECTED), config, chosen)
 
 
+@query(f"""WITH {FACETS_SQL}, cfg AS (SELECT * FROM (VALUES (1, 'brand', 'Brand', 'checkbox', false, 'count', 8), (2, 'finish', 'Finish', 'checkbox', false, 'custom', 4), (3, 'category_leaf', 'Category', 'checkbox', false, 'alpha', 3), (5, 'in_stock', 'Availability', 'checkbox', false, 'alpha', 0), (6, 'category_top', 'Line', 'checkbox', true, 'alpha', 2)) t(position, facet, label, display, attribute, sort_by, n)),
+lab AS (SELECT fc.*, CASE WHEN facet = 'in_stock' THEN CASE value WHEN '1' THEN 'In Stock' ELSE 'Out of Stock' END ELSE value END AS value_label FROM fc),
+o AS (SELECT position, facet, label, display, attribute, n, value, value_label, products, (facet = 'finish' AND value = 'red') AS chosen, CAST(ROW_NUMBER() OVER (PARTITION BY facet ORDER BY
+  CASE WHEN attribute OR sort_by = 'count' THEN 0 WHEN sort_by = 'custom' THEN CASE value WHEN 'small' THEN 1 WHEN 'large' THEN 2 ELSE 999 END ELSE 0 END,
+  CASE WHEN sort_by = 'alpha' AND NOT attribute THEN value_label END, products DESC, value) AS INT) AS place FROM cfg JOIN lab USING (facet))
+SELECT position, facet, label, display, attribute, place, value, value_label, products, chosen, CAST(NULL AS DOUBLE) AS least, CAST(NULL AS DOUBLE) AS most FROM o WHERE attribute OR n = 0 OR place <= n OR chosen
+UNION ALL SELECT 4, 'price', 'Price', 'slider', false, NULL, NULL, NULL, NULL, NULL, MIN(effective_price), MAX(effective_price) FROM f WHERE NOT m1 AND NOT m2""")
+def build_facets(spark, sf_dir):
+    rows = docs(spark, sf_dir)
+    config = [(1, "brand", "Brand", "checkbox", False, "count", 8, []), (2, "finish", "Finish", "checkbox", False, "custom", 4, ["small", "large"]), (3, "category_leaf", "Category", "checkbox", False, "alpha", 3, []),
+              (4, "price", "Price", "slider", False, "count", 0, []), (5, "in_stock", "Availability", "checkbox", False, "alpha", 0, []), (6, "category_top", "Line", "checkbox", True, "alpha", 2, [])]
+    config = spark.createDataFrame(config, "position int, facet string, label string, display string, attribute boolean, sort_by string, truncate_at int, custom array<string>")
+    chosen = spark.createDataFrame([("finish", "red")], "facet string, value string")
+    return facets.build_facets(facets.facet_counts(rows, facet_columns(), SELECTED), facets.facet_stats(rows, {"price": F.col("effective_price")}, facet_columns(), SELECTED), config, chosen)
+
+
+#: Each variant as a product of its own, asked for by its title inside its deepest category.
+SIMILAR_REQUESTS = """sr AS (SELECT 'main|' || array_to_string(list_sort(list_distinct(list_transform(string_split(title, ' '), lambda w: lower(w)))), ' ') || '|' || category_ids[2] AS query_id, parent_id AS anchor, string_split(lower(title), ' ') AS terms, category_ids[2] AS category_id FROM docs),
+rq AS (SELECT DISTINCT query_id, list_sort(terms) AS terms FROM sr)"""
+SIMILAR_SQL = RANKED_SQL.replace(REQUESTS_SQL, SIMILAR_REQUESTS).replace("p_name || '/' || p_type AS parent_id", "'P' || p_partkey AS parent_id").replace(
+    "JOIN posts p USING (token))", "JOIN posts p USING (token) WHERE list_contains((SELECT d.category_ids FROM docs d WHERE d.sku = p.sku), split_part(qt.query_id, '|', 3)))")
+
+
+@query(f"""WITH {SIMILAR_SQL}, {CARDS_SQL} SELECT 'main' AS site_id, anchor, parent_id, CAST(ROW_NUMBER() OVER (PARTITION BY anchor ORDER BY card) AS INT) AS rank FROM (SELECT DISTINCT anchor, query_id FROM sr) JOIN cards USING (query_id)
+WHERE card <= 12 AND anchor <> parent_id QUALIFY rank <= 8""")
+def similar(spark, sf_dir):
+    rows = docs(spark, sf_dir).withColumn("parent_id", F.col("sku"))
+    asked = recommend.similar_requests(rows, ["finish"])
+    queries = asked.select("query_id", "terms", "category_id").distinct()
+    held = rows.select("sku", F.explode("category_ids").alias("category_id")).join(queries.select("category_id").distinct(), "category_id", "left_semi")
+    index = retrieve.postings(rows, fields()).join(held, "sku")
+    matches = retrieve.match_terms(queries, index, retrieve.expansions(terms_of(queries), vocabulary_of(index)), ["category_id"])
+    scored = scored_docs(spark, sf_dir).withColumn("parent_id", F.col("sku"))
+    return recommend.similar(asked, rank.group_by_parent(ranked_matches(matches, queries, scored)))
+
+
 @query(f"WITH {DOCS_SQL} SELECT site_id, MIN(effective_price) AS least, MAX(effective_price) AS most FROM docs GROUP BY 1")
 def price_range(spark, sf_dir):
     return facets.price_range(docs(spark, sf_dir))
@@ -308,3 +349,19 @@ def filter_to_candidates(spark, sf_dir):
     parents = retrieve.window_parents(scored.join(rows.select("sku", "parent_id"), "sku"), window=10).select("query_id", "parent_id", "place").distinct()
     test = F.col("in_stock") & retrieve.range_filter([("price", None, 1199.999)], {"price": F.col("effective_price")})
     return retrieve.filter_to_candidates(rows, parents, scored, test)
+
+
+@query("""SELECT p_partkey AS row_ix, k.key AS key, CASE k.key WHEN 'finish' THEN split_part(p_name, ' ', 1) WHEN 'size' THEN CAST(p_size AS VARCHAR) || ' in' ELSE p_type || '; sold by the piece' END AS value,
+  CASE k.key WHEN 'pack_2' THEN 'details' ELSE 'title' END AS source FROM part CROSS JOIN (SELECT unnest(['finish', 'size', 'pack_2']) AS key) k""")
+def labelled_pairs(spark, sf_dir):
+    part, name = table(spark, sf_dir, "part"), F.split("p_name", " ")
+    rare = F.when(F.col("p_partkey") % 500 == 0, " RARE: once").otherwise("")
+    title = F.concat(F.col("p_name"), F.lit(" FINISH: "), F.get(name, 0), F.lit(" SIZE (IN): "), F.col("p_size").cast("string"), F.lit("  in  BRAND: "), F.col("p_brand"), rare)
+    details = F.concat(F.lit("FINISH: other PACK_2: "), F.col("p_type"), F.lit("; sold by the piece NOTE: __"))
+    return learn.labelled_pairs(part.select(F.col("p_partkey").alias("row_ix"), title.alias("title"), details.alias("details")), ["title", "details"], taken=["brand"])
+
+
+@query(f"WITH {DOCS_SQL} SELECT site_id, COUNT(*) AS deleted FROM docs WHERE inventory = 0 GROUP BY 1")
+def deleted_count(spark, sf_dir):
+    rows = docs(spark, sf_dir)
+    return catalogue.deleted_count(rows, rows.where("inventory = 0").select("site_id", "sku"))
