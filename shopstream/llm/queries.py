@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import held_out
 from .decontaminate import benchmark_matches
+from .hard_negatives import hard_negatives
+from .hilbert_shards import cut_runs, hilbert_places
 from .language_id import fit_language_model, identify
 from .license_scan import scan_licenses
 from .ngram_join import ngram_components
@@ -16,6 +18,7 @@ from .quality_classifier import fit_subword_model, quality_scores
 from .warc import read_archives, write_archives
 from .quality_rules import quality_rules
 from .toxicity import fit_toxicity_model, toxicity_scores
+from .whitening import whitened
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,6 +98,27 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(docs, model, ["doc_id"]).select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives(rows, F.col("id") % 100 == 0)
+
+
+def op12_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text").cast("binary")
+    keep = {"doc_id": F.col("doc_id"), "size": (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long"), "text_crc32": F.coalesce(F.crc32(text), F.lit(0).cast("long"))}
+    placed = cut_runs(hilbert_places(table(spark, sf_dir, "documents"), SHARD_DIMENSIONS, "doc_id", keep), 8)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve_index")
+
+
+#: Metadata columns that readers of documents filter by.
+SHARD_DIMENSIONS = ["lang", "source", "n_chars", "doc_id"]
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(table(spark, sf_dir, "embeddings")).withColumnRenamed("row_id", "vec_id")
+
+
 QUERIES = {
     "op5_pii": op5_pii,
     "op7_quality_rules": op7_quality_rules,
@@ -106,6 +130,9 @@ QUERIES = {
     "op10_quality_classifier": op10_quality_classifier,
     "op6_decontaminate": op6_decontaminate,
     "op1_ngram_join": op1_ngram_join,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_hilbert_shards": op12_hilbert_shards,
+    "op13_whitening": op13_whitening,
 }
 
 OP1_SQL = r"""
@@ -152,7 +179,21 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest, CA
   CASE WHEN page_id <> first THEN first END AS refers_to FROM d
 """
 
+FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+OP11_SQL = f"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND {FINITE}),
+e AS (SELECT vec_id, label, unnest(w) AS x, generate_subscripts(w, 1) AS k FROM v),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(sum(a.x * b.x) AS BIGINT) AS score
+  FROM e a JOIN e b ON a.k = b.k AND a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id GROUP BY 1, 2, 3),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other) AS INT) AS rank, s.other AS negative_id, p.positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id WHERE NOT s.same AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score QUALIFY rank <= 10
+"""
+
 ORACLE_SQL = {
+    "op11_hard_negatives": OP11_SQL,
     "op9_warc": OP9_SQL,
     "op6_decontaminate": OP6_SQL,
     "op1_ngram_join": OP1_SQL,
