@@ -185,24 +185,36 @@ def analyse_queries(log: DataFrame, column: str = "query") -> DataFrame:
     return q.select("query", kind.alias("type"), terms.alias("terms"), F.col("lifted.dimensions").alias("dimensions"), F.when(F.col("is_sku"), F.upper(F.get("tokens", 0))).alias("sku"))
 
 
-def split_compounds(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(word, left, right): words of eight letters or more that are not known but are two known words of three or more; the first such cut."""
-    unknown = words.distinct().where(F.length("word") >= 8).join(vocabulary.select(F.col("token").alias("word")), "word", "left_anti")
-    cuts = unknown.select("word", F.explode(F.sequence(F.lit(3), F.length("word") - 3)).alias("i"))
-    cuts = cuts.select("word", "i", F.expr("substring(word, 1, i)").alias("left"), F.expr("substring(word, i + 1)").alias("right"))
-    known = lambda side: vocabulary.select(F.col("token").alias(side)).distinct()
-    found = cuts.join(known("left"), "left").join(known("right"), "right").groupBy("word").agg(F.min(F.struct("i", "left", "right")).alias("b"))
-    return found.select("word", "b.left", "b.right")
-
-
-def suggest_corrections(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(term, correction, distance): for terms that are not known the nearest known word with their first letter, within the typo budget; then the shortest, then by name."""
-    unknown = terms.distinct().join(vocabulary.select(F.col("token").alias("term")), "term", "left_anti").withColumn("budget", typo_budget(F.col("term"))).where("budget > 0").withColumn("head", F.substring("term", 1, 1))
-    known = vocabulary.distinct().withColumn("head", F.substring("token", 1, 1))
-    near = unknown.join(known, "head").where(F.abs(F.length("term") - F.length("token")) <= F.col("budget"))
+def split_compounds(words: DataFrame, vocabulary: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(word, left, right and the columns `by`): words of eight letters or more that are not known but are two known words of three or more; the first such cut. Columns `by`, such as site_id, must be equal in word and vocabulary."""
+    by = by or []
+    unknown = words.distinct().where(F.length("word") >= 8).join(vocabulary.select(*by, F.col("token").alias("word")), [*by, "word"], "left_anti")
+    cuts = unknown.select(*by, "word", F.explode(F.sequence(F.lit(3), F.length("word") - 3)).alias("i"))
+    cuts = cuts.select(*by, "word", "i", F.expr("substring(word, 1, i)").alias("left"), F.expr("substring(word, i + 1)").alias("right"))
+    known = lambda side: vocabulary.select(*by, F.col("token").alias(side)).distinct()
+    found = cuts.join(known("left"), [*by, "left"]).join(known("right"), [*by, "right"]).groupBy(*by, "word").agg(F.min(F.struct("i", "left", "right")).alias("b"))
+    return found.select(*by, "word", "b.left", "b.right")
+
+
+def suggest_corrections(terms: DataFrame, vocabulary: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(term, correction, distance and the columns `by`): for terms that are not known the nearest known word with their first letter, within the typo budget; then the shortest, then by name.
+
+    Words meet on shared bigrams of their first letter's neighbourhood and beyond, as for fuzzy terms: a
+    word within the budget shares at least max(1, bigrams - 2 * budget) of them.
+    """
+    by = by or []
+    unknown = terms.select(*by, "term").distinct().join(vocabulary.select(*by, F.col("token").alias("term")), [*by, "term"], "left_anti").withColumn("budget", typo_budget(F.col("term"))).where("budget > 0")
+    wanted = unknown.select(*by, "term", "budget", F.explode(grams(F.col("term"))).alias("gram"))
+    known = vocabulary.select(*by, "token").distinct().select(*by, "token", F.explode(grams(F.col("token"))).alias("gram"))
+    near = wanted.join(known, [*by, "gram"]).where(F.abs(F.length("term") - F.length("token")) <= F.col("budget")).select(*by, "term", "budget", "token").distinct()
     near = near.withColumn("distance", edit_distance(F.col("term"), F.col("token"), 2)).where("distance <= budget")
-    rank = F.row_number().over(W.partitionBy("term").orderBy("distance", F.length("token"), "token"))
-    return near.withColumn("n", rank).where("n = 1").select("term", F.col("token").alias("correction"), "distance")
+    rank = F.row_number().over(W.partitionBy(*by, "term").orderBy("distance", F.length("token"), "token"))
+    return near.withColumn("n", rank).where("n = 1").select(*by, "term", F.col("token").alias("correction"), "distance")
+
+
+def grams(word: Column) -> Column:
+    """The first letter joined with each bigram. Words of the same first letter and four letters or more within one edit, or eight within two, share one: an edit spoils two bigrams, and there are three, or seven."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(word) - 1, F.lit(1))), lambda i: F.concat(F.substring(word, 1, 1), F.substring(word, i, F.lit(2)))))
 
 
 def relax_terms(terms: Column) -> Column:

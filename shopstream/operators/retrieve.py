@@ -24,38 +24,44 @@ def bigrams(word: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(word) - 1, F.lit(1))), lambda i: F.substring(word, i, F.lit(2))))
 
 
-def fuzzy_terms(terms: DataFrame, vocabulary: DataFrame, limit: int = 12) -> DataFrame:
-    """(term, token, distance): vocabulary words within the typo budget of each term, at most `limit`, nearest first, then shortest, then by name.
+def fuzzy_terms(terms: DataFrame, vocabulary: DataFrame, limit: int = 12, by: list[str] | None = None) -> DataFrame:
+    """(term, token, distance and the columns `by`): vocabulary words within the typo budget of each term, at most `limit`, nearest first, then shortest, then by name.
 
     Words are blocked by shared bigrams: an edit spoils at most two, so a word within the budget shares at
-    least max(1, bigrams - 2 * budget) of the term's. terms: (term), vocabulary: (token).
+    least max(1, bigrams - 2 * budget) of the term's. terms: (term), vocabulary: (token), both with the
+    columns `by`, such as site_id, which must be equal.
     """
-    wanted = terms.distinct().withColumn("budget", typo_budget(F.col("term"))).where("budget > 0").withColumn("grams", bigrams(F.col("term")))
-    wanted = wanted.select("term", "budget", F.greatest(F.size("grams") - 2 * F.col("budget"), F.lit(1)).alias("least"), F.explode("grams").alias("gram"))
-    known = vocabulary.distinct().select("token", F.explode(bigrams(F.col("token"))).alias("gram"))
-    near = wanted.join(known, "gram").where(F.abs(F.length("term") - F.length("token")) <= F.col("budget"))
-    near = near.groupBy("term", "token", "budget", "least").agg(F.count("*").alias("shared")).where("shared >= least")
+    by = by or []
+    wanted = terms.select(*by, "term").distinct().withColumn("budget", typo_budget(F.col("term"))).where("budget > 0").withColumn("grams", bigrams(F.col("term")))
+    wanted = wanted.select(*by, "term", "budget", F.greatest(F.size("grams") - 2 * F.col("budget"), F.lit(1)).alias("least"), F.explode("grams").alias("gram"))
+    known = vocabulary.select(*by, "token").distinct().select(*by, "token", F.explode(bigrams(F.col("token"))).alias("gram"))
+    near = wanted.join(known, [*by, "gram"]).where(F.abs(F.length("term") - F.length("token")) <= F.col("budget"))
+    near = near.groupBy(*by, "term", "token", "budget", "least").agg(F.count("*").alias("shared")).where("shared >= least")
     near = near.withColumn("distance", edit_distance(F.col("term"), F.col("token"), 2)).where("distance <= budget and distance > 0")
-    rank = F.row_number().over(W.partitionBy("term").orderBy("distance", F.length("token"), "token"))
-    return near.withColumn("n", rank).where(F.col("n") <= limit).select("term", "token", "distance")
-
-
-def prefix_terms(terms: DataFrame, vocabulary: DataFrame, limit: int = 8) -> DataFrame:
-    """(term, token): the first `limit` vocabulary words that go on from a term of three letters or more, joined on the first three."""
-    wanted = terms.distinct().where(F.length("term") >= 3).withColumn("head", F.substring("term", 1, 3))
-    known = vocabulary.distinct().withColumn("head", F.substring("token", 1, 3))
-    found = wanted.join(known, "head").where(F.col("token").startswith(F.col("term")) & (F.col("token") != F.col("term")))
-    rank = F.row_number().over(W.partitionBy("term").orderBy("token"))
-    return found.withColumn("n", rank).where(F.col("n") <= limit).select("term", "token")
-
-
-def expansions(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(term, token, distance, kind): the term itself, fuzzy and prefix words; of a token reached twice the better kind (0 exact, 1 fuzzy, 2 prefix)."""
-    own = terms.distinct().select("term", F.col("term").alias("token"), F.lit(0).alias("distance"), F.lit(0).alias("kind"))
-    fuzzy = fuzzy_terms(terms, vocabulary).select("term", "token", "distance", F.lit(1).alias("kind"))
-    prefix = prefix_terms(terms, vocabulary).select("term", "token", F.lit(0).alias("distance"), F.lit(2).alias("kind"))
+    rank = F.row_number().over(W.partitionBy(*by, "term").orderBy("distance", F.length("token"), "token"))
+    return near.withColumn("n", rank).where(F.col("n") <= limit).select(*by, "term", "token", "distance")
+
+
+def prefix_terms(terms: DataFrame, vocabulary: DataFrame, limit: int | None = 8, by: list[str] | None = None) -> DataFrame:
+    """(term, token and the columns `by`): the first `limit` vocabulary words (None: all) that go on from a term of three letters or more, joined on the first three."""
+    by = by or []
+    wanted = terms.select(*by, "term").distinct().where(F.length("term") >= 3).withColumn("head", F.substring("term", 1, 3))
+    known = vocabulary.select(*by, "token").distinct().withColumn("head", F.substring("token", 1, 3))
+    found = wanted.join(known, [*by, "head"]).where(F.col("token").startswith(F.col("term")) & (F.col("token") != F.col("term")))
+    if limit is None:
+        return found.select(*by, "term", "token")
+    rank = F.row_number().over(W.partitionBy(*by, "term").orderBy("token"))
+    return found.withColumn("n", rank).where(F.col("n") <= limit).select(*by, "term", "token")
+
+
+def expansions(terms: DataFrame, vocabulary: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(term, token, distance, kind and the columns `by`): the term itself, fuzzy and prefix words; of a token reached twice the better kind (0 exact, 1 fuzzy, 2 prefix)."""
+    by = by or []
+    own = terms.select(*by, "term").distinct().select(*by, "term", F.col("term").alias("token"), F.lit(0).alias("distance"), F.lit(0).alias("kind"))
+    fuzzy = fuzzy_terms(terms, vocabulary, by=by).withColumn("kind", F.lit(1))
+    prefix = prefix_terms(terms, vocabulary, by=by).select(*by, "term", "token", F.lit(0).alias("distance"), F.lit(2).alias("kind"))
     best = F.min(F.struct("kind", "distance")).alias("b")
-    return own.unionByName(fuzzy).unionByName(prefix).groupBy("term", "token").agg(best).select("term", "token", "b.distance", "b.kind")
+    return own.unionByName(fuzzy).unionByName(prefix).groupBy(*by, "term", "token").agg(best).select(*by, "term", "token", "b.distance", "b.kind")
 
 
 def query_terms(queries: DataFrame, terms: str = "terms", keep: list[str] | None = None) -> DataFrame:

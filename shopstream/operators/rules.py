@@ -56,8 +56,8 @@ def match_query_rules(queries: DataFrame, rules: DataFrame) -> DataFrame:
     return matched(q, r, hit).withColumn("n", rank).where("n = 1").select("query", "rule_id")
 
 
-def expand_synonyms(queries: DataFrame, rules: DataFrame, longest: int = 3) -> DataFrame:
-    """(query_id, terms, rule_ids): terms with those of the alternatives appended where they are new. queries: (query_id, terms); rules: (rule_id, trigger, alternatives: array<string>), a row for each trigger.
+def expand_synonyms(queries: DataFrame, rules: DataFrame, longest: int = 3, by: list[str] | None = None) -> DataFrame:
+    """(query_id, terms, rule_ids): terms with those of the alternatives appended where they are new. queries: (query_id, terms); rules: (rule_id, trigger, alternatives: array<string>), a row for each trigger. Columns `by`, such as site_id, must be equal in query and rule.
 
     Phrases of up to `longest` terms are looked up in the singular; from left to right the longest at each
     place is taken and its terms are used up.
@@ -65,9 +65,10 @@ def expand_synonyms(queries: DataFrame, rules: DataFrame, longest: int = 3) -> D
     folded = F.transform("terms", singularise)
     n = F.size("terms")
     grams = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda k: F.struct(i.alias("at"), k.alias("k"), F.array_join(F.slice(folded, i, k), " ").alias("phrase")))))
-    spans = queries.where(n > 0).select("query_id", F.explode(F.filter(grams, lambda g: g["at"] + g["k"] - 1 <= n)).alias("g")).select("query_id", "g.at", "g.k", "g.phrase")
-    keyed = rules.select("rule_id", F.array_join(F.transform(F.split(normalise(F.col("trigger")), " "), singularise), " ").alias("phrase"), "alternatives")
-    found = spans.join(keyed, "phrase").groupBy("query_id", "at").agg(F.max_by(F.struct("k", "rule_id", "alternatives"), F.struct("k", -F.col("rule_id"))).alias("best"))
+    by = by or []
+    spans = queries.where(n > 0).select("query_id", *by, F.explode(F.filter(grams, lambda g: g["at"] + g["k"] - 1 <= n)).alias("g")).select("query_id", *by, "g.at", "g.k", "g.phrase")
+    keyed = rules.select(*by, "rule_id", F.array_join(F.transform(F.split(normalise(F.col("trigger")), " "), singularise), " ").alias("phrase"), "alternatives")
+    found = spans.join(keyed, [*by, "phrase"]).groupBy("query_id", "at").agg(F.max_by(F.struct("k", "rule_id", "alternatives"), F.struct("k", -F.col("rule_id"))).alias("best"))
     found = found.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("at", "best"))).alias("hits"))  # a query's places
     none = F.array().cast("array<struct<rule_id:int,alternatives:array<string>>>")
     start = F.struct(F.lit(1).alias("next"), none.alias("taken"))
@@ -124,8 +125,9 @@ def personalise(hits: DataFrame, words: Column) -> DataFrame:
     return hits.withColumn("score", score).withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "card")))
 
 
-def absent_pins(pins: DataFrame, hits: DataFrame, docs: DataFrame, ordinal: str = "ordinal") -> DataFrame:
-    """(query_id, parent_id, sku): pinned products that a query did not find, each by its first document (J15). pins and hits: (query_id, parent_id); docs: (parent_id, sku and the ordinal). Pins of products without documents are left out."""
-    absent = pins.select("query_id", "parent_id").distinct().join(hits.select("query_id", "parent_id"), ["query_id", "parent_id"], "left_anti")
-    first = docs.join(absent.select("parent_id"), "parent_id", "left_semi").groupBy("parent_id").agg(F.min_by("sku", ordinal).alias("sku"))
-    return absent.join(first, "parent_id").select("query_id", "parent_id", "sku")
+def absent_pins(pins: DataFrame, hits: DataFrame, docs: DataFrame, ordinal: str = "ordinal", by: list[str] | None = None) -> DataFrame:
+    """(query_id, parent_id, sku): pinned products that a query did not find, each by its first document (J15). pins and hits: (query_id, parent_id); docs: (parent_id, sku and the ordinal). Pins of products without documents are left out. Columns `by`, such as site_id, must be equal in pin and document."""
+    by = by or []
+    absent = pins.select("query_id", *by, "parent_id").distinct().join(hits.select("query_id", "parent_id"), ["query_id", "parent_id"], "left_anti")
+    first = docs.join(absent.select(*by, "parent_id"), [*by, "parent_id"], "left_semi").groupBy(*by, "parent_id").agg(F.min_by("sku", ordinal).alias("sku"))
+    return absent.join(first, [*by, "parent_id"]).select("query_id", "parent_id", "sku")
