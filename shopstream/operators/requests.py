@@ -146,6 +146,9 @@ def starting_lists(plans: DataFrame, sizes: DataFrame, facets: bool) -> DataFram
     return keys.join(counted.where(chosen).select("query_id", "i"), ["query_id", "i"]).select("query_id", "site_id", "word", "key")
 
 
+SCORE = ["retrieval", "typos", "words_matched", "best_field_weight", "proximity", "exactness"]
+
+
 def text_score(surfaces: Column, texts: Column, words: Column) -> Column:
     """(retrieval, typos, words_matched, best_field_weight, proximity, exactness) of a document for the terms of a plan, from the document's own words.
 
@@ -197,7 +200,9 @@ def found_documents(plans: DataFrame, index: DataFrame, sizes: DataFrame, facets
     sized = F.forall("dimensions", lambda d: F.when(d["field"] == "any_dimension_in", F.exists("any_length", lambda v: near(v, d))).otherwise(near(F.try_element_at(F.col("lengths"), d["field"]), d)))
     parted = F.col("part").isNull() | F.upper("sku").startswith(F.col("part")) | F.coalesce(F.upper("mpn").startswith(F.col("part")), F.lit(False))
     rows = rows.where(inside & sized & parted).withColumn("missed", F.get("misses", 0)["name"])
-    rows = rows.withColumn("score", F.when(F.col("missed").isNull(), text_score(F.col("surfaces"), F.col("texts"), F.col("words"))))
+    no_score = F.struct(*[F.lit(0).alias(c) for c in SCORE])
+    score = F.when(F.size("surfaces") > 0, text_score(F.col("surfaces"), F.col("texts"), F.col("words"))).otherwise(no_score)
+    rows = rows.withColumn("score", F.when(F.col("missed").isNull(), score))
     value = F.coalesce(sort_value(F.col("sort"), F.col("score.retrieval"), F.size("surfaces") > 0), F.lit(float("-inf")))
     return rows.select("query_id", "site_id", "sku", "parent_id", "missed", F.when(F.col("missed").isNull(), value).alias("value"), "score", F.col("effective_price").alias("price"), "business", F.col("facets") if facets else F.lit(None).alias("facets"))
 
@@ -372,30 +377,49 @@ def attempts(empty: DataFrame, corrections: DataFrame, directory: DataFrame) ->
     return every.unionByName(whole.drop("n_terms")).unionByName(fewer.drop("n_terms")).unionByName(dropped.drop("n_terms"))
 
 
+def same_plan() -> Column:
+    """One text for all plans that ask the same."""
+    ordered = lambda c: F.sort_array(F.transform(F.map_entries(c), lambda e: F.struct(e["key"].alias("k"), F.sort_array(e["value"]).alias("v")))) if c in ("filters", "labels") else F.col(c)
+    return F.sha2(F.to_json(F.struct(*[F.coalesce(F.to_json(F.array(ordered(c))), F.lit("")).alias(c) for c in PLAN])), 256)
+
+
+def distinct_plans(plans: DataFrame) -> DataFrame:
+    """One plan for each plan_id, with it as query_id: what many requests ask is looked up once."""
+    rows = plans.groupBy("plan_id").agg(*[F.first(F.struct(c)).alias(c) for c in PLAN])
+    return rows.select(F.col("plan_id").alias("query_id"), *[F.col(f"{c}.{c}").alias(c) for c in PLAN])
+
+
+#: What a plan's documents depend on.
+PLAN = ["site_id", "terms", "filters", "labels", "ranges", "category_id", "collection", "dimensions", "sku", "sort"]
+
+
 def first_success(tries: DataFrame, index: DataFrame, sizes: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Of each request's attempts the first that finds a document, as a plan with surfaces and strategy. All attempts are looked up in one pass over their shortest lists; equal ones of different requests once."""
-    what = ["site_id", "terms", "filters", "labels", "ranges", "category_id", "collection", "dimensions", "sku"]
-    same = F.sha2(F.to_json(F.struct(*[F.sort_array(F.map_entries(c)) if c in ("filters", "labels") else F.col(c) for c in what])), 256)
-    tries = stored(tries.withColumn("attempt_id", same), "attempts")
-    probes = tries.groupBy("attempt_id").agg(*[F.first(F.struct(c)).alias(c) for c in what]).select(F.col("attempt_id").alias("query_id"), *[F.col(f"{c}.{c}").alias(c) for c in what], F.lit("relevance").alias("sort"))
-    probes = stored(with_surfaces(stored(probes, "probes"), vocabulary), "probes")
-    hits = found_documents(probes, index, sizes, facets=False).select(F.col("query_id").alias("attempt_id")).distinct()
-    first = tries.join(hits, "attempt_id", "left_semi").withColumn("n", F.row_number().over(W.partitionBy("query_id").orderBy("attempt"))).where("n = 1")
-    return with_surfaces(stored(first.drop("n", "attempt_id", "attempt"), "first_success"), vocabulary)
-
-
-def search(plans: DataFrame, index: DataFrame, vocabulary: DataFrame, corrections: DataFrame | None = None, directory: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(plans, found, parents) of all requests: plans with the `strategy` that rescued them (null: none was needed), found and parents as above. With corrections and directory, requests that find nothing are rescued. Plans and found documents are stored, since pages, totals and facets read them."""
+    """Of each request's attempts the first that finds a document. All attempts are looked up in one pass over their shortest lists, equal ones of different requests once."""
+    probes = stored(with_surfaces(stored(distinct_plans(tries), "probes"), vocabulary), "probes")
+    hits = found_documents(probes, index, sizes, facets=False).select(F.col("query_id").alias("plan_id")).distinct()
+    return tries.join(hits, "plan_id", "left_semi").withColumn("n", F.row_number().over(W.partitionBy("query_id").orderBy("attempt"))).where("n = 1").drop("n")
+
+
+def search(plans: DataFrame, index: DataFrame, vocabulary: DataFrame, corrections: DataFrame | None = None, directory: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(answers, plans, found, parents) of all requests. answers: (query_id, plan_id, strategy), the plan that answers each request, with the strategy that rescued it (null: none was needed); plans, found and parents have the plan's identifier as query_id.
+
+    Requests that ask the same share a plan. With corrections and directory, requests that find nothing
+    are rescued. Plans and found documents are stored, since pages, totals and facets read them.
+    """
     sizes = stored(list_sizes(index), "list_sizes")
-    plans = stored(with_surfaces(plans, vocabulary), "plans")
-    found = stored(found_documents(plans, index, sizes), "found")
+    asked = stored(plans.withColumn("plan_id", same_plan()), "asked")
+    first = stored(with_surfaces(distinct_plans(asked), vocabulary), "plans")
+    found = stored(found_documents(first, index, sizes), "found")
+    answers = asked.select("query_id", "plan_id", F.lit(None).cast("string").alias("strategy"))
     if corrections is None:
-        return plans.withColumn("strategy", F.lit(None).cast("string")), found, found_parents(found)
-    full = found.where("missed is null").select("query_id").distinct()
-    tries = attempts(plans.join(full, "query_id", "left_anti").where("type <> 'empty'"), corrections, directory)
+        return answers, first, found, found_parents(found)
+    full = found.where("missed is null").select(F.col("query_id").alias("plan_id")).distinct()
+    empty = asked.join(full, "plan_id", "left_anti").where("type <> 'empty'").drop("plan_id")
+    tries = stored(attempts(empty, corrections, directory).withColumn("plan_id", same_plan()), "attempts")
     rescued = stored(first_success(tries, index, sizes, vocabulary), "rescued")
-    again = stored(found_documents(rescued, index, sizes), "found_again")
-    plans = plans.withColumn("strategy", F.lit(None).cast("string")).join(rescued.select("query_id"), "query_id", "left_anti").unionByName(rescued)
-    found = found.join(rescued.select("query_id"), "query_id", "left_anti").unionByName(again)
-    return plans, found, found_parents(found)
-
+    known = first.select(F.col("query_id").alias("plan_id"))
+    new = stored(with_surfaces(stored(distinct_plans(rescued.join(known, "plan_id", "left_anti")), "new_plans"), vocabulary), "new_plans")
+    again = stored(found_documents(new, index, sizes), "found_again")
+    answers = answers.join(rescued.select("query_id"), "query_id", "left_anti").unionByName(rescued.select("query_id", "plan_id", "strategy"))
+    found = found.unionByName(again)
+    return answers, first.unionByName(new), found, found_parents(found)

@@ -101,7 +101,12 @@ def searched(spark, sf_dir):
     plans = stored(plans, "read_plans")
     unknown = plans.where("sku is null").select("site_id", F.explode("terms").alias("term")).distinct()
     corrections = analyse.suggest_corrections(unknown, vocabulary, by=["site_id"])
-    return docs, *requests.search(plans, index, vocabulary, corrections, categories.select("site_id", "category_id", "path"))
+    return docs, plans, *requests.search(plans, index, vocabulary, corrections, categories.select("site_id", "category_id", "path"))
+
+
+def for_requests(answers, rows):
+    """Rows of plans as rows of the requests that they answer."""
+    return answers.select("query_id", "plan_id").join(rows.withColumnRenamed("query_id", "plan_id"), "plan_id").drop("plan_id")
 
 
 DOCS_SQL = f"""{EVENTS_SQL}, {VARIANTS_SQL}, {PRODUCT_DAY}, {CTR}, ci AS (SELECT * FROM c WHERE impressions > 0), cm AS (SELECT site_id, SUM(clicks) / CAST(SUM(impressions) AS DOUBLE) AS mean FROM ci GROUP BY 1),
@@ -260,14 +265,17 @@ shift AS (SELECT query_id, COUNT(*) AS after FROM fin GROUP BY 1), ranked_ AS (S
 FROM fin JOIN rq2 USING (query_id) JOIN tot USING (query_id) JOIN shift USING (query_id) JOIN ranked_ USING (query_id) WHERE card <= 24""")
 def search_requests(spark, sf_dir):
     """R5 over the whole request table: first pages after rescue and query rules."""
-    docs, plans, found, parents = searched(spark, sf_dir)
-    plans = stored(plans, "answered")
-    before = stored(requests.ranked_cards(found, parents, plans), "cards")
-    cards = requests.merchandised(before, rule_actions(spark, plans), docs.select("site_id", "sku", "parent_id", "ordinal"))
-    size = lambda rows, name: rows.groupBy("query_id").agg(F.count("*").alias(name))
-    total = requests.totals(parents).join(size(before, "before"), "query_id").join(size(cards, "after"), "query_id")
-    total = total.select("query_id", (F.col("products") + F.col("after") - F.col("before")).alias("products"))
-    page = cards.where(F.col("card") <= PER_PAGE).join(plans.select("query_id", "strategy"), "query_id").join(total, "query_id")
+    docs, asked, answers, plans, found, parents = searched(spark, sf_dir)
+    cards = stored(requests.ranked_cards(found, parents, plans), "cards")
+    actions = stored(rule_actions(spark, asked), "actions")
+    ruled = actions.select("query_id").distinct()
+    before = stored(for_requests(answers.join(ruled, "query_id", "left_semi"), cards), "ruled_cards")
+    after = stored(requests.merchandised(before, actions, docs.select("site_id", "sku", "parent_id", "ordinal")), "merchandised")
+    others = for_requests(answers.join(ruled, "query_id", "left_anti"), cards.where(F.col("card") <= PER_PAGE)).withColumn("pinned", F.lit(False))
+    more = after.groupBy("query_id").agg(F.count("*").alias("n")).unionByName(before.groupBy("query_id").agg((-F.count("*")).alias("n"))).groupBy("query_id").agg(F.sum("n").alias("more"))
+    products = F.col("products") + F.coalesce("more", F.lit(0))
+    total = for_requests(answers, requests.totals(parents)).join(more, "query_id", "left").select("query_id", products.alias("products"))
+    page = after.where(F.col("card") <= PER_PAGE).unionByName(others).join(answers.select("query_id", "strategy"), "query_id").join(total, "query_id")
     return page.select("query_id", "card", "parent_id", "sku", F.array_join("siblings", "|").alias("siblings"), F.col("matching").cast("bigint").alias("matching"), "pinned", "strategy", "products", requests.page_numbers(F.col("products"), PER_PAGE).alias("pages"))
 
 
@@ -278,8 +286,8 @@ fc AS (SELECT query_id, f.facet AS facet, f.value AS value, COUNT(DISTINCT paren
 @query(f"WITH {SEARCH_SQL}, {FACETS_SQL} SELECT * FROM fc")
 def request_facets(spark, sf_dir):
     """A16 and A17 for every request of the table, each with selections of its own."""
-    *_, parents = searched(spark, sf_dir)
-    return requests.request_facets(parents)
+    _, _, answers, _, _, parents = searched(spark, sf_dir)
+    return for_requests(answers, requests.request_facets(parents))
 
 
 CONFIG = [("brand", "Brand", "checkbox", 1, "count", 8, []), ("finish", "Finish", "checkbox", 2, "alpha", 3, []), ("color", "Colour", "swatch", 3, "custom", 0, ["Primed White", "Hunter Green"]), ("price", "Price", "slider", 4, "count", 0, []), ("in_stock", "Availability", "checkbox", 5, "count", 0, []), ("label:use", "Use", "checkbox", 6, "alpha", 1, [])]
@@ -292,9 +300,9 @@ SELECT query_id, position, facet, label, display, place, value, value_label, pro
 UNION ALL SELECT query_id, 4, 'price', 'Price', 'slider', NULL, NULL, NULL, NULL, NULL, least, most FROM tot""")
 def facet_panels(spark, sf_dir):
     """R9 for every request: sorted, cut and labelled as each site configures it."""
-    _, plans, _, parents = searched(spark, sf_dir)
+    _, _, answers, plans, _, parents = searched(spark, sf_dir)
     config = spark.createDataFrame([(s, *c) for s in ("main", "trade") for c in CONFIG], "site_id string, facet string, label string, display string, position int, sort_by string, truncate_at int, custom array<string>")
-    return requests.facet_panels(requests.request_facets(parents), requests.totals(parents), plans, config)
+    return for_requests(answers, requests.facet_panels(requests.request_facets(parents), requests.totals(parents), plans, config))
 
 
 @query(f"""WITH {READ_SQL}, {EXPAND_SQL}, {match_sql("p", "rq")}, dl AS (SELECT site_id, sku, SUM(len(toks)) AS length FROM fw GROUP BY 1, 2), sn AS (SELECT site_id, COUNT(*) AS docs, AVG(length) AS mean FROM dl GROUP BY 1),
@@ -304,6 +312,6 @@ SELECT p.query_id, p.sku, ROUND(SUM(impact), 6) AS bm25 FROM p JOIN pt t ON t.qu
 def bm25_scores(spark, sf_dir):
     """R2's other form: BM25 of what the requests' terms find, from impacts stored with the postings."""
     _, index, vocabulary, *_, plans = shop(spark, sf_dir)
-    plans, found, _ = requests.search(plans, index, vocabulary)
+    answers, plans, found, _ = requests.search(plans, index, vocabulary)
     kept = stored(requests.impacts(index), "impacts")
-    return requests.bm25_scores(found, plans, kept).withColumn("bm25", F.round("bm25", 6))
+    return for_requests(answers, requests.bm25_scores(found, plans, kept).withColumn("bm25", F.round("bm25", 6)))
