@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -47,11 +47,56 @@ def deleted_count(docs: DataFrame, skus: DataFrame) -> DataFrame:
     return docs.join(skus, ["site_id", "sku"], "left_semi").groupBy("site_id").agg(F.count("*").alias("deleted"))
 
 
-def publish_snapshot(docs: DataFrame, folder: str, version: str, view: str) -> None:
-    """Writes a full build beside the current one and then points the view to it."""
-    path = f"{folder}/version={version}"
-    docs.write.mode("errorifexists").parquet(path)
-    docs.sparkSession.read.parquet(path).createOrReplaceTempView(view)
+POINTER = "CURRENT"
+
+
+def _files(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def current_version(spark: SparkSession, folder: str) -> str | None:
+    """The version that readers see; None before the first is published."""
+    fs, path = _files(spark, f"{folder}/{POINTER}")
+    return spark.read.text(f"{folder}/{POINTER}").first()[0] if fs.exists(path) else None
+
+
+def read_snapshot(spark: SparkSession, folder: str) -> DataFrame:
+    """The current version's documents, as they were when this was called: a version published later does not change them."""
+    version = current_version(spark, folder)
+    if version is None:
+        raise FileNotFoundError(f"no snapshot has been published in {folder}")
+    return spark.read.parquet(f"{folder}/version={version}")
+
+
+def publish_snapshot(docs: DataFrame, folder: str, version: str, view: str | None = None, keep: int = 1) -> None:
+    """Writes a full build into a folder of its own, then makes it the current one.
+
+    The pointer is a small file that is written beside and renamed over the old one, the only step that
+    readers can see: they have the old version until then and the new one after. A build that dies before
+    leaves the old version current, and its folder goes with the next publication. Versions beyond the
+    `keep` before the new one are dropped then, so readers that began before can end. A version can't be
+    published twice. One job at a time may publish into a folder.
+    """
+    spark = docs.sparkSession
+    before = current_version(spark, folder)
+    docs.write.mode("errorifexists").parquet(f"{folder}/version={version}")
+    fs, base = _files(spark, folder)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    made, target = hadoop.Path(f"{folder}/.{POINTER}-{version}"), hadoop.Path(f"{folder}/{POINTER}")
+    out = fs.create(made, True)
+    out.write(bytearray(version, "utf-8"))
+    out.close()
+    over = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    over[0] = hadoop.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(target.toUri() if target.toUri().getScheme() else fs.getUri(), spark._jsc.hadoopConfiguration()).rename(made, target, over)
+    found = [(s.getModificationTime(), s.getPath()) for s in fs.listStatus(base) if s.getPath().getName().startswith("version=")]
+    stay = {f"version={version}"} | {p.getName() for _, p in sorted((f for f in found if f[1].getName() != f"version={version}" and fs.exists(hadoop.Path(f[1], "_SUCCESS"))), key=lambda f: (f[1].getName() != f"version={before}", -f[0]))[:keep]}
+    for _, path in found:
+        if path.getName() not in stay:
+            fs.delete(path, True)
+    if view:
+        read_snapshot(spark, folder).createOrReplaceTempView(view)
 
 
 def get_by_parent_ids(docs: DataFrame, wanted: DataFrame, ordinal: str = "ordinal") -> DataFrame:

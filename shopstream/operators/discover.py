@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.measure import quantise
-from ..functions.text import edit_distance, name_keys, typo_budget
+from ..functions.text import edit_distance, name_keys, normalise, typo_budget
 
 #: Precedence of entity fields, and how many of each a query may have.
 PRECEDENCE = {"brand": 0, "category": 1, "attribute": 2}
@@ -76,6 +76,62 @@ def autocomplete(prefixes: DataFrame, popular: DataFrame, limit: int = 6, gram:
     return found.withColumn("place", place).where(F.col("place") <= limit).select("prefix", "query", "place")
 
 
+def infixes(text: Column) -> Column:
+    """All different pieces of one, two and three letters of a text."""
+    pieces = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (k - 1), F.lit(1))), lambda i: F.substring(text, i, F.lit(k)))
+    return F.array_distinct(F.filter(F.flatten(F.array(pieces(1), pieces(2), pieces(3))), lambda g: g != ""))
+
+
+def containing(prefixes: DataFrame, texts: DataFrame, n: int, order: list[Column]) -> DataFrame:
+    """(site_id, prefix, place and the columns of texts): for each prefix the first n texts of its site that contain it, by `order`, columns of both. prefixes: (site_id, prefix), not empty; texts: (site_id, text, ...).
+
+    Texts are indexed by their pieces of up to three letters. A prefix of three letters or less is such a
+    piece: of each piece only the first n texts are kept, once, however many shoppers ask. A longer prefix
+    meets the texts that have its first three letters and is then looked for in them.
+    """
+    own = [c for c in texts.columns if c != "site_id"]
+    w = W.partitionBy("site_id", "prefix").orderBy(*order)
+    pieces = texts.select("*", F.explode(infixes(F.col("text"))).alias("piece"))
+    wanted = prefixes.distinct()
+    short = pieces.withColumnRenamed("piece", "prefix").withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
+    short = wanted.where(F.length("prefix") <= 3).join(short, ["site_id", "prefix"])
+    long = wanted.where(F.length("prefix") > 3).withColumn("piece", F.substring("prefix", 1, 3)).join(pieces, ["site_id", "piece"]).where(F.col("text").contains(F.col("prefix")))
+    long = long.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
+    return short.select("site_id", "prefix", "place", *own).unionByName(long.select("site_id", "prefix", "place", *own))
+
+
+def complete(prefixes: DataFrame, popular: DataFrame, categories: DataFrame, brands: DataFrame, products: DataFrame | None = None, redirects: DataFrame | None = None) -> DataFrame:
+    """(site_id, prefix, source, place, value, detail): all that is shown for what a shopper has typed so far.
+
+    query: the first 6 popular queries that contain it and are not it, those that begin with it first, then
+    by searches. category: the 4 with most products whose path contains it. brand: the first 3, by products.
+    product: the search's own cards, if given. redirect: where a rule sends it. An empty box has 6 trending
+    queries (source trending) and the first 6 nested categories. prefixes: (site_id, prefix), compared
+    normalised; null is empty. popular: (site_id, query, searches); categories: (site_id, category_id, path:
+    array<string>, products); brands: (site_id, brand, products); products: (site_id, prefix, place, sku,
+    title); redirects: (site_id, prefix, target). Prefixes and results are in lower case.
+    """
+    asked = prefixes.select("site_id", normalise(F.coalesce("prefix", F.lit(""))).alias("prefix")).distinct()
+    typed = asked.where("prefix <> ''")
+    begins = F.when(F.col("text").startswith(F.col("prefix")), 0).otherwise(1)
+    # One more than is shown: the prefix itself may be among them.
+    queries = containing(typed, popular.select("site_id", F.col("query").alias("text"), "searches"), 7, [begins, F.desc("searches"), F.asc("text")])
+    queries = queries.where("text <> prefix").withColumn("place", F.row_number().over(W.partitionBy("site_id", "prefix").orderBy("place"))).where("place <= 6")
+    shelf = categories.select("site_id", F.lower(F.array_join("path", " ")).alias("text"), "category_id", F.array_join("path", " / ").alias("label"), "products")
+    shelves = containing(typed, shelf, 4, [F.desc("products"), F.asc("category_id")])
+    makes = containing(typed, brands.select("site_id", F.lower("brand").alias("text"), "brand", "products"), 3, [F.desc("products"), F.asc("brand")])
+    row = lambda rows, source, value, detail: rows.select("site_id", "prefix", F.lit(source).alias("source"), "place", value.cast("string").alias("value"), detail.cast("string").alias("detail"))
+    out = row(queries, "query", F.col("text"), F.col("searches")).unionByName(row(shelves, "category", F.col("category_id"), F.col("label"))).unionByName(row(makes, "brand", F.col("brand"), F.col("products")))
+    if products is not None:
+        out = out.unionByName(row(products, "product", F.col("sku"), F.col("title")))
+    if redirects is not None:
+        out = out.unionByName(row(redirects.withColumn("place", F.lit(1)), "redirect", F.col("target"), F.lit(None)))
+    first = lambda rows, *order: rows.withColumn("place", F.row_number().over(W.partitionBy("site_id").orderBy(*order))).where("place <= 6")
+    trending = row(asked.where("prefix = ''").join(first(popular, F.desc("searches"), F.asc("query")), "site_id"), "trending", F.col("query"), F.col("searches"))
+    nested = row(asked.where("prefix = ''").join(first(categories.where("category_id like '%/%'"), F.asc("category_id")), "site_id"), "category", F.col("category_id"), F.array_join("path", " / "))
+    return out.unionByName(trending).unionByName(nested)
+
+
 def rescue(empty: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(query_id, strategy, terms) for queries that find nothing. empty: (query_id, terms); vocabulary: (token).
 

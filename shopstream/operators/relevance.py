@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -29,6 +31,64 @@ def judge_hits(cases: DataFrame, hits: DataFrame, totals: DataFrame, docs: DataF
     return rows.select("case_id", F.round("precision", 6).alias("precision"), F.round(F.least(F.lit(1.0), t / e), 6).alias("coverage"), F.round(F.least(F.lit(1.0), e / F.greatest(t, e)), 6).alias("focus"), (F.col("precision") >= at_least).alias("passed"))
 
 
+#: A judgment of a document; all that is not null must hold, of any_of one.
+SIMPLE = "category string, brand string, in_stock boolean, title string, attrs map<string,array<string>>"
+JUDGMENT = f"struct<{', '.join(f.replace(' ', ':', 1) for f in SIMPLE.split(', '))}, any_of:array<struct<{', '.join(f.replace(' ', ':', 1) for f in SIMPLE.split(', '))}>>>".replace(", ", ",")
+
+
+def fulfils(judgment: Column, doc: dict[str, Column]) -> Column:
+    """Whether a document is what a judgment asks for (true for a null judgment). doc: category_path, brand, in_stock, title (with the variant's), attrs (map<string, string>)."""
+
+    def simple(j: Column) -> Column:
+        path = F.exists(doc["category_path"], lambda c: F.lower(c).contains(F.lower(j["category"])))
+        attrs = F.forall(F.map_entries(j["attrs"]), lambda e: F.coalesce(F.array_contains(F.transform(e["value"], lambda v: F.lower(v)), F.lower(F.try_element_at(doc["attrs"], e["key"]))), F.lit(False)))
+        tests = [(j["category"], path), (j["brand"], F.lower(doc["brand"]) == F.lower(j["brand"])), (j["in_stock"], doc["in_stock"] == j["in_stock"]), (j["title"], F.regexp_like(doc["title"], F.concat(F.lit("(?i)"), j["title"]))), (j["attrs"], attrs)]
+        return reduce(lambda a, b: a & b, [asked.isNull() | F.coalesce(test, F.lit(False)) for asked, test in tests])
+
+    some = F.coalesce(F.size(judgment["any_of"]), F.lit(0)) > 0
+    return judgment.isNull() | (simple(judgment) & (~some | F.exists(judgment["any_of"], simple)))
+
+
+def judge_cases(cases: DataFrame, hits: DataFrame, answers: DataFrame, docs: DataFrame) -> DataFrame:
+    """(case_id, precision, coverage, focus, expected, matched, judged, total, passed, failures) of all cases in one pass.
+
+    cases: (case_id, site_id, k, expect, at_least: struct<n, of>, forbid, partial, min_results, understands:
+    array<string>, rescued), judgments as JUDGMENT, nulls for what a case does not ask. hits: (case_id,
+    card, sku); answers: (case_id, total, understood: array<string>, strategy); docs: (site_id, sku,
+    parent_id, category_path, brand, in_stock, title, attrs).
+
+    A case passes if nothing is in failures: corpus (a hit's document is not there), expect, at_least,
+    forbid, min_results, understands, rescued, coverage. Precision is over the first k hits (10), 0 without
+    hits; coverage and focus compare the products found with those of the whole site that are expected,
+    and are null for partial cases and where none are. Cases without an answer count as found nothing.
+    """
+    doc = {c: F.col(f"doc.{c}") for c in ("category_path", "brand", "in_stock", "title", "attrs")}
+    packed = docs.select("site_id", "sku", "parent_id", F.struct(*[F.col(c) for c in doc]).alias("doc"))
+    asked = cases.withColumn("k", F.coalesce("k", F.lit(10)))
+    seen = hits.join(asked, "case_id").where(F.col("card") <= F.col("k")).join(packed, ["site_id", "sku"], "left")
+    there = F.col("doc").isNotNull()
+    seen = seen.groupBy("case_id").agg(
+        F.count("*").alias("shown"), F.count_if(there).alias("judged"), F.count_if(there & fulfils(F.col("expect"), doc)).alias("matched"), F.count_if(there & fulfils(F.col("at_least.of"), doc)).alias("enough"),
+        F.count_if(there & F.col("forbid").isNotNull() & fulfils(F.col("forbid"), doc)).alias("bad"),
+    )
+    whole = asked.where(F.col("expect").isNotNull() & ~F.coalesce("partial", F.lit(False))).select("case_id", "site_id", "expect")
+    # The suite is a stated set of cases; each is held against all documents of its site.
+    expected = packed.join(whole, "site_id").where(fulfils(F.col("expect"), doc)).groupBy("case_id").agg(F.count_distinct("parent_id").alias("expected"))
+    rows = asked.join(seen, "case_id", "left").join(answers, "case_id", "left").join(expected, "case_id", "left").fillna(0, ["shown", "judged", "matched", "enough", "bad", "total"])
+    e, t = F.col("expected").cast("double"), F.col("total").cast("double")
+    coverage = F.when(e.isNotNull(), F.least(F.lit(1.0), t / e))  # least() passes over nulls
+    focus = F.when(e.isNotNull(), F.least(F.lit(1.0), e / F.greatest(t, e)))
+    lifted = F.transform(F.coalesce("understood", F.array().cast("array<string>")), lambda v: F.lower(v))
+    fails = {
+        "corpus": F.col("shown") > F.col("judged"), "expect": F.col("matched") < F.col("judged"), "at_least": F.col("enough") < F.col("at_least.n"), "forbid": F.col("bad") > 0, "min_results": F.col("total") < F.col("min_results"),
+        "understands": F.exists("understands", lambda u: ~F.array_contains(lifted, F.lower(u))), "rescued": F.col("strategy").isNotNull() != F.col("rescued"), "coverage": coverage < 0.999,
+    }
+    failures = F.filter(F.array(*[F.when(F.coalesce(test, F.lit(False)), name) for name, test in fails.items()]), lambda f: f.isNotNull())
+    precision = F.when(F.col("judged") > 0, F.col("matched") / F.col("judged")).otherwise(0.0)
+    three = lambda c: F.round(c, 3)
+    return rows.select("case_id", three(precision).alias("precision"), three(coverage).alias("coverage"), three(focus).alias("focus"), "expected", "matched", "judged", "total", (F.size(failures) == 0).alias("passed"), failures.alias("failures"))
+
+
 def suite_summary(judged: DataFrame) -> DataFrame:
     return judged.agg(F.count("*").alias("cases"), F.count_if("passed").alias("passed"), F.round(F.avg("precision"), 6).alias("precision"), F.round(F.avg("coverage"), 6).alias("coverage"), F.round(F.avg("focus"), 6).alias("focus"))
 

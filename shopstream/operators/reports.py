@@ -125,11 +125,11 @@ def popular_queries(events: DataFrame, as_of: Column, days: int = 30, limit: int
 
 
 def diagnose(rollup: DataFrame, understood: DataFrame, as_of: Column, days: int = 30, limit: int = 25) -> DataFrame:
-    """Queries that go wrong, by kind and severity. understood: (normalised_query, brand, category) as recognised, null where not."""
+    """Queries that go wrong, by kind and severity. understood: (site_id, normalised_query, brand, category) as recognised, null where not (without site_id: alike at every site)."""
     rows = top_n(query_sums(rollup, as_of, days).where("searches >= 5"), 500, F.desc("searches"), F.asc("normalised_query"))
     s = F.col("searches").cast("double")
     click_rate = F.col("clicks") / s
-    rows = rows.withColumn("click_rate", click_rate).where("not (clicks > 0 and click_rate >= 0.15 and zero_results = 0)").join(understood, "normalised_query", "left")
+    rows = rows.withColumn("click_rate", click_rate).where("not (clicks > 0 and click_rate >= 0.15 and zero_results = 0)").join(understood, [*(c for c in ("site_id",) if c in understood.columns), "normalised_query"], "left")
     known = F.col("brand").isNotNull() | F.col("category").isNotNull()
     cases = [
         (F.col("zero_results") / s >= 0.5, "no_results", 3 * s),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scoring import half_up, normal_cdf
-from ..operators import autopilot, events as ev, experiments as ex, history, recommend, reports, rollup, signals
+from ..operators import autopilot, catalogue, entities, events as ev, experiments as ex, history, recommend, reports, rollup, signals
 from .registry import Registry
 from .views import AS_OF, EVENTS_SQL, VARIANTS_SQL, as_of, impressions, shopper_events, variants
 
@@ -162,16 +162,21 @@ def popular_queries(spark, sf_dir):
 
 
 def understood(spark, sf_dir):
-    """Brand and category recognised in each query: here a category leaf among its words."""
-    words = variants(spark, sf_dir).select(F.col("title").alias("normalised_query"), F.col("category_leaf").alias("category")).distinct()
-    return words.where("category <> 'widget'").select("normalised_query", F.lit(None).cast("string").alias("brand"), "category")
+    """Brand and category recognised in each query of the log (Q6), by the names of the catalogue."""
+    docs = catalogue.variant_docs(variants(spark, sf_dir))
+    categories = catalogue.category_directory(docs).select("site_id", "category_id", F.split("path", " > ").alias("path"), "products")
+    values = docs.groupBy("site_id", F.lit("finish").alias("field"), F.col("finish").alias("value")).agg(F.count_distinct("parent_id").alias("products"))
+    names = entities.entity_names(categories, catalogue.brand_directory(docs), values)
+    log = shopper_events(spark, sf_dir).select("site_id", F.col("normalised_query").alias("query")).where("query is not null").distinct()
+    read = entities.read_queries(log, catalogue.vocabulary(docs, ["title", "brand"]), names)
+    return entities.understand(read).select("site_id", F.col("query").alias("normalised_query"), "brand", "category")
 
 
 DIAGNOSED = """k AS (SELECT *, CASE WHEN 1.0 * zero_results / searches >= 0.5 THEN 'no_results' WHEN clicks = 0 AND NOT known THEN 'uncategorised' WHEN clicks = 0 THEN 'wrong_products'
   WHEN 1.0 * rescued / searches >= 0.5 THEN 'rescue_dependent' WHEN 1.0 * clicks / searches < 0.15 THEN 'wrong_products' END AS kind FROM r)"""
 
 
-@query(f"""{WITH}, {VARIANTS_SQL}, {DAILY_QUERY}, {QUERY_SUMS}, u AS (SELECT DISTINCT title FROM variants WHERE category_leaf <> 'widget'),
+@query(f"""{WITH}, {VARIANTS_SQL}, {DAILY_QUERY}, {QUERY_SUMS}, u AS (SELECT DISTINCT title FROM variants),
 r AS (SELECT q.*, u.title IS NOT NULL AS known FROM (SELECT * FROM q WHERE searches >= 5 QUALIFY ROW_NUMBER() OVER (PARTITION BY site_id ORDER BY searches DESC, normalised_query) <= 500) q
   LEFT JOIN u ON u.title = q.normalised_query WHERE NOT (clicks > 0 AND 1.0 * clicks / searches >= 0.15 AND zero_results = 0)), {DIAGNOSED},
 s AS (SELECT site_id, normalised_query, searches, clicks, zero_results, kind, ROUND(CASE kind WHEN 'no_results' THEN 3.0 * searches WHEN 'uncategorised' THEN 2.5 * searches WHEN 'rescue_dependent' THEN 1.0 * searches

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.store import stored
-from ..operators import analyse, catalogue, entities, rank, requests, signals
+from ..operators import analyse, catalogue, discover, entities, rank, relevance, reports, requests, signals
 from .analytics import CTR, PRODUCT_DAY, product_day
 from .registry import Registry
-from .views import AS_OF, EVENTS_SQL, VARIANTS_SQL, as_of, table, variants
+from .views import AS_OF, EVENTS_SQL, VARIANTS_SQL, as_of, shopper_events, table, variants
 
 REGISTRY = Registry()
 QUERIES, ORACLE, query = REGISTRY.queries, REGISTRY.oracle, REGISTRY.query
@@ -220,6 +220,8 @@ UNION ALL {attempt_sql("220 - keep", "drop_entity", "ef", "ebrand", "attrs[1:kee
 UNION ALL SELECT query_id, site_id, 300 + gone, 'relax_query', sort, list_transform(list_sort(list_transform(list_sort(list_transform(range(1, len(terms) + 1), lambda i: {{'n': length(terms[i]), 'i': i}}))[gone + 1:], lambda s: s.i)), lambda i: terms[i]), brand, finish, color, stock, use_, category_id, coll, least, most, inches, part FROM es
 UNION ALL {attempt_sql("400", "category_fallback", "en", cat="ecat")} UNION ALL {attempt_sql("500", "best_sellers", "em")}),
 atm AS (SELECT * EXCLUDE (query_id), query_id || '#' || attempt AS query_id FROM att)"""
+#: Tables that several others read: DuckDB is told to compute them once.
+SHARED = ["sd", "posts", "vocab", "ex", "p1", "p2", "rq2", "pt", "p", "m", "ph", "rt", "be", "pl", "fe"]
 VALUE = "COALESCE(CASE sort WHEN 'best_selling' THEN sales_velocity WHEN 'newest' THEN day_ WHEN 'price_asc' THEN -effective_price WHEN 'discount' THEN discount_pct ELSE CASE WHEN len(terms) > 0 AND part IS NULL THEN CAST(rt.retrieval AS DOUBLE) ELSE sales_velocity END END, '-infinity'::DOUBLE)"
 PLAN_COLUMNS = "query_id, site_id, sort, terms, brand, finish, color, stock, use_, category_id, coll, least, most, inches, part"
 SEARCH_SQL = f"""{READ_SQL}, {EXPAND_SQL}, {match_sql("p1", "rq")}, {ATTEMPTS_SQL}, {match_sql("p2", "atm")},
@@ -245,6 +247,9 @@ ik AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id, parent_id ORDER BY ra
 cards AS (SELECT query_id, parent_id, MIN(sku) FILTER (k = 1) AS sku, COALESCE(string_agg(sku, '|' ORDER BY rank) FILTER (k BETWEEN 2 AND 9), '') AS siblings, ANY_VALUE(matching) AS matching, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY MIN(rank)) AS card FROM ik GROUP BY 1, 2),
 tot AS (SELECT query_id, COUNT(DISTINCT parent_id) AS products, COUNT(*) AS variants, MIN(effective_price) AS least, MAX(effective_price) AS most FROM m GROUP BY 1)"""
 
+for _name in SHARED:
+    SEARCH_SQL = SEARCH_SQL.replace(f" {_name} AS (SELECT", f" {_name} AS MATERIALIZED (SELECT", 1).replace(f"\n{_name} AS (SELECT", f"\n{_name} AS MATERIALIZED (SELECT", 1)
+
 
 def rule_actions(spark, plans):
     """Query rules of the shop as actions on the requests they hold for: searches for green things show red rings of the economy line second, hide small gizmos and put blue ones last, at both sites."""
@@ -315,3 +320,81 @@ def bm25_scores(spark, sf_dir):
     answers, plans, found, _ = requests.search(plans, index, vocabulary)
     kept = stored(requests.impacts(index), "impacts")
     return for_requests(answers, requests.bm25_scores(found, plans, kept).withColumn("bm25", F.round("bm25", 6)))
+
+
+def typed(docs):
+    """What shoppers have typed so far: nothing, one to three letters of a title, its second word, all of it."""
+    t = F.col("title")
+    return docs.select("site_id", F.explode(F.array(F.lit(""), F.substring(t, 1, 1), F.substring(t, 2, 2), F.substring(t, 1, 3), F.get(F.split(t, " "), 1), t, F.lower("brand"))).alias("prefix")).distinct()
+
+
+def box_sql(source: str, texts: str, text: str, order: str, n: int, value: str, detail: str) -> str:
+    return f"SELECT site_id, prefix, '{source}' AS source, CAST(ROW_NUMBER() OVER (PARTITION BY site_id, prefix ORDER BY {order}) AS INT) AS place, CAST({value} AS VARCHAR) AS value, CAST({detail} AS VARCHAR) AS detail FROM px JOIN {texts} USING (site_id) WHERE prefix <> '' AND contains({text}, prefix) AND {text} <> prefix QUALIFY place <= {n}"
+
+
+@query(f"""WITH {DOCS_SQL}, px AS (SELECT DISTINCT site_id, unnest(['', substr(title, 1, 1), substr(title, 2, 2), substr(title, 1, 3), split_part(title, ' ', 2), title, lower(brand)]) AS prefix FROM sd),
+pop AS (SELECT site_id, normalised_query AS query, COUNT(*) AS searches FROM shopper_events WHERE type = 'search' AND result_count > 0 AND occurred_at >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY GROUP BY 1, 2 QUALIFY ROW_NUMBER() OVER (PARTITION BY site_id ORDER BY COUNT(*) DESC, normalised_query) <= 200
+  UNION ALL SELECT site_id, title, COUNT(*) FROM sd WHERE site_id = 'trade' GROUP BY 1, 2),
+cl AS (SELECT *, lower(path) AS low, replace(path, ' ', ' / ') AS label FROM cats), br AS (SELECT site_id, brand, lower(brand) AS low, COUNT(DISTINCT parent_id) AS products FROM sd GROUP BY 1, 2, 3),
+rd AS (SELECT site_id, prefix FROM px WHERE prefix = 'ring')
+{box_sql("query", "pop", "query", "CASE WHEN starts_with(query, prefix) THEN 0 ELSE 1 END, searches DESC, query", 6, "query", "searches")}
+UNION ALL {box_sql("category", "cl", "low", "products DESC, category_id", 4, "category_id", "label").replace("AND low <> prefix", "")} UNION ALL {box_sql("brand", "br", "low", "products DESC, brand", 3, "brand", "products").replace("AND low <> prefix", "")}
+UNION ALL SELECT site_id, prefix, 'redirect', 1, '/rings', NULL FROM rd
+UNION ALL SELECT site_id, '', 'trending', CAST(ROW_NUMBER() OVER (PARTITION BY site_id ORDER BY searches DESC, query) AS INT) AS place, query, CAST(searches AS VARCHAR) FROM pop QUALIFY place <= 6
+UNION ALL SELECT site_id, '', 'category', CAST(ROW_NUMBER() OVER (PARTITION BY site_id ORDER BY category_id) AS INT) AS place, category_id, label FROM cl WHERE contains(category_id, '/') QUALIFY place <= 6""")
+def complete(spark, sf_dir):
+    """R14 for every prefix of both sites, one letter and nothing included. The trade site has no log of its own; its titles stand for popular queries."""
+    docs = stored(shop_docs(spark, sf_dir), "shop_docs")
+    popular = reports.popular_queries(shopper_events(spark, sf_dir), as_of()).select("site_id", F.col("normalised_query").alias("query"), "searches")
+    popular = popular.unionByName(docs.where("site_id = 'trade'").groupBy("site_id", F.col("title").alias("query")).agg(F.count("*").alias("searches")))
+    categories, brands, _ = directories(docs)
+    prefixes = typed(docs)
+    redirects = prefixes.where("prefix = 'ring'").withColumn("target", F.lit("/rings"))
+    return discover.complete(prefixes, popular, categories, brands, redirects=redirects)
+
+
+#: Checks of the judged suite: each holds in one of its cases and fails in another.
+CHECKS = ["none", "expect", "brand", "least", "many", "forbid", "allowed", "few", "enough", "unread", "read", "rescued", "outright", "attr", "title", "any", "stock", "absent"]
+
+
+def suite(docs):
+    """For each site and leaf a case of every check, its hits (the first ten documents of the leaf by SKU) and its answer."""
+    c, lit = F.col, F.lit
+    leaf = F.element_at("category_ids", -1)
+    rows = docs.select("site_id", "sku", "ordinal", "parent_id", leaf.alias("leaf"), "category_leaf", "brand", "finish")
+    leaves = rows.groupBy("site_id", "leaf", "category_leaf").agg(F.count_distinct("parent_id").alias("total"), F.min("brand").alias("brand"), F.min("finish").alias("finish"))
+    j = lambda **given: F.struct(*[(given[k] if k in given else lit(None)).alias(k) for k in ("category", "brand", "in_stock", "title", "attrs", "any_of")]).cast(relevance.JUDGMENT)
+    flat = lambda **given: F.struct(*[(given[k] if k in given else lit(None)).alias(k) for k in ("category", "brand", "in_stock", "title", "attrs")])
+    own, other = j(category=c("category_leaf")), j(category=lit("zzz"))
+    given = {
+        "none": {}, "expect": {"expect": own}, "brand": {"expect": j(brand=c("brand")), "partial": lit(True)}, "least": {"at_least": F.struct(lit(1).alias("n"), own.alias("of"))}, "many": {"at_least": F.struct(lit(11).alias("n"), own.alias("of"))},
+        "forbid": {"forbid": own}, "allowed": {"forbid": other}, "few": {"min_results": lit(10**6)}, "enough": {"min_results": lit(1)}, "unread": {"understands": F.array(lit("Nowhere"))}, "read": {"understands": F.array(F.upper("category_leaf"))},
+        "rescued": {"rescued": lit(True)}, "outright": {"rescued": lit(False)}, "attr": {"expect": j(attrs=F.create_map(lit("finish"), F.array(F.upper("finish"), lit("red")))), "partial": lit(True)}, "title": {"expect": j(title=F.concat(lit("^[a-z]+ "), F.upper("category_leaf"))), "partial": lit(True)},
+        "any": {"expect": j(any_of=F.array(flat(brand=lit("no such")), flat(category=c("category_leaf"))))}, "stock": {"expect": j(in_stock=lit(True), category=c("category_leaf"))}, "absent": {"expect": other},
+    }
+    types = {"expect": relevance.JUDGMENT, "at_least": f"struct<n:int,of:{relevance.JUDGMENT}>", "forbid": relevance.JUDGMENT, "partial": "boolean", "min_results": "bigint", "understands": "array<string>", "rescued": "boolean"}
+    structs = [F.struct(lit(name).alias("check"), *[g.get(k, lit(None)).cast(t).alias(k) for k, t in types.items()]) for name, g in given.items()]
+    cases = leaves.select("*", F.explode(F.array(*structs)).alias("x")).select(F.concat_ws("|", "site_id", "leaf", "x.check").alias("case_id"), "site_id", "leaf", "category_leaf", "total", "x.*", lit(None).cast("int").alias("k"))
+    from pyspark.sql.window import Window as W
+
+    ten = rows.withColumn("card", F.row_number().over(W.partitionBy("site_id", "leaf").orderBy("ordinal"))).where("card <= 12").select("site_id", "leaf", "card", "sku")
+    hits = cases.select("case_id", "site_id", "leaf").join(ten, ["site_id", "leaf"]).select("case_id", "card", "sku")
+    answers = cases.select("case_id", "total", F.array("category_leaf").alias("understood"), lit(None).cast("string").alias("strategy"))
+    judged_docs = docs.select("site_id", "sku", "parent_id", "category_path", "brand", "in_stock", F.concat_ws(" ", "title", "variant_title").alias("title"), "attrs")
+    return cases.drop("check", "leaf", "category_leaf", "total"), hits, answers, judged_docs
+
+
+@query(f"""WITH {DOCS_SQL}, lf AS (SELECT site_id, category_ids[2] AS leaf, category_leaf, COUNT(DISTINCT parent_id) AS total, MIN(brand) AS brand0, MIN(finish) AS finish0 FROM sd GROUP BY 1, 2, 3),
+tn AS (SELECT site_id, category_ids[2] AS leaf, brand, finish, in_stock FROM sd QUALIFY ROW_NUMBER() OVER (PARTITION BY site_id, category_ids[2] ORDER BY CAST(substr(sku, 2) AS BIGINT)) <= 10),
+ag AS (SELECT lf.*, COUNT(*) AS judged, COUNT(*) FILTER (tn.brand = brand0) AS b, COUNT(*) FILTER (finish IN (finish0, 'red')) AS f, COUNT(*) FILTER (in_stock = '1') AS s FROM lf JOIN tn USING (site_id, leaf) GROUP BY ALL),
+wide AS (SELECT site_id, category_leaf, COUNT(DISTINCT parent_id) AS n, COUNT(DISTINCT parent_id) FILTER (in_stock = '1') AS stocked FROM sd GROUP BY 1, 2),
+ck AS (SELECT ag.*, n, stocked, unnest({CHECKS}) AS ck FROM ag JOIN wide USING (site_id, category_leaf)),
+m AS (SELECT *, CASE ck WHEN 'brand' THEN b WHEN 'attr' THEN f WHEN 'stock' THEN s WHEN 'absent' THEN 0 ELSE judged END AS matched, CASE WHEN ck IN ('expect', 'any') THEN n WHEN ck = 'stock' THEN NULLIF(stocked, 0) END AS expected FROM ck),
+r AS (SELECT *, list_filter([CASE WHEN matched < judged THEN 'expect' END, CASE WHEN ck = 'many' THEN 'at_least' END, CASE WHEN ck = 'forbid' THEN 'forbid' END, CASE WHEN ck = 'few' THEN 'min_results' END, CASE WHEN ck = 'unread' THEN 'understands' END,
+  CASE WHEN ck = 'rescued' THEN 'rescued' END, CASE WHEN LEAST(1.0, total / CAST(expected AS DOUBLE)) < 0.999 THEN 'coverage' END], lambda x: x IS NOT NULL) AS failed FROM m)
+SELECT site_id || '|' || leaf || '|' || ck AS case_id, ROUND(matched / CAST(judged AS DOUBLE), 3) AS precision, CASE WHEN expected IS NOT NULL THEN ROUND(LEAST(1.0, total / CAST(expected AS DOUBLE)), 3) END AS coverage, CASE WHEN expected IS NOT NULL THEN ROUND(LEAST(1.0, expected / CAST(GREATEST(total, expected) AS DOUBLE)), 3) END AS focus,
+  expected, matched, judged, total, len(failed) = 0 AS passed, array_to_string(failed, '|') AS failures FROM r""")
+def judge_cases(spark, sf_dir):
+    """D13 with every check failing and passing, at both sites."""
+    docs = stored(shop_docs(spark, sf_dir), "shop_docs")
+    return relevance.judge_cases(*suite(docs)).withColumn("failures", F.array_join("failures", "|"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.measure import attribute_inches, to_boolean, to_number
+from ..functions.store import stored
 from ..functions.text import split_multi
 
 # Source headings of each schema field, the attributes worth a facet, and plumbing columns.
@@ -46,6 +47,22 @@ def read_feed(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.options(sep=sep, header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, unescapedQuoteHandling="STOP_AT_DELIMITER", mode="PERMISSIVE", escape='"').csv(path)
 
 
+def with_row_numbers(rows: DataFrame, column: str = "row_ix") -> DataFrame:
+    """Rows as read from files with their numbers from 0, in the order of the files' paths and of the rows in each.
+
+    The rows are stored with the piece of the file they come from and their place in the task that read it.
+    A piece is read by one task in order, so a row's number is the rows of all pieces before, plus its
+    distance from the piece's first row: no sort and no window over rows. The table of pieces has a row for
+    each split of the files and is broadcast.
+    """
+    read = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__at"))
+    read = stored(read, "feed")
+    pieces = read.groupBy("__file", "__start").agg(F.min("__at").alias("__first"), F.count("*").alias("n"))
+    pieces = pieces.select("__file", "__start", "__first", (F.sum("n").over(W.orderBy("__file", "__start")) - F.col("n")).alias("__before"))
+    numbered = read.join(F.broadcast(pieces), ["__file", "__start"])
+    return numbered.select(*[F.col(f"`{c}`") for c in rows.columns], (F.col("__before") + F.col("__at") - F.col("__first")).alias(column))
+
+
 def read_rows(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """A feed of JSON rows, all values as texts."""
     return spark.read.schema(", ".join(f"`{c}` string" for c in columns)).json(path)

@@ -17,12 +17,18 @@ from ..operators.rollup import overwrite_days, rollup_query_day
 
 
 def stream_events(raw: DataFrame, path: str, rejects: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Valid events appended by site and day, refused ones with their reason beside them. A batch that fails is run again; it writes to folders of its own number, so nothing is doubled."""
+    """Valid events by site, day and batch, refused ones with their reason beside them.
+
+    A batch owns the folders site_id=/day=/batch= of its number. One that fails is run again over the same
+    rows and replaces these folders and no others, so each event is there once, and readers of a site's day
+    see only its folders.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
+        own = lambda rows, *by: rows.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by, "batch")
         marked = with_reject_reason(batch.withColumn("normalised_query", normalise(F.col("query"))).withColumn("day", F.to_date("occurred_at")))
-        marked.where("reason is null").drop("reason").write.mode("overwrite").parquet(f"{path}/batch={number}")
-        marked.where("reason is not null").write.mode("overwrite").parquet(f"{rejects}/batch={number}")
+        own(marked.where("reason is null").drop("reason"), "site_id", "day").parquet(path)
+        own(marked.where("reason is not null")).parquet(rejects)
 
     return raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
