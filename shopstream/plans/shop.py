@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.store import stored
-from ..operators import analyse, catalogue, discover, entities, rank, relevance, reports, requests, signals
+from ..operators import analyse, catalogue, discover, entities, labelling, rank, relevance, reports, requests, selectors, signals
 from .analytics import CTR, PRODUCT_DAY, product_day
 from .registry import Registry
 from .views import AS_OF, EVENTS_SQL, VARIANTS_SQL, as_of, shopper_events, table, variants
@@ -398,3 +398,27 @@ def judge_cases(spark, sf_dir):
     """D13 with every check failing and passing, at both sites."""
     docs = stored(shop_docs(spark, sf_dir), "shop_docs")
     return relevance.judge_cases(*suite(docs)).withColumn("failures", F.array_join("failures", "|"))
+
+
+@query(f"""WITH {DOCS_SQL}, ru AS (SELECT DISTINCT site_id, category_leaf AS leaf, brand FROM sd), vr AS (SELECT sd.*, ru.leaf, ru.brand AS b, (sd.brand = ru.brand OR finish = 'red') AND inventory < 300 AS alone FROM sd JOIN ru ON ru.site_id = sd.site_id AND ru.leaf = sd.category_leaf),
+wh AS (SELECT site_id, parent_id, leaf, b FROM vr GROUP BY 1, 2, 3, 4 HAVING BOOL_OR(brand = b OR finish = 'red') AND NOT BOOL_OR(inventory >= 300)),
+ex AS (SELECT site_id, parent_id FROM sd GROUP BY 1, 2 HAVING MIN(size_in) > 40), inc AS (SELECT site_id, parent_id FROM sd GROUP BY 1, 2 HAVING MAX(size_in) < 10)
+SELECT site_id, sku, parent_id, 'shelf:' || leaf || ':' || b AS label FROM vr SEMI JOIN wh USING (site_id, parent_id, leaf, b) ANTI JOIN ex USING (site_id, parent_id) WHERE alone
+UNION SELECT sd.site_id, sku, sd.parent_id, 'shelf:' || ru.leaf || ':' || ru.brand FROM sd SEMI JOIN inc ON inc.site_id = sd.site_id AND inc.parent_id = sd.parent_id JOIN ru ON ru.site_id = sd.site_id AND ru.leaf = sd.category_leaf
+UNION SELECT site_id, sku, parent_id, 'rest' FROM sd WHERE NOT contains(lower(title), 'ring') AND parent_id NOT IN (SELECT parent_id FROM sd s2 WHERE s2.site_id = sd.site_id GROUP BY 1 HAVING MIN(s2.price) >= 950)""")
+def apply_label_rules(spark, sf_dir):
+    """I10 with a rule for each leaf and brand of each site, and one made of exclusions alone."""
+    docs = stored(shop_docs(spark, sf_dir), "shop_docs")
+    condition = lambda field, op, value: F.struct(F.lit(field).alias("field"), F.lit(op).alias("op"), value.alias("value"))
+    leaf_is, brand_is = condition("category_path", "equals", F.col("category_leaf")), condition("variant.brand", "equals", F.col("brand"))
+    red, stocked = condition("variant.attrs.finish", "in", F.array(F.lit("Red "), F.lit("crimson"))), condition("variant.inventory", "gte", F.lit(300))
+    group = lambda *parts: F.concat(F.lit("["), F.concat_ws(",", *[F.to_json(p) for p in parts]), F.lit("]"))
+    selector = F.concat(F.lit('{"all":['), F.to_json(leaf_is), F.lit(',{"any":'), group(brand_is, red), F.lit('},{"none":'), group(stocked), F.lit("}]}"))
+    label = F.concat_ws(":", F.lit("shelf"), "category_leaf", "brand")
+    rules = docs.select("site_id", label.alias("label"), selector.alias("selector")).distinct()
+    rest = docs.select("site_id").distinct().select("site_id", F.lit("rest").alias("label"), F.lit('{"none":[{"field":"title","op":"contains","value":"ring"},{"field":"minListPrice","op":"gte","value":"950"}]}').alias("selector"))
+    sizes = docs.groupBy("site_id", "parent_id", "category_leaf").agg(F.min("size_in").alias("least"), F.max("size_in").alias("most"), F.min("price").alias("price"))
+    leaves = docs.select("site_id", "category_leaf", "brand").distinct()
+    members = sizes.where("least > 40 or most < 10").join(leaves, ["site_id", "category_leaf"]).select("site_id", label.alias("label"), "parent_id", F.when(F.col("least") > 40, "exclude").otherwise("include").alias("mode"))
+    products = selectors.products(docs).join(sizes.select("site_id", "parent_id", F.col("price").alias("minListPrice")), ["site_id", "parent_id"])
+    return labelling.apply_label_rules(products, rules.unionByName(rest), members)
