@@ -24,9 +24,9 @@ from .common import docs_of
 from .textvec import NON_SPACE, Words, buffers, release, slices, words
 
 #: Bytes of text that are tokenised together, and words in one call of the tokenizer.
-TOKENISED_BYTES, WORDS = 2_000_000, 4000
+TOKENISED_BYTES, WORDS = 500_000, 4000
 #: Different parts that a worker process remembers the ids of: the first ones it meets, which are the frequent ones.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 
 LETTER = np.zeros(256, bool)
 LETTER[0x41:0x5B] = LETTER[0x61:0x7B] = True
