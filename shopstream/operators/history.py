@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 # Keys that change with every write, kinds that can be put back, and kinds whose change needs the catalogue labelled anew.
 NOISE = ["id", "createdAt", "updatedAt", "siteId"]
@@ -25,6 +26,12 @@ def audit_diff(audit: DataFrame) -> DataFrame:
     return audit.withColumn("changes", json_diff(F.col("before"), F.col("after"))).withColumn("refused", reason).withColumn("revertible", reason.isNull())
 
 
+def newest_changes(audit: DataFrame, most: int = 500) -> DataFrame:
+    """The newest `most` entries of each site's audit log, with `place` from 1 (newest first, of one time the larger id first), and what audit_diff says of them. audit: with site_id and created_at. Each task keeps its own newest before the shuffle."""
+    place = F.row_number().over(W.partitionBy("site_id").orderBy(F.desc("created_at"), F.desc("audit_id")))
+    return audit_diff(audit.withColumn("place", place).where(F.col("place") <= most))
+
+
 def inverse_changes(audit: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows to append that undo the given entries: before and after swapped. ids: (audit_id)."""
     rows = audit_diff(audit).where("revertible").join(ids, "audit_id", "left_semi")

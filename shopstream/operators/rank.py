@@ -82,3 +82,9 @@ def group_by_parent(ranked: DataFrame, siblings: int = 8) -> DataFrame:
 
 def paginate(cards: DataFrame, page: int, per_page: int) -> DataFrame:
     return cards.where(F.col("card").between((page - 1) * per_page + 1, page * per_page))
+
+
+def page_counts(totals: DataFrame, per_page: int, window: int) -> DataFrame:
+    """totals (with `total`, the products of each request after its rule) with `reachable`, as many as can be paged to, and `pages`, at least 1."""
+    reachable = F.least(F.col("total"), F.lit(max(per_page, window)).cast("long"))
+    return totals.withColumn("reachable", reachable).withColumn("pages", F.greatest(F.ceil(F.col("reachable") / per_page), F.lit(1)).cast("long"))

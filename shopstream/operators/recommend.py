@@ -41,6 +41,13 @@ def recently_viewed(events: DataFrame, parents: DataFrame, as_of: Column, days:
     return seen.withColumn("rank", rank).where(F.col("rank") <= limit)
 
 
+def viewed_beside(anchors: DataFrame, viewed: DataFrame, limit: int = 8) -> DataFrame:
+    """(site_id, shopper_id, anchor, parent_id, last_seen, rank): what each shopper has seen lately, without the product now looked at. anchors: (site_id, shopper_id, anchor); viewed: what recently_viewed gives for limit + 1."""
+    rows = anchors.join(viewed, ["site_id", "shopper_id"]).where("not (anchor <=> parent_id)")
+    rank = F.row_number().over(W.partitionBy("site_id", "shopper_id", "anchor").orderBy("rank"))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= limit).select("site_id", "shopper_id", "anchor", "parent_id", "last_seen", "rank")
+
+
 def trending_products(events: DataFrame, as_of: Column, days: int = 7, limit: int = 8) -> DataFrame:
     """(site_id, parent_id, clicks, rank): the most clicked products of each site. events: with parent_id."""
     rows = events.where((F.col("type") == "click") & F.col("parent_id").isNotNull() & (F.col("occurred_at") >= as_of - F.expr(f"interval {days} days")))

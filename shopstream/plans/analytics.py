@@ -323,6 +323,15 @@ def recently_viewed(spark, sf_dir):
     return recommend.recently_viewed(shopper_events(spark, sf_dir), parents_of(spark, sf_dir), as_of())
 
 
+@query(f"""{WITH}, {VARIANTS_SQL}, s AS (SELECT e.site_id, shopper_id, parent_id, MAX(occurred_at) AS last_seen FROM shopper_events e JOIN variants v USING (sku) WHERE type IN ('product_view', 'click') AND occurred_at >= {NOW} - INTERVAL 30 DAY GROUP BY 1, 2, 3),
+a AS (SELECT site_id, shopper_id, MIN(parent_id) AS anchor FROM shopper_events JOIN (SELECT sku, parent_id FROM variants) USING (sku) WHERE type = 'click' GROUP BY 1, 2)
+SELECT site_id, shopper_id, anchor, parent_id, last_seen, CAST(ROW_NUMBER() OVER (PARTITION BY site_id, shopper_id ORDER BY last_seen DESC, parent_id) AS INT) AS rank FROM s JOIN a USING (site_id, shopper_id) WHERE parent_id <> anchor QUALIFY rank <= 8""")
+def viewed_beside(spark, sf_dir):
+    events, parents = shopper_events(spark, sf_dir), parents_of(spark, sf_dir)
+    anchors = events.where("type = 'click'").join(parents.select("sku", "parent_id"), "sku").groupBy("site_id", "shopper_id").agg(F.min("parent_id").alias("anchor"))
+    return recommend.viewed_beside(anchors, recommend.recently_viewed(events, parents, as_of(), limit=9))
+
+
 @query(f"""{WITH}, {VARIANTS_SQL}, {PRODUCT_EVENTS} SELECT site_id, parent_id, COUNT(*) AS clicks, CAST(ROW_NUMBER() OVER (PARTITION BY site_id ORDER BY COUNT(*) DESC, parent_id) AS INT) AS rank FROM pe
 WHERE type = 'click' AND parent_id IS NOT NULL AND occurred_at >= {NOW} - INTERVAL 7 DAY GROUP BY 1, 2 QUALIFY rank <= 8""")
 def trending_products(spark, sf_dir):
@@ -397,6 +406,15 @@ def audit_diff(spark, sf_dir):
     return rows.select("audit_id", "revertible", "refused", text.alias("changes"))
 
 
+@query("""SELECT CASE WHEN o_custkey % 3 = 0 THEN 'trade' ELSE 'main' END AS site_id, o_orderkey AS audit_id, o_orderkey % 4 <> 2 AS revertible, CAST(ROW_NUMBER() OVER (PARTITION BY o_custkey % 3 = 0 ORDER BY o_orderdate DESC, o_orderkey DESC) AS INT) AS place FROM orders QUALIFY place <= 500""")
+def newest_changes(spark, sf_dir):
+    from .views import table
+
+    when = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("audit_id"), F.col("o_orderdate").alias("created_at"))
+    audit = audit_log(spark, sf_dir).join(when, "audit_id").withColumn("site_id", F.when(F.col("entity_id") % 3 == 0, "trade").otherwise("main"))
+    return history.newest_changes(audit).select("site_id", "audit_id", "revertible", "place")
+
+
 @query(f"""WITH {AUDIT} SELECT audit_id AS reverts, entity, entity_id, 'revert' AS action, CASE WHEN s0 IS NULL THEN 'removed' ELSE 'restored' END AS outcome, entity IN ('collection', 'badge') AS reindex_required
 FROM au WHERE entity <> 'experiment'""")
 def inverse_changes(spark, sf_dir):

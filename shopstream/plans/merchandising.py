@@ -128,23 +128,49 @@ def add_badges(spark, sf_dir):
     return rules.add_badges(labelled(spark, sf_dir), badges)
 
 
+SITES = ["main", "trade"]
+
+
 def query_log(spark, sf_dir):
-    return shopper_events(spark, sf_dir).select(F.col("normalised_query").alias("query")).where("query is not null")
+    """The shoppers' queries, asked at both sites."""
+    sites = F.explode(F.array(*[F.lit(s) for s in SITES])).alias("site_id")
+    return shopper_events(spark, sf_dir).where("normalised_query is not null").select(sites, F.col("normalised_query").alias("query"))
+
+
+LOG_SQL = f"{EVENTS_SQL}, q AS (SELECT DISTINCT s.site_id, normalised_query AS query FROM shopper_events, (VALUES ('main'), ('trade')) s(site_id) WHERE normalised_query IS NOT NULL)"
 
 
-@query(f"""WITH {EVENTS_SQL}, q AS (SELECT DISTINCT normalised_query AS query FROM shopper_events WHERE normalised_query IS NOT NULL), r AS (SELECT * FROM (VALUES (1, 'exact', 'red bolt', '/red', 5), (2, 'starts_with', 'blue', '/blue', 3), (3, 'contains', 'widget', '/w', 4), (4, 'regex', '^(cold|hot) g', '/g', 3), (5, 'starts_with', 'blue g', '/bg', 3)) t(rule_id, kind, pattern, target, priority))
-SELECT query, rule_id, target FROM q JOIN r ON CASE kind WHEN 'exact' THEN query = pattern WHEN 'starts_with' THEN starts_with(query, pattern) WHEN 'contains' THEN contains(query, pattern) ELSE regexp_matches(query, pattern) END QUALIFY ROW_NUMBER() OVER (PARTITION BY query ORDER BY priority DESC, rule_id) = 1""")
+@query(f"""WITH {LOG_SQL}, r AS (SELECT * FROM (VALUES ('main', 1, 'exact', 'red bolt', '/red', 5), ('main', 2, 'starts_with', 'blue', '/blue', 3), ('main', 3, 'contains', 'widget', '/w', 4), ('main', 4, 'regex', '^(cold|hot) g', '/g', 3), ('main', 5, 'starts_with', 'blue g', '/bg', 3),
+  ('trade', 1, 'contains', 'd b', '/boards', 2), ('trade', 2, 'exact', 'red gear', '/gear', 7), ('trade', 3, 'starts_with', '', '/all', 0), ('trade', 4, 'contains', 'idge', '/idge', 2)) t(site_id, rule_id, kind, pattern, target, priority))
+SELECT q.site_id, query, rule_id, target FROM q JOIN r ON q.site_id = r.site_id AND CASE kind WHEN 'exact' THEN query = pattern WHEN 'starts_with' THEN starts_with(query, pattern) WHEN 'contains' THEN contains(query, pattern) ELSE regexp_matches(query, pattern) END QUALIFY ROW_NUMBER() OVER (PARTITION BY q.site_id, query ORDER BY priority DESC, rule_id) = 1""")
 def match_redirects(spark, sf_dir):
-    table_ = [(1, "exact", "Red  Bolt", "/red", 5, True), (2, "starts_with", "blue", "/blue", 3, True), (3, "contains", "widget", "/w", 4, True), (4, "regex", "^(cold|hot) g", "/g", 3, True), (5, "starts_with", "blue g", "/bg", 3, True), (6, "contains", "e", "/off", 9, False)]
-    return rules.match_redirects(query_log(spark, sf_dir), spark.createDataFrame(table_, "rule_id int, kind string, pattern string, target string, priority int, enabled boolean"))
+    table_ = [("main", 1, "exact", "Red  Bolt", "/red", 5, True), ("main", 2, "starts_with", "blue", "/blue", 3, True), ("main", 3, "contains", "widget", "/w", 4, True), ("main", 4, "regex", "^(cold|hot) g", "/g", 3, True), ("main", 5, "starts_with", "blue g", "/bg", 3, True), ("main", 6, "contains", "e", "/off", 9, False),
+              ("trade", 1, "contains", "d b", "/boards", 2, True), ("trade", 2, "exact", "red gear", "/gear", 7, True), ("trade", 3, "starts_with", " ", "/all", 0, True), ("trade", 4, "contains", "idge", "/idge", 2, True), ("trade", 5, "regex", "(red", "/broken", 9, True)]
+    return rules.match_redirects(query_log(spark, sf_dir), spark.createDataFrame(table_, "site_id string, rule_id int, kind string, pattern string, target string, priority int, enabled boolean"), ["site_id"])
 
 
-@query(f"""WITH {EVENTS_SQL}, q AS (SELECT DISTINCT normalised_query AS query FROM shopper_events WHERE normalised_query IS NOT NULL), r AS (SELECT * FROM (VALUES (1, 'exact', 'red bolt', 1), (2, 'phrase', 'bolt', 1), (3, 'contains', 'ol', 1), (4, 'contains', 'gear', 2), (5, 'phrase', 'red', 1)) t(rule_id, m, trigger, priority))
-SELECT query, rule_id FROM q JOIN r ON CASE m WHEN 'exact' THEN query = trigger WHEN 'phrase' THEN contains(' ' || query || ' ', ' ' || trigger || ' ') ELSE contains(query, trigger) END
-QUALIFY ROW_NUMBER() OVER (PARTITION BY query ORDER BY priority DESC, CASE m WHEN 'exact' THEN 0 WHEN 'phrase' THEN 1 ELSE 2 END, length(trigger) DESC, rule_id) = 1""")
+TRIGGERS = [("main", 1, "exact", "red bolt", 1), ("main", 2, "phrase", "bolt", 1), ("main", 3, "contains", "ol", 1), ("main", 4, "contains", "gear", 2), ("main", 5, "phrase", "red", 1), ("trade", 1, "phrase", "blue gear", 3), ("trade", 2, "phrase", "ear", 9), ("trade", 3, "contains", "ear", 1)]
+TRIGGERS_SQL = "r AS (SELECT * FROM (VALUES " + ", ".join(str(t) for t in TRIGGERS) + ") t(site_id, rule_id, m, trigger, priority))"
+FIRED_SQL = "CASE m WHEN 'exact' THEN query = trigger WHEN 'phrase' THEN contains(' ' || query || ' ', ' ' || trigger || ' ') ELSE contains(query, trigger) END"
+FIRST_SQL = "priority DESC, CASE m WHEN 'exact' THEN 0 WHEN 'phrase' THEN 1 ELSE 2 END, length(trigger) DESC, rule_id"
+
+
+@query(f"WITH {LOG_SQL}, {TRIGGERS_SQL} SELECT q.site_id, query, rule_id FROM q JOIN r ON q.site_id = r.site_id AND {FIRED_SQL} QUALIFY ROW_NUMBER() OVER (PARTITION BY q.site_id, query ORDER BY {FIRST_SQL}) = 1")
 def match_query_rules(spark, sf_dir):
-    table_ = [(1, "exact", "red bolt", 1), (2, "phrase", "bolt", 1), (3, "contains", "ol", 1), (4, "contains", "gear", 2), (5, "phrase", "red", 1)]
-    return rules.match_query_rules(query_log(spark, sf_dir), spark.createDataFrame(table_, "rule_id int, match string, trigger string, priority int"))
+    return rules.match_query_rules(query_log(spark, sf_dir), spark.createDataFrame(TRIGGERS, "site_id string, rule_id int, match string, trigger string, priority int"), ["site_id"])
+
+
+@query(f"""WITH {TRIGGERS_SQL}, q AS (SELECT s.site_id, p_partkey AS k, CASE WHEN p_partkey % 3 = 1 THEN '' ELSE p_name END AS query, CASE WHEN p_partkey % 5 <> 0 THEN lower(p_type) END AS category_id FROM part, (VALUES ('main'), ('trade')) s(site_id)),
+w AS (SELECT q.site_id, k, rule_id FROM q JOIN r ON q.site_id = r.site_id AND query <> '' AND {FIRED_SQL} QUALIFY ROW_NUMBER() OVER (PARTITION BY q.site_id, k ORDER BY {FIRST_SQL}) = 1),
+c AS (SELECT * FROM (VALUES ('main', 'promo', 22), ('trade', 'promo', 21), ('trade', 'economy', 23)) t(site_id, category_id, of_category))
+SELECT q.site_id || '|' || k AS request_id, COALESCE(rule_id, of_category) AS rule_id, rule_id IS NULL AS from_category FROM q LEFT JOIN w USING (site_id, k) LEFT JOIN c USING (site_id, category_id) WHERE COALESCE(rule_id, of_category) IS NOT NULL""")
+def rule_of_request(spark, sf_dir):
+    kinds = "site_id string, rule_id int, match string, trigger string, priority int, category_id string"
+    of_categories = [("main", 21, None, None, 1, "promo"), ("main", 22, None, None, 5, "promo"), ("trade", 21, None, None, 1, "promo"), ("trade", 22, None, None, 1, "promo"), ("trade", 23, None, None, 0, "economy")]
+    p, key = table(spark, sf_dir, "part"), F.col("p_partkey")
+    asked = p.select(F.explode(F.array(*[F.lit(s) for s in SITES])).alias("site_id"), key, F.when(key % 3 == 1, "").otherwise(F.col("p_name")).alias("query"), F.when(key % 5 != 0, F.lower("p_type")).alias("category_id"))
+    asked = asked.withColumn("request_id", F.concat_ws("|", "site_id", key.cast("string")))
+    return rules.rule_of_request(asked, spark.createDataFrame([(*t, None) for t in TRIGGERS] + of_categories, kinds), ["site_id"])
 
 
 @query("""WITH q AS (SELECT DISTINCT p_name, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part) SELECT p_name AS query_id, CASE WHEN p_name = 'red bolt' THEN 'red|bolt|crimson|fastener' WHEN b = 'bolt' THEN a || '|bolt|screw|pin' WHEN a = 'blue' THEN 'blue|' || b || '|azure' ELSE a || '|' || b END AS terms,
@@ -169,19 +195,30 @@ def apply_query_rule(spark, sf_dir):
     return rules.apply_query_rule(cards, actions, docs(spark, sf_dir))
 
 
-AFFINITY_SQL = """af AS (SELECT session_id, word, CAST(ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY MAX(occurred_at) DESC, word) AS INT) AS place FROM (SELECT session_id, occurred_at, unnest([finish, brand]) AS word FROM shopper_events JOIN variants USING (sku) WHERE type = 'click') GROUP BY 1, 2 QUALIFY place <= 8)"""
+def titled(docs_):
+    """docs with a title of finish and size."""
+    return docs_.select("site_id", "sku", "brand", F.concat_ws(" / ", "finish", F.concat(F.col("size_in").cast("int").cast("string"), F.lit(" in"))).alias("variant_title"))
+
 
+SIZE_SQL = "CAST(CAST(size_in AS INT) AS VARCHAR) || ' in'"
 
-@query(f"WITH {EVENTS_SQL}, {VARIANTS_SQL}, {AFFINITY_SQL} SELECT * FROM af")
+
+@query(f"""WITH {EVENTS_SQL}, {VARIANTS_SQL}, c AS (SELECT e.site_id, session_id, occurred_at, sku, unnest([finish, {SIZE_SQL}, brand]) AS word, unnest([0, 1, 2]) AS i FROM shopper_events e JOIN variants v USING (sku) WHERE type = 'click'),
+l AS (SELECT * FROM c QUALIFY ROW_NUMBER() OVER (PARTITION BY site_id, session_id, word ORDER BY occurred_at DESC, sku DESC, i) = 1)
+SELECT site_id, session_id, word, CAST(ROW_NUMBER() OVER (PARTITION BY site_id, session_id ORDER BY occurred_at DESC, sku DESC, i, word) AS INT) AS place FROM l QUALIFY place <= 8""")
 def session_affinity(spark, sf_dir):
-    return rules.session_affinity(shopper_events(spark, sf_dir), variants(spark, sf_dir).select("sku", "finish", "brand"))
+    return rules.session_affinity(shopper_events(spark, sf_dir), titled(variants(spark, sf_dir)), by=["site_id"])
+
+
+SCORE_SQL = f"CASE WHEN n < 2 OR starts_with(query_id, 'blue') THEN 0 ELSE (lower(finish) IN ('red', 'large'))::INT + ({SIZE_SQL} = '12 in')::INT + (brand = 'Brand#12')::INT END"
 
 
-@query(f"""WITH {RANKED_SQL}, {CARDS_SQL} SELECT query_id, card, sku, CAST((finish IN ('red', 'large'))::INT + (brand = 'Brand#12')::INT AS INT) AS score, CAST(ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY (finish IN ('red', 'large'))::INT + (brand = 'Brand#12')::INT DESC, card) AS INT) AS place
-FROM cards JOIN (SELECT sku, finish, brand FROM docs) d USING (sku) WHERE card <= 24""")
+@query(f"""WITH {RANKED_SQL}, {CARDS_SQL}, p AS (SELECT *, COUNT(*) OVER (PARTITION BY query_id) AS n FROM cards JOIN (SELECT sku, finish, size_in, brand FROM docs) d USING (sku) WHERE card <= 24)
+SELECT query_id, card, sku, CAST({SCORE_SQL} AS INT) AS score, CAST(ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY {SCORE_SQL} DESC, card) AS INT) AS place FROM p""")
 def personalise(spark, sf_dir):
-    page = search(spark, sf_dir).join(docs(spark, sf_dir).select("sku", "finish", "brand"), "sku")
-    return rules.personalise(page, F.array(F.lit("red"), F.lit("large"), F.lit("Brand#12"))).select("query_id", "card", "sku", "score", "place")
+    page = search(spark, sf_dir).join(titled(docs(spark, sf_dir)), "sku")
+    words = F.array(*[F.lit(w) for w in ("Red", " LARGE", "brand#12", "12 In")])
+    return rules.personalise(page, words, F.col("query_id").startswith("blue")).select("query_id", "card", "sku", "score", "place")
 
 
 def messy_queries(spark, sf_dir):

@@ -190,6 +190,12 @@ def query_totals(spark, sf_dir):
     return facets.query_totals(retrieve.match_terms(queries, index, expanded))
 
 
+@query(f"WITH {HITS_SQL}, t AS (SELECT query_id, COUNT(DISTINCT parent_id) AS total FROM hits GROUP BY 1) SELECT query_id, total, LEAST(total, 12) AS reachable, GREATEST(CAST(CEIL(LEAST(total, 12) / 5.0) AS BIGINT), 1) AS pages FROM t")
+def page_counts(spark, sf_dir):
+    totals = query_totals(spark, sf_dir).select("query_id", F.col("products").alias("total"))
+    return rank.page_counts(totals, 5, 12)
+
+
 SELECTED = {"finish": ["red", "blue"], "category_leaf": ["bolt", "gear", "widget"]}
 
 
@@ -295,9 +301,9 @@ def price_updates(spark, sf_dir):
 
 @query(f"""WITH {DOCS_SQL}, u AS (SELECT 'P' || l_partkey AS sku, arg_max(CASE WHEN l_returnflag = 'R' THEN ROUND(l_extendedprice / l_quantity * 0.9, 2) END, (l_shipdate, l_orderkey, l_linenumber)) AS p0,
   (list(CASE WHEN l_returnflag = 'R' THEN ROUND(l_extendedprice / l_quantity * 0.9, 2) END ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC))[1] AS p, (list(CAST(l_quantity AS BIGINT) ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC))[1] AS inv FROM lineitem GROUP BY 1)
-SELECT d.sku, COALESCE(u.p, d.price) AS price, COALESCE(u.inv, d.inventory) AS inventory, CASE WHEN d.sale_price > 0 THEN d.sale_price ELSE COALESCE(u.p, d.price) END AS effective_price, COALESCE(u.inv, d.inventory) > 0 AS in_stock FROM docs d LEFT JOIN u USING (sku)""")
+SELECT d.sku, COALESCE(u.p, d.price) AS price, COALESCE(u.inv, d.inventory) AS inventory, CASE WHEN d.sale_price > 0 THEN d.sale_price ELSE COALESCE(u.p, d.price) END AS effective_price, COALESCE(u.inv, d.inventory) > 0 AS in_stock, d.discount_pct FROM docs d LEFT JOIN u USING (sku)""")
 def apply_price_deltas(spark, sf_dir):
-    return catalogue.apply_price_deltas(docs(spark, sf_dir), price_updates(spark, sf_dir)).select("sku", "price", "inventory", "effective_price", "in_stock")
+    return catalogue.apply_price_deltas(docs(spark, sf_dir), price_updates(spark, sf_dir)).select("sku", "price", "inventory", "effective_price", "in_stock", "discount_pct")
 
 
 @query(f"WITH {DOCS_SQL} SELECT sku, title FROM docs WHERE inventory > 0 UNION ALL SELECT sku, upper(title) FROM docs WHERE inventory = 0")

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from shopstream.operators import events, history, rollup, rules, selectors
 from shopstream.sources import feed
@@ -29,6 +31,55 @@ def test_a_pattern_that_does_not_compile_matches_nothing(spark):
     assert [r.target for r in rules.match_redirects(log, table).collect()] == ["/oak"]
 
 
+def test_rules_meet_queries_as_if_each_pair_was_compared(spark):
+    """Against a loop over all pairs: short and long patterns, gaps, repeats, empty and null ones, two sites."""
+    words = ["oak", "oak beam", "white oak beams", "beam", "b", "", None, "oakoak", "a b a b a", "long beam of very white oak wood", "Öl 4x4", "x"]
+    log = spark.createDataFrame([(s, w) for s in ("m", "t") for w in words + words[:3]], "site_id string, query string")
+    patterns = ["oak", "oak beam", "b", "", "ak b", "very white oak", "long beam of very white oak w", "a b", "4x", "none", None, "m"]
+    redirects = [(s, i, k, p, f"/{i}", i * 7 % 5, i % 6 != 5) for s, off in (("m", 0), ("t", 1)) for i, (p, k) in enumerate((p, k) for p in patterns[off:] for k in ("exact", "starts_with", "contains", "regex"))]
+    table = spark.createDataFrame(redirects, "site_id string, rule_id int, kind string, pattern string, target string, priority int, enabled boolean")
+    got = {(r.site_id, r.query): r.target for r in rules.match_redirects(log, table, ["site_id"]).collect()}
+    plain = lambda x: " ".join("".join(c if c.isalnum() else " " for c in x.lower().replace("ö", "o")).split())
+    wanted = {}
+    for s in ("m", "t"):
+        for w in filter(None, words):
+            q = plain(w)
+            holds = {"exact": lambda p, q=q: q == plain(p), "starts_with": lambda p, q=q: q.startswith(plain(p)), "contains": lambda p, q=q: plain(p) in q, "regex": lambda p, q=q: re.search(p, q) is not None}
+            fit = [(-pr, i, t) for site, i, k, p, t, pr, on in redirects if site == s and on and p is not None and holds[k](p)]
+            if fit:
+                wanted[s, w] = min(fit)[2]
+    assert got == wanted and len(got) > 10
+
+    kinds = ("exact", "phrase", "contains")
+    triggers = [(s, i, k, p, i * 5 % 3) for s, off in (("m", 0), ("t", 1)) for i, (p, k) in enumerate((p, k) for p in patterns[off:] for k in kinds)]
+    table = spark.createDataFrame(triggers, "site_id string, rule_id int, match string, trigger string, priority int")
+    got = {(r.site_id, r.query): r.rule_id for r in rules.match_query_rules(log, table, ["site_id"]).collect()}
+    wanted = {}
+    for s in ("m", "t"):
+        for w in filter(None, words):
+            q = plain(w)
+            holds = {"exact": lambda p, q=q: q == p, "phrase": lambda p, q=q: f" {p} " in f" {q} ", "contains": lambda p, q=q: p in q}
+            fit = [(-pr, kinds.index(k), -len(p), i) for site, i, k, p, pr in triggers if site == s and p and holds[k](p)]
+            if fit:
+                wanted[s, w] = min(fit)[3]
+    assert got == wanted
+    assert "NestedLoop" not in rules.match_query_rules(log, table, ["site_id"])._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rules_without_sites_and_empty_tables(spark):
+    log = spark.createDataFrame([("oak",), ("elm",)], "query string")
+    table = spark.createDataFrame([(1, "contains", "", "/all", 0, True), (2, "contains", "oa", "/oak", 0, True), (3, "starts_with", "o", "/o", 2, True)], "rule_id int, kind string, pattern string, target string, priority int, enabled boolean")
+    assert {(r.query, r.target) for r in rules.match_redirects(log, table).collect()} == {("oak", "/o"), ("elm", "/all")}
+    assert rules.match_redirects(log.limit(0), table).count() == 0 and rules.match_redirects(log, table.limit(0)).count() == 0
+
+
+def test_a_page_is_tilted_only_without_rule_and_beyond_one_card(spark):
+    hits = spark.createDataFrame([("q", 1, "White / PVC", "A"), ("q", 2, "BLACK / pvc ", "acme"), ("q", 3, None, None), ("r", 1, "White", "A"), ("r", 2, "Black", "A"), ("s", 1, "Black", "A")], "query_id string, card int, variant_title string, brand string")
+    out = rules.personalise(hits, F.array(F.lit(" black"), F.lit("Acme"), F.lit("")), F.col("query_id") == "r").collect()
+    assert sorted((r.query_id, r.place, r.card, r.score) for r in out) == [("q", 1, 2, 2), ("q", 2, 1, 0), ("q", 3, 3, 0), ("r", 1, 1, 0), ("r", 2, 2, 0), ("s", 1, 1, 0)]
+    assert {r.place for r in rules.personalise(hits, F.lit(None).cast("array<string>")).where("query_id = 'q'").collect()} == {1, 2, 3}
+
+
 def test_synonyms_take_the_longest_phrase_once(spark):
     log = spark.createDataFrame([(1, ["oak", "beams", "red"]), (2, []), (3, ["red"])], "query_id int, terms array<string>")
     table = spark.createDataFrame([(1, "oak beam", ["timber"]), (2, "beam", ["joist"]), (3, "red", ["crimson", "red"])], "rule_id int, trigger string, alternatives array<string>")

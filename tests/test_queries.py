@@ -13,6 +13,7 @@ QUICK = [
     "rollup_query_day", "attribute_revenue", "rollup_product_day", "overview", "trending", "term_insights", "product_ctr", "assign_arms", "experiment_results", "bought_together", "audit_diff",
     "build_postings", "fuzzy_terms", "match_terms", "business_score", "facet_counts", "sort_facet_values", "apply_price_deltas", "map_feed", "fill_blanks", "compile_selector", "apply_labels", "expand_synonyms", "analyse_queries", "lift_entities", "autocomplete", "rescue",
     "exclude_skus", "filter_to_candidates", "absent_pins", "load_label_plan", "category_position_order", "preview_selector", "union_cases", "build_facets", "similar", "labelled_pairs", "deleted_count",
+    "match_redirects", "match_query_rules", "rule_of_request", "session_affinity", "personalise", "newest_changes", "viewed_beside", "page_counts",
 ]
 
 
