@@ -1,6 +1,6 @@
 """Operator 4, language ID with error-correcting output codes.
 
-Each language has a codeword of `n_bits` signs, far apart from the others. For every bit one logistic
+Each language has a codeword of signs, far apart from the others; their number grows with that of the languages. For every bit one logistic
 classifier over hashed byte n-grams predicts the sign. A text is given the language whose codeword has
 the smallest loss against the predicted bits, each bit weighted by how well it was learned; where the
 second language is nearly as close, the text is flagged as ambiguous.
@@ -8,6 +8,7 @@ second language is nearly as close, the text is flagged as ambiguous.
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,6 +24,10 @@ ORDERS = (1, 2, 3)
 LETTER = regex.compile(r"\p{L}")
 #: Rows learned from for each language, at most about so many.
 ROWS_PER_LANGUAGE = 500
+#: Rows learned from in all, which bounds the matrix on the driver: with more languages each has fewer, but at least LEAST_ROWS.
+ROWS_IN_ALL, LEAST_ROWS = 16_384, 8
+#: Fewest bits of a codeword.
+LEAST_BITS = 15
 
 
 @dataclass
@@ -35,11 +40,16 @@ class LanguageModel:
     log2: int
 
 
+def bits_for(n: int) -> int:
+    """Bits of the codewords of n languages: six for each doubling, so that random words stay far enough apart to mend wrong bits."""
+    return max(LEAST_BITS, 6 * (n - 1).bit_length())
+
+
 def codewords(n: int, n_bits: int, seed: int = 7) -> np.ndarray:
     """n codewords of signs with a large least distance, by the best of many seeded draws. No bit is the same for all."""
     rng = np.random.default_rng(seed)
     best, apart = None, -1
-    for _ in range(300):
+    for _ in range(300 if n <= 64 else 20):
         codes = rng.choice(np.array([-1, 1]), size=(n, n_bits))
         if n > 1:
             constant = np.abs(codes.sum(0)) == n
@@ -50,17 +60,23 @@ def codewords(n: int, n_bits: int, seed: int = 7) -> np.ndarray:
     return best
 
 
-def fit_language_model(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", n_bits: int = 15, log2: int = 13, rows_per_language: int = ROWS_PER_LANGUAGE, steps: int = 80) -> LanguageModel | None:
-    """Learns from rows that are not held out and have a language and a text; None if there are none."""
-    x, names = sample_matrix(learning_sample(docs, None, lang_col, rows_per_language, id_col, text_col), log2, ORDERS)
+def fit_language_model(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", n_bits: int | None = None, log2: int = 13, rows_per_language: int = ROWS_PER_LANGUAGE, steps: int = 80) -> LanguageModel | None:
+    """Learns from rows that are not held out and have a language and a text; None if there are none.
+
+    Bits follow the number of languages (bits_for) unless given. Of each language about rows_per_language rows are
+    learned from, fewer where there are so many languages that ROWS_IN_ALL would be exceeded.
+    """
+    x, names = sample_matrix(learning_sample(docs, None, lang_col, rows_per_language, id_col, text_col, ROWS_IN_ALL, LEAST_ROWS), log2, ORDERS)
     kept = x.sum(1) > 0
     x, names = x[kept], [k for k, ok in zip(names, kept, strict=True) if ok]
     if not names:
         return None
     languages = sorted(set(names))
+    n_bits = n_bits or bits_for(len(languages))
     codes = codewords(len(languages), n_bits)
-    signs = codes[[languages.index(k) for k in names]].astype(np.float32)
-    share = np.array([1 / names.count(k) for k in names], np.float32)[:, None] / len(languages)
+    place, count = {k: i for i, k in enumerate(languages)}, Counter(names)
+    signs = codes[[place[k] for k in names]].astype(np.float32)
+    share = np.array([1 / count[k] for k in names], np.float32)[:, None] / len(languages)
     x /= x.sum(1, keepdims=True)
     scale = 1 / np.sqrt(x.mean(0) + 1e-6)
     x *= scale
@@ -88,6 +104,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, keep: list[str], text
 
     def make():
         m = shared.value
+        plus = None if m is None else (m.codes.T > 0).astype(float)  # a bit of +1 costs softplus(-x), one of -1 softplus(x)
 
         def work(column: pa.Array) -> list[pa.Array]:
             n = len(column)
@@ -99,7 +116,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, keep: list[str], text
                 rows = np.arange(first, first + len(block))
                 block /= np.maximum(block.sum(1, keepdims=True), 1)
                 bits = np.clip(block @ m.weights + m.bias, -30, 30)
-                loss = np.logaddexp(0, -bits[:, None, :] * m.codes[None]) @ m.trust
+                loss = (np.logaddexp(0, -bits) * m.trust) @ plus + (np.logaddexp(0, bits) * m.trust) @ (1 - plus)
                 ranked = np.sort(loss, 1)
                 chance = np.exp(-len(m.trust) * (loss - ranked[:, :1]))
                 chance /= chance.sum(1, keepdims=True)

@@ -60,12 +60,12 @@ def histograms(column: pa.Array, log2: int, orders: tuple[int, ...], with_words:
             yield lo + first, out
 
 
-#: Different labels that a model is fitted for at most: its size on the driver grows with them.
-MOST_LABELS = 1024
+#: Different labels that a model is fitted for at most, all of which are counted on the driver.
+MOST_LABELS = 2048
 
 
-def learning_sample(docs: DataFrame, labels: DataFrame | None, label: str, rows_per_label: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(text, label): about rows_per_label rows of each label (the bound on what is learned from), none of them held out.
+def learning_sample(docs: DataFrame, labels: DataFrame | None, label: str, rows_per_label: int, id_col: str = "doc_id", text_col: str = "text", rows_in_all: int | None = None, least_rows: int = 8) -> DataFrame:
+    """(text, label): about rows_per_label rows of each label (the bound on what is learned from), none of them held out. Where there are more labels than rows_in_all has room for, each gets an equal part of rows_in_all, but least_rows at least.
 
     Rows are chosen by a hash of the identifier, at a rate for each label, so that no label is sorted or
     gathered. `labels` is joined by identifier; without it the label is a column of docs. Rows with a
@@ -81,6 +81,8 @@ def learning_sample(docs: DataFrame, labels: DataFrame | None, label: str, rows_
         raise ValueError(f"more than {MOST_LABELS} different labels")
     if not counts:
         return docs.select(F.col(text_col).alias("text"), F.lit(None).cast(labelled.schema["label"].dataType).alias("label")).limit(0)
+    if rows_in_all:
+        rows_per_label = min(rows_per_label, max(least_rows, rows_in_all // len(counts)))
     rate = F.create_map(*[x for r in counts for x in (F.lit(r["label"]), F.lit(min(1.0, rows_per_label / r["count"])))])
     chosen = labelled.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(1_000_003)) < F.element_at(rate, F.col("label")) * 1_000_003)
     if labels is not None:  # at most about rows_per_label identifiers for each label: small enough to send to the texts

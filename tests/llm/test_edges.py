@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,3 +85,26 @@ def test_packing_of_odd_texts_is_whole(docs):
     whole = rows[rows.doc_id == 5].sort_values("start")
     assert (whole.start.values[1:] == (whole.start + whole.length).values[:-1]).all() and whole.length.sum() == whole.doc_tokens.iloc[0]
     assert rows.groupby("sequence_id").length.sum().max() <= 64
+
+
+def test_codewords_stay_apart_however_many_languages():
+    for n in (2, 4, 20, 50, 170, 1024, 2048):
+        codes = language_id.codewords(n, language_id.bits_for(n))
+        gram = codes @ codes.T - codes.shape[1] * np.eye(n, dtype=int) * 2  # the diagonal far below
+        assert (codes.shape[1] - gram.max()) // 2 >= 5, n
+
+
+def test_many_languages_are_told_apart(spark):
+    """80 made languages of their own syllables, more than 15 bits can keep apart."""
+    rng = np.random.default_rng(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = []
+    for k in range(80):
+        syllables = ["".join(rng.choice(list(letters), 3)) for _ in range(12)]
+        rows += [(k * 20 + i, " ".join(rng.choice(syllables, 40)), f"l{k:02}") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit_language_model(docs)
+    assert model.codes.shape == (80, 42)
+    found = language_id.identify(docs, model, ["doc_id", "lang"]).select("row.*", "lang_pred")
+    held = found.where("pmod(crc32(cast(doc_id as string)), 4) = 2").collect()
+    assert len(held) > 300 and sum(r.lang == r.lang_pred for r in held) > 0.95 * len(held)
