@@ -206,7 +206,7 @@ def suggest_corrections(terms: DataFrame, vocabulary: DataFrame, by: list[str] |
     unknown = terms.select(*by, "term").distinct().join(vocabulary.select(*by, F.col("token").alias("term")), [*by, "term"], "left_anti").withColumn("budget", typo_budget(F.col("term"))).where("budget > 0")
     wanted = unknown.select(*by, "term", "budget", F.explode(grams(F.col("term"))).alias("gram"))
     known = vocabulary.select(*by, "token").distinct().select(*by, "token", F.explode(grams(F.col("token"))).alias("gram"))
-    near = wanted.join(known, [*by, "gram"]).where(F.abs(F.length("term") - F.length("token")) <= F.col("budget")).select(*by, "term", "budget", "token").distinct()
+    near = wanted.join(known.hint("merge"), [*by, "gram"]).where(F.abs(F.length("term") - F.length("token")) <= F.col("budget")).select(*by, "term", "budget", "token").distinct()
     near = near.withColumn("distance", edit_distance(F.col("term"), F.col("token"), 2)).where("distance <= budget")
     rank = F.row_number().over(W.partitionBy(*by, "term").orderBy("distance", F.length("token"), "token"))
     return near.withColumn("n", rank).where("n = 1").select(*by, "term", F.col("token").alias("correction"), "distance")
