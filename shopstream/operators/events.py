@@ -33,8 +33,10 @@ def validate_events(events: DataFrame) -> tuple[DataFrame, DataFrame]:
 def sessionise(events: DataFrame, user: str, ts: str, gap_minutes: int = 30) -> DataFrame:
     """events with session_no: per user from 1, a new one after a pause of more than gap_minutes. Events with one time belong together."""
     order = W.partitionBy(user).orderBy(ts)
-    idle = F.unix_timestamp(F.col(ts).cast("timestamp")) - F.unix_timestamp(F.lag(ts).over(order).cast("timestamp"))
-    fresh = F.when(idle.isNull() | (idle > gap_minutes * 60), 1).otherwise(0)
+    # To the microsecond: whole seconds would make a pause of 30:00.5 one of 30:00 or 30:01.
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    idle = at - F.lag(at).over(order)
+    fresh = F.when(idle.isNull() | (idle > gap_minutes * 60 * 10**6), 1).otherwise(0)
     return events.withColumn("__new", fresh).withColumn("session_no", F.sum("__new").over(order.rangeBetween(W.unboundedPreceding, 0))).drop("__new")
 
 
