@@ -103,8 +103,9 @@ def unit_values(products: DataFrame) -> DataFrame:
     lists = [F.transform(some(c), partial(pair, c)) for c in products.columns if c in ARRAYS]
     inner = products.schema["variants"].dataType.elementType.fieldNames()
     of_variants = F.flatten(F.transform("variants", lambda v: F.array(*[pair(f"variant.{name}", v[name]) for name in inner], pair("variant.effectivePrice", effective_price(v["price"], v["sale_price"])))))
-    values = F.array_distinct(F.concat(single, *lists, of_variants))
-    return rows.select("site_id", "parent_id", "sku", F.explode(values).alias("v")).select("site_id", "parent_id", "sku", "v.field", F.lower(F.trim("v.text")).alias("text"))
+    # Made distinct by a shuffle: array_distinct compares each pair of a product's values, and products have thousands of variants.
+    rows = rows.select("site_id", "parent_id", "sku", F.explode(F.concat(single, *lists, of_variants)).alias("v"))
+    return rows.select("site_id", "parent_id", "sku", "v.field", F.lower(F.trim("v.text")).alias("text")).distinct()
 
 
 def holds(c: str = "c") -> Column:
@@ -147,20 +148,30 @@ def apply_label_rules(products: DataFrame, rules: DataFrame, plan: DataFrame) ->
     selects nothing; rules of one site do not touch another.
     """
     compiled = stored(compiled_rules(rules), "label_rules")
-    units = stored(unit_values(products), "unit_values").withColumn("key", F.coalesce("text", F.lit(NULL)))
     conditions = compiled.select("site_id", "label", F.explode("conditions").alias("c"))
+    read = unit_values(products).join(conditions.select("site_id", F.col("c.field").alias("field")).distinct(), ["site_id", "field"], "left_semi")
+    units = stored(read, "unit_values").withColumn("key", F.coalesce("text", F.lit(NULL)))
     values = units.select("site_id", "field", "text", "key").distinct()
     equal = conditions.where(F.col("c.op").isin("equals", "in")).select("site_id", "label", F.col("c.id").alias("id"), F.col("c.field").alias("field"), F.explode("c.texts").alias("key")).distinct()
     other = conditions.where(~F.col("c.op").isin("equals", "in")).withColumn("field", F.col("c.field")).join(values, ["site_id", "field"]).where(holds()).select("site_id", "label", F.col("c.id").alias("id"), "field", "key")
-    true = units.join(equal.unionByName(other), ["site_id", "field", "key"]).groupBy("site_id", "label", "parent_id", "sku").agg(F.collect_set("id").alias("true"))  # a rule's conditions
-    # Rules that hold where nothing is true are asked for each product; the others only where a condition holds.
-    everywhere = compiled.where("vacuous").select("site_id", "label").join(units.select("site_id", "parent_id", "sku").distinct(), "site_id")
-    asked = true.unionByName(everywhere.withColumn("true", F.array().cast("array<int>"))).groupBy("site_id", "label", "parent_id", "sku").agg(F.flatten(F.collect_list("true")).alias("true"))
-    found = asked.join(compiled.select("site_id", "label", "program", "by_variant"), ["site_id", "label"]).where(program_result(F.col("program"), F.col("true"))).select("site_id", "label", "parent_id", "sku", "by_variant")
-    found = stored(found, "label_hits")
+    holding = stored(equal.unionByName(other), "holding")
+    # Units with the same values that any condition holds for are alike to all rules: rules are asked once for each such kind.
+    known = holding.select("site_id", "field", "key").distinct()
+    values = F.sort_array(F.collect_set(F.struct("field", "key"))).alias("values")  # of a unit, what conditions hold for
+    valued = units.join(known, ["site_id", "field", "key"]).groupBy("site_id", "parent_id", "sku").agg(values)
+    bare = products.select("site_id", "parent_id", F.explode(F.concat(F.array(F.lit(None).cast("string")), "variants.sku")).alias("sku"))
+    valued = valued.unionByName(bare.withColumn("values", F.array().cast(valued.schema["values"].dataType))).groupBy("site_id", "parent_id", "sku").agg(F.flatten(F.collect_list("values")).alias("values"))
+    valued = stored(valued.withColumn("kind", F.sha2(F.to_json("values"), 256)), "unit_kinds")
+    kinds = stored(valued.groupBy("site_id", "kind").agg(F.first("values").alias("values")), "label_kinds")
+    true = kinds.select("site_id", "kind", F.explode("values").alias("v")).select("site_id", "kind", "v.*").join(holding, ["site_id", "field", "key"]).groupBy("site_id", "label", "kind").agg(F.collect_set("id").alias("true"))  # a rule's conditions
+    # Rules that hold where nothing is true are asked for each kind; the others only where a condition holds.
+    everywhere = compiled.where("vacuous").select("site_id", "label").join(kinds.select("site_id", "kind"), "site_id")
+    asked = true.unionByName(everywhere.withColumn("true", F.array().cast("array<int>"))).groupBy("site_id", "label", "kind").agg(F.flatten(F.collect_list("true")).alias("true"))
+    labelled = asked.join(compiled.select("site_id", "label", "program", "by_variant"), ["site_id", "label"]).where(program_result(F.col("program"), F.col("true"))).select("site_id", "label", "kind", "by_variant")
+    found = stored(valued.select("site_id", "kind", "parent_id", "sku").hint("merge").join(labelled, ["site_id", "kind"]).drop("kind"), "label_hits")
     whole = found.where("sku is null").drop("sku")
     alone = found.where("sku is not null and by_variant").select("site_id", "label", "parent_id", "sku")
-    by_one = whole.where("by_variant").join(alone, ["site_id", "label", "parent_id"]).select("site_id", "label", "parent_id", "sku")
+    by_one = whole.where("by_variant").join(alone.hint("merge"), ["site_id", "label", "parent_id"]).select("site_id", "label", "parent_id", "sku")
     skus = products.select("site_id", "parent_id", F.explode("variants.sku").alias("sku"))
     by_all = whole.join(by_one.select("site_id", "label", "parent_id").distinct(), ["site_id", "label", "parent_id"], "left_anti").select("site_id", "label", "parent_id")
     chosen = plan.where("mode = 'include'").select("site_id", "label", "parent_id").unionByName(by_all).distinct()
