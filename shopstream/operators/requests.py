@@ -18,7 +18,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.store import stored
 from .entities import with_constraints
-from .retrieve import TOKENS, WEIGHTS, expansions, prefix_terms
+from .retrieve import PARTS, TOKENS, WEIGHTS, expansions, prefix_terms
 from .rules import absent_pins, apply_query_rule, expand_synonyms
 
 #: Parents that are ranked, rows of them, siblings on a card.
@@ -189,8 +189,12 @@ def found_documents(plans: DataFrame, index: DataFrame, sizes: DataFrame, facets
     starts = starting_lists(plans, sizes, facets)
     keys = F.concat(F.transform("words", lambda w: F.struct(F.lit(True).alias("word"), w.alias("key"))), F.transform("tags", lambda t: F.struct(F.lit(False).alias("word"), t.alias("key"))))
     postings = index.select("site_id", "sku", F.explode(keys).alias("k")).select("site_id", "sku", "k.word", "k.key")
-    candidates = starts.join(postings, ["site_id", "word", "key"]).select("query_id", "site_id", "sku").distinct()
-    rows = candidates.join(plans.select("query_id", "groups", "surfaces", "ranges", "dimensions", F.col("sku").alias("part"), "sort"), "query_id").join(index, ["site_id", "sku"])
+    # Stored files are far smaller than their rows: what grows with the documents is merged and not sent through the driver. Plans meet a candidate last, so they are not shuffled with each.
+    slot = F.pmod(F.xxhash64("sku"), F.lit(PARTS)).cast("int")
+    starts = starts.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    candidates = starts.join(postings.withColumn("slot", slot).hint("merge"), ["site_id", "word", "key", "slot"]).select("query_id", "site_id", "sku").distinct()
+    rows = candidates.join(index.hint("merge"), ["site_id", "sku"]).withColumnRenamed("sku", "doc_sku")
+    rows = rows.join(plans.select("query_id", "groups", "surfaces", "ranges", "dimensions", F.col("sku").alias("part"), "sort"), "query_id").withColumnRenamed("doc_sku", "sku")
     misses = F.filter("groups", lambda g: ~F.when(g["word"], F.arrays_overlap(g["keys"], F.col("words"))).otherwise(F.arrays_overlap(g["keys"], F.col("tags"))))
     rows = rows.withColumn("misses", misses).where((F.size("misses") == 0) | ((F.size("misses") == 1) & F.get("misses", 0)["own"]))
     number = lambda field: F.when(field == "price", F.col("effective_price")).when(field == "discount_pct", F.col("discount_pct")).otherwise(F.try_element_at(F.col("lengths"), field))
@@ -257,7 +261,7 @@ def ranked_cards(found: DataFrame, parents: DataFrame, plans: DataFrame) -> Data
     """(query_id, card, parent_id, sku, siblings, matching): the ranked products of each request (W1-W3): its WINDOW best parents, ROWS rows of them; by the cascade, or by the sort where one is asked for; a card stands where its best variant does and carries up to SIBLINGS more."""
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("best"), "parent_id"))
     window = parents.where("variants > 0").withColumn("place", place).where(F.col("place") <= WINDOW).select("query_id", "parent_id", "place", "variants")
-    rows = found.where("missed is null").join(window, ["query_id", "parent_id"])
+    rows = found.where("missed is null").hint("merge").join(window, ["query_id", "parent_id"])
     rows = rows.withColumn("n", F.row_number().over(W.partitionBy("query_id").orderBy("place", F.desc("value"), "sku"))).where(F.col("n") <= ROWS)
     rows = rows.join(plans.select("query_id", F.col("sort").alias("asked")), "query_id").select("query_id", "parent_id", "sku", "asked", "place", "variants", "value", "business", "n", "score.*", F.col("score.retrieval").alias("r"))
     relevance = lambda c: F.when(F.col("asked") == "relevance", c)
@@ -311,9 +315,11 @@ def impacts(index: DataFrame) -> DataFrame:
 def bm25_scores(found: DataFrame, plans: DataFrame, stored_impacts: DataFrame) -> DataFrame:
     """(query_id, sku, bm25): the sum of the impacts of all words of a plan's terms in the documents found for it. Words of several terms count once for each."""
     words = plans.select("query_id", "site_id", F.explode("surfaces").alias("s")).select("query_id", "site_id", F.explode("s.words").alias("w"))
-    rows = words.select("query_id", "site_id", "w.token").join(stored_impacts, ["site_id", "token"])
+    slot = F.pmod(F.xxhash64("sku"), F.lit(PARTS)).cast("int")
+    words = words.select("query_id", "site_id", "w.token").withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    rows = words.join(stored_impacts.withColumn("slot", slot).hint("merge"), ["site_id", "token", "slot"])
     hits = found.where("missed is null").select("query_id", "sku")
-    return rows.join(hits, ["query_id", "sku"], "left_semi").groupBy("query_id", "sku").agg(F.sum("impact").alias("bm25"))
+    return rows.join(hits.hint("merge"), ["query_id", "sku"], "left_semi").groupBy("query_id", "sku").agg(F.sum("impact").alias("bm25"))
 
 
 # Rescue of requests that find nothing (R8) -------------------------------------------------------------
