@@ -134,7 +134,7 @@ def starting_lists(plans: DataFrame, sizes: DataFrame, facets: bool) -> DataFram
     groups = F.when(F.size("groups") == 0, every).when(lonely, F.concat("groups", every)).otherwise(F.col("groups"))
     rows = plans.select("query_id", "site_id", F.posexplode(groups).alias("i", "g"))
     keys = rows.select("query_id", "site_id", "i", F.col("g.own").alias("own"), F.col("g.word").alias("word"), F.explode(F.array_distinct("g.keys")).alias("key"))
-    counted = keys.join(sizes, ["site_id", "word", "key"], "left").groupBy("query_id", "i", "own").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
+    counted = keys.join(sizes.hint("merge"), ["site_id", "word", "key"], "left").groupBy("query_id", "i", "own").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
     w = W.partitionBy("query_id").orderBy("n", "i")
     counted = counted.withColumns({"place": F.row_number().over(w), "both": F.sum("n").over(w.rowsBetween(W.unboundedPreceding, 0)), "fixed": F.min(F.when(~F.col("own"), F.struct("n", "i"))).over(W.partitionBy("query_id"))})
     if facets:
@@ -307,7 +307,7 @@ def impacts(index: DataFrame) -> DataFrame:
     sites = rows.groupBy("site_id").agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
     places = rows.select("site_id", "sku", "length", F.explode("tokens").alias("t")).groupBy("site_id", "sku", "length", "t.token").agg(F.sum("t.weight").alias("f"))
     holding = places.groupBy("site_id", "token").agg(F.count("*").alias("n"))
-    rows = places.join(holding, ["site_id", "token"]).join(F.broadcast(sites), "site_id")  # one row for each site
+    rows = places.hint("merge").join(holding, ["site_id", "token"]).join(F.broadcast(sites), "site_id")  # one row for each site
     idf = F.greatest(F.log((F.col("docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6))
     return rows.select("site_id", "token", "sku", (idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("length") / F.col("mean")))).alias("impact"))
 

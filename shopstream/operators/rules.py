@@ -205,4 +205,4 @@ def absent_pins(pins: DataFrame, hits: DataFrame, docs: DataFrame, ordinal: str
     by = by or []
     absent = pins.select("query_id", *by, "parent_id").distinct().join(hits.select("query_id", "parent_id"), ["query_id", "parent_id"], "left_anti")
     first = docs.join(absent.select(*by, "parent_id"), [*by, "parent_id"], "left_semi").groupBy(*by, "parent_id").agg(F.min_by("sku", ordinal).alias("sku"))
-    return absent.join(first, [*by, "parent_id"]).select("query_id", "parent_id", "sku")
+    return absent.join(first.hint("merge"), [*by, "parent_id"]).select("query_id", "parent_id", "sku")
