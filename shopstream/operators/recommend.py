@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .retrieve import PARTS
+
 
 def similar_requests(anchors: DataFrame, extra: list[str], words: int = 6) -> DataFrame:
     """(site_id, anchor, query_id, terms, category_id): a request for each anchor (C1), of the first words of its title and the values of the columns `extra` (style, material), inside its deepest category. Anchors that ask the same have the same query_id. anchors: (site_id, parent_id, title, category_ids, extra); those without a word or a category ask nothing."""
@@ -18,7 +20,10 @@ def similar_requests(anchors: DataFrame, extra: list[str], words: int = 6) -> Da
 
 def similar(requests: DataFrame, cards: DataFrame, limit: int = 8, spare: int = 4) -> DataFrame:
     """(site_id, anchor, parent_id, rank): what each anchor's request found, without the anchor itself. cards: (query_id, parent_id, card) of the distinct requests, of which limit + spare are looked at, so rows grow with the anchors and not with their pairs."""
-    found = requests.select("site_id", "anchor", "query_id").distinct().join(cards.where(F.col("card") <= limit + spare).select("query_id", "parent_id", "card"), "query_id").where("anchor <> parent_id")
+    asked = requests.select("site_id", "anchor", "query_id").distinct().withColumn("part", F.pmod(F.xxhash64("anchor"), F.lit(PARTS)).cast("int"))
+    shown = cards.where(F.col("card") <= limit + spare).select("query_id", "parent_id", "card", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    # anchors are many and a request may be asked by many of them: they are merged in parts, not sent through the driver
+    found = asked.hint("merge").join(shown, ["query_id", "part"]).drop("part").where("anchor <> parent_id")
     rank = F.row_number().over(W.partitionBy("site_id", "anchor").orderBy("card"))
     return found.withColumn("rank", rank).where(F.col("rank") <= limit).select("site_id", "anchor", "parent_id", "rank")
 
