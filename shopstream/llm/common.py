@@ -86,26 +86,42 @@ def salted_join(rows: DataFrame, groups: DataFrame, key: str, how: str = "inner"
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, label): for each end of an edge the smallest id that it reaches.
 
-    Minimum labels over the edges and pointer jumping, as joins; each round is written to the shared
-    folder, so the lineage stays short and no links or components go to the driver.
+    In each round every id points to its smallest neighbour or to itself, pointers are followed to their
+    ends, and edges are drawn between these: edges within a part are gone, and at most half of the parts
+    that still have edges are left. So the joins of all rounds grow with the edges, in groups of any size.
+    Each round is written to the shared folder, so the lineage stays short and no links or components go
+    to the driver.
     """
-    both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x <> y")
-    both = stored(both.union(both.select("y", "x")).distinct(), "edges")
-    labels = held = stored(both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("id"), F.least("x", "m").alias("label")), "labels")
+    left = stored(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct(), "edges")
+    labels = None
     while True:
-        near = both.join(labels.select(F.col("id").alias("y"), "label"), "y").groupBy("x").agg(F.min("label").alias("near"))
-        step = labels.join(near.withColumnRenamed("x", "id"), "id", "left").select("id", "label", F.least("label", "near").alias("next"))
-        jump = labels.select(F.col("id").alias("next"), F.col("label").alias("beyond"))
-        step = step.join(jump, "next", "left").select("id", "label", F.least("next", "beyond").alias("next"))
-        step = stored(step, "labels")
-        dropped(held)
-        moved = step.where("next < label").limit(1).count()
-        labels, held = step.select("id", F.col("next").alias("label")), step
-        if not moved:
-            dropped(both)
+        ends = left.union(left.select("b", "a"))
+        roots = stored(ends.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")), "roots")
+        while True:
+            beyond = roots.select(F.col("id").alias("label"), F.col("label").alias("next"))
+            ahead = stored(roots.join(beyond, "label").select("id", F.col("next").alias("label"), (F.col("next") < F.col("label")).alias("moved")), "roots")
+            dropped(roots)
+            roots = ahead.select("id", "label")
+            if not ahead.where("moved").limit(1).count():
+                break
+        held = labels
+        labels = roots if held is None else stored(relabelled(held, roots), "labels")
+        of = lambda end: roots.select(F.col("id").alias(end), F.col("label").alias(f"{end}_root"))  # noqa: E731, B023
+        between = left.join(of("a"), "a").join(of("b"), "b").where("a_root <> b_root")
+        rest = stored(between.select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b")).distinct(), "edges")
+        dropped(left, *([] if held is None else [held, roots]))
+        left = rest
+        if not left.limit(1).count():
+            dropped(left)
             return labels
 
 
+def relabelled(labels: DataFrame, roots: DataFrame) -> DataFrame:
+    """labels (id, label) whose labels are followed to those that roots (id, label) has for them; what it does not name stays."""
+    beyond = roots.select(F.col("id").alias("label"), F.col("label").alias("next"))
+    return labels.join(beyond, "label", "left").select("id", F.coalesce("next", "label").alias("label"))
+
+
 def text_map(docs: DataFrame, text_col: str, keep: list[str], make, returns: str) -> DataFrame:
     """Rows of docs as a struct `row` of the columns `keep`, and beside it the columns `returns` that a function of the texts gives.
 

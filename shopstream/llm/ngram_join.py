@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected, docs_of, dropped, id_cells, in_cells, salted_join, stored
+from .common import connected, docs_of, dropped, id_cells, in_cells, relabelled, salted_join, stored
 from .textvec import NON_SPACE, mix, release, shingles, slices, words
 
 PARTS = 256
@@ -336,16 +336,24 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     links = stored(_linked(pairs, wanted, tokens, percent), "links")
     labels = connected(links)
-    crossing = _crossing(combined, wanted, labels, percent)
+    crossing = _crossing(combined, wanted, labels, tokens, percent)
     crossing = stored(crossing.join(pairs, ["a", "b"], "left_anti"), "crossing")
     if crossing.limit(1).count():
-        links = links.union(_linked(crossing, wanted, tokens, percent))
-        labels = connected(links)
+        more = _linked(crossing, wanted, tokens, percent)
+        labels = with_links(labels, more)
     dropped(combined, pairs, wanted, tokens)
     members = sets.join(reps.select("digest", "rep"), "digest", "left").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     return members.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("label", "rep", "doc_id").alias("component_id"))
 
 
+def with_links(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (id, label) of components after more links (a, b), which join these up: only the new links are gone through. An end that has no label yet is a component of its own."""
+    known = stored(labels.union(links.select("a", "a").union(links.select("b", "b")).toDF("id", "label").join(labels, "id", "left_anti").distinct()), "labels")
+    of = lambda end: known.select(F.col("id").alias(end), F.col("label").alias(f"{end}_label"))
+    between = links.join(of("a"), "a").join(of("b"), "b").select(F.col("a_label").alias("a"), F.col("b_label").alias("b"))
+    return relabelled(known, connected(between))
+
+
 def _pairs(rows: DataFrame, percent: int) -> DataFrame:
     """(a, b) in order, of rows with two index entries x and y that may lead to a link."""
     return rows.where("x.set_id <> y.set_id and " + _fits(percent, "x", "y")).selectExpr("least(x.set_id, y.set_id) as a", "greatest(x.set_id, y.set_id) as b").distinct()
@@ -376,18 +384,26 @@ def _linked(pairs: DataFrame, wanted: DataFrame, tokens: DataFrame, percent: int
     return rows.where(f"100 * shared >= {percent} * (sizes - shared)").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
 
 
-def _crossing(lists: DataFrame, wanted: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of the combination lists whose sets are still in different components: entries outside a list's most usual component, each against the list. A list is dealt over more partitions the longer it is."""
-    reps = wanted.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("set_id", F.coalesce("label", "rep").alias("label"))
+def _crossing(lists: DataFrame, wanted: DataFrame, labels: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs of the combination lists whose sets are still in different components: entries outside a list's most usual component, each against the list. A list is dealt over more partitions the longer it is.
+
+    Entries take the whole parity maps of their sets along, which are asked in the join: a list of sets
+    that share common passages and nothing else makes no rows, however long it is.
+    """
+    reps = wanted.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("set_id", "rep", F.coalesce("label", "rep").alias("label"))
     now = lists.select("sig", *ENTRY).join(reps, "set_id")
     per = now.groupBy("sig", "label").agg(F.count("*").alias("m"))
     usual = per.groupBy("sig").agg(F.max(F.struct("m", "label")).alias("top"), F.count("*").alias("k"), F.sum("m").alias("all")).where("k > 1")
     usual = usual.select("sig", F.col("top.label").alias("usual"), F.expr(f"cast(least(1 + all div {LIST_ROWS}, {LIST_PARTS}) as int)").alias("salts"))
-    now = stored(salted_join(now, usual, "sig", by="set_id"), "crossing")
-    entry = F.struct(*ENTRY, "label")
+    maps = tokens.select("rep", "set_id", "parity").dropDuplicates(["rep", "set_id"])
+    now = stored(salted_join(now, usual, "sig", by="set_id").join(maps, ["rep", "set_id"]), "crossing")
+    entry = F.struct(*ENTRY, "label", "parity")
     left = now.where("label <> usual").select("sig", F.pmod(F.xxhash64("set_id"), F.col("salts")).cast("int").alias("salt"), entry.alias("x"))
     right = now.select("sig", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), entry.alias("y"))
-    return _pairs(left.join(right, ["sig", "salt"]).where("x.label <> y.label"), percent)
+    far = "aggregate(zip_with(x.parity, y.parity, (p, q) -> bit_count(p ^ q)), 0, (s, d) -> s + d)"
+    near = f"x.label <> y.label and x.set_id <> y.set_id and {_fits(percent, 'x', 'y')} and {far} <= x.n + y.n - 2 * ceil({percent} * (x.n + y.n) / {100 + percent}.0)"
+    found = left.join(right, ["sig", "salt"]).where(near)
+    return found.selectExpr("least(x.set_id, y.set_id) as a", "greatest(x.set_id, y.set_id) as b").distinct()
 
 
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
