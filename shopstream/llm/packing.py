@@ -11,6 +11,7 @@ windows and one document.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from functools import cache
 
@@ -61,6 +62,7 @@ class Known:
 @cache
 def tokenizer_of(path: str):
     """The tokenizer, which of its ids end a word, and the parts known so far; loaded once in a worker process. What is known never changes a result."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the threads; more of them hold memory of their own
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
@@ -84,7 +86,8 @@ class PartTokenizer:
         self.tokenizer, self.ends, self.known = tokenizer_of(path)
 
     def each(self, parts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
+        # An encoding is far larger than its ids: few are held at once.
+        return [np.array(e.ids, np.uint32) for lo in range(0, len(parts), WORDS) for e in self.tokenizer.encode_batch(parts[lo : lo + WORDS], add_special_tokens=False)]
 
     def of_words(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words of letters, laid end to end, and how many each has."""
