@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIR: list[str] = []
+#: Bytes of rows that go to a Python worker together, at most about so many.
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -122,11 +125,26 @@ def relabelled(labels: DataFrame, roots: DataFrame) -> DataFrame:
     return labels.join(beyond, "label", "left").select("id", F.coalesce("next", "label").alias("label"))
 
 
+def in_batches(frame: DataFrame, run, returns: str) -> DataFrame:
+    """frame.mapInArrow(run, returns) with batches of about BATCH_BYTES, or one row that is longer.
+
+    The JVM holds a batch several times over outside its heap, as arrays that grow by doubling and as a message, and so does
+    the worker; Spark's own limit of 64 MB, in each task, is a large part of an executor's overhead. Spark reads the limit
+    where a plan is run, so it stays set in the session; a smaller one that is set already is kept.
+    """
+    conf, key = frame.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"([0-9]+)([kmgtp]?)i?b?", conf.get(key).strip().lower()).groups()
+    if int(number) << 10 * " kmgtp".index(unit or " ") > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return frame.mapInArrow(run, returns)
+
+
 def text_map(docs: DataFrame, text_col: str, keep: list[str], make, returns: str) -> DataFrame:
     """Rows of docs as a struct `row` of the columns `keep`, and beside it the columns `returns` that a function of the texts gives.
 
     make() is called once in each task and gives a function from a string array (a bounded slice of
     rows, see textvec.slices) to the arrays of the result columns. Order and number of rows are kept.
+    A text that is kept goes to the worker once, within its row.
     """
     import pyarrow as pa
 
@@ -136,22 +154,26 @@ def text_map(docs: DataFrame, text_col: str, keep: list[str], make, returns: str
         rows = F.struct(F.lit(1).alias("none"))
     else:
         rows = F.struct(*[F.col(f"`{c}`") for c in keep])
-    frame = docs.select(F.col(text_col).cast("string").alias("text"), rows.alias("row"))
+    frame = docs.select(rows.alias("row"), F.col(text_col).cast("string").alias("text"))
     row_type = frame.schema["row"].dataType.simpleString() if all(c.isidentifier() for c in keep) else None
     if row_type is None:
         row_type = "struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in frame.schema["row"].dataType.fields) + ">"
     names = [part.strip().split(" ")[0] for part in _top_level(returns)]
+    within = keep.index(text_col) if text_col in keep and docs.schema[text_col].dataType.simpleString() == "string" else None
+    if within is not None:
+        frame = frame.select("row")
 
     def run(batches):
         work = None
         for batch in batches:
-            text, row = batch.column(0), batch.column(1)
+            row = batch.column(0)
+            text = batch.column(1) if within is None else row.field(within)
             for lo, hi in slices(text):
                 work = work or make()
                 yield pa.RecordBatch.from_arrays([row.slice(lo, hi - lo), *work(text.slice(lo, hi - lo))], names=["row", *names])
             release()
 
-    return frame.mapInArrow(run, f"row {row_type}, {returns}")
+    return in_batches(frame, run, f"row {row_type}, {returns}")
 
 
 def _top_level(schema: str) -> list[str]:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, in_batches
 from .textvec import NON_SPACE, buffers, mix, release, slices, words
 
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], np.uint32)
@@ -107,7 +107,7 @@ def sample_matrix(sample: DataFrame, log2: int, orders: tuple[int, ...], with_wo
             release()
 
     kind = sample.schema["label"].dataType.simpleString()
-    rows = sample.mapInArrow(run, f"label {kind}, at array<int>, n array<float>").toArrow().combine_chunks()
+    rows = in_batches(sample, run, f"label {kind}, at array<int>, n array<float>").toArrow().combine_chunks()
     out = np.zeros((rows.num_rows, 1 << log2), np.float32)
     labels, at, n = (rows.column(k) for k in range(3))
     for k in range(rows.num_rows):

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected, docs_of, dropped, id_cells, in_cells, relabelled, salted_join, stored
+from .common import connected, docs_of, dropped, id_cells, in_batches, in_cells, relabelled, salted_join, stored
 from .textvec import NON_SPACE, mix, release, shingles, slices, words
 
 PARTS = 256
@@ -302,7 +302,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     docs = docs_of(docs, id_col, text_col)
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = bits_for(n_bytes)
-    counted = stored(docs.mapInArrow(_count(size, bits), "doc_id long, n int, digest binary, part int, cells binary"), "sets")
+    counted = stored(in_batches(docs, _count(size, bits), "doc_id long, n int, digest binary, part int, cells binary"), "sets")
     sets = counted.where("part is null").select("doc_id", "n", "digest")
     reps = stored(sets.where("n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("rep")).where("rep is not null").select("digest", "rep", F.expr("cast(conv(substr(hex(digest), 1, 16), 16, -10) as long)").alias("set_id")), "reps")
 
@@ -315,9 +315,9 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         marks[row.part * width : (row.part + 1) * width] = np.frombuffer(row.bits, np.uint8)
     frequent = spark.sparkContext.broadcast(marks.tobytes())  # 2**MAX_BITS / 8 bytes = 8 MB at most
 
-    index = stored(docs.select("text").mapInArrow(_index(size, bits, frequent, percent), "sig long, set_id long, n int, v int, combined boolean, " + ", ".join(f"{p} long" for p in SMALL)), "index")
+    index = stored(in_batches(docs.select("text"), _index(size, bits, frequent, percent), "sig long, set_id long, n int, v int, combined boolean, " + ", ".join(f"{p} long" for p in SMALL)), "index")
     single = index.where("not combined").select("sig", "set_id", "n", "v")
-    pairs = single.repartition("sig").sortWithinPartitions("sig").mapInArrow(_list_pairs(percent), "a long, b long").distinct()
+    pairs = in_batches(single.repartition("sig").sortWithinPartitions("sig"), _list_pairs(percent), "a long, b long").distinct()
     combined = index.where("combined").select("sig", *ENTRY).dropDuplicates(["sig", "set_id"])
     # a hub has few rare tokens, so that it fits most of its list; the lists of a group share HUBS different ones, so a set gets about so many links
     ranked = F.struct(F.floor(10 * F.col("v") / F.col("n")).alias("share"), F.xxhash64("set_id", F.pmod("sig", F.lit(HUBS))).alias("draw"), *ENTRY)
@@ -331,7 +331,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     log2 = 24
     cells = spark.sparkContext.broadcast(id_cells(wanted, "rep", log2).tobytes())  # 2 MB
-    tokens = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("cell")).where("doc_id is not null").mapInArrow(_tokens(size, log2, cells), "rep long, set_id long, parity array<long>, tokens array<long>")
+    tokens = in_batches(docs.select("doc_id", "text", F.xxhash64("doc_id").alias("cell")).where("doc_id is not null"), _tokens(size, log2, cells), "rep long, set_id long, parity array<long>, tokens array<long>")
     tokens = stored(tokens, "tokens")  # a few more rows than wanted: the joins by identifier and set drop them
 
     links = stored(_linked(pairs, wanted, tokens, percent), "links")

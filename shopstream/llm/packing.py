@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import docs_of
+from .common import docs_of, in_batches
 from .textvec import NON_SPACE, Words, buffers, release, slices, words
 
 #: Bytes of text that are tokenised together, and words in one call of the tokenizer.
@@ -241,4 +241,4 @@ def packed(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         if out:
             yield rows()
 
-    return docs_of(docs, id_col, text_col).mapInArrow(run, SCHEMA)
+    return in_batches(docs_of(docs, id_col, text_col), run, SCHEMA)
